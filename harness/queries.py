@@ -120,20 +120,21 @@ def bronze_typed_copy(spark, directory):
     return bronze_copy(landed, "transaction_items", LOADED_AT)
 
 
+def _served(spark, directory, layer: str, table: str) -> DataFrame:
+    retail = Retail(spark, directory)
+    retail.stored(layer, table)
+    serve_table(retail.lake, table)
+    return retail.lake.read(SERVED_LAYER, table)
+
+
 @query
 def serve_publish(spark, directory):
-    lake, retail = new_lake(spark), Retail(spark, directory)
-    lake.publish(retail.read("mart", "daily_sales_mart"), "mart", "daily_sales_mart")
-    serve_table(lake, "daily_sales_mart")
-    return lake.read(SERVED_LAYER, "daily_sales_mart")
+    return _served(spark, directory, "mart", "daily_sales_mart")
 
 
 @query
 def serve_sorted(spark, directory):
-    lake, retail = new_lake(spark), Retail(spark, directory)
-    lake.publish(retail.read("gold", "fact_sales"), "gold", "fact_sales")
-    serve_table(lake, "fact_sales")
-    return lake.read(SERVED_LAYER, "fact_sales")
+    return _served(spark, directory, "gold", "fact_sales")
 
 
 # --- Silver -----------------------------------------------------------------------------
@@ -193,8 +194,8 @@ of_retail("dim_customer_current", lambda r: r.read("gold", "dim_customer").filte
 of_retail(
     "as_of_version",
     lambda r: as_of_version(
-        r.read("silver", "transactions"),
-        r.read("gold", "dim_customer"),
+        r.stored("silver", "transactions"),
+        r.stored("gold", "dim_customer"),
         "customer_id",
         "transaction_date",
     ).select("transaction_id", "customer_id", "transaction_date", "customer_key"),
@@ -322,41 +323,33 @@ def cdc_empty_bootstrap(spark, directory):
 
 
 # --- Checks -----------------------------------------------------------------------------
-def of_checks(name: str, frame: Callable[[Retail], DataFrame]) -> None:
-    of_retail(name, frame)
+def _dimensions(r: Retail) -> dict[str, DataFrame]:
+    return {key: r.stored("gold", dim) for key, dim in checks.FOREIGN_KEYS.items()}
 
 
-def _dimensions(r: Retail) -> dict[str, DataFrame]:
-    return {key: r.read("gold", dim) for key, dim in checks.FOREIGN_KEYS.items()}
+def _orphans(r: Retail, fact: str, check: str) -> DataFrame:
+    return checks.orphans(r.stored("gold", fact), _dimensions(r), check)
 
 
-of_checks(
-    "check_table_rows", lambda r: checks.table_rows(r.read, "bronze", "transaction_items")
-)
-of_checks("check_row_counts", lambda r: checks.row_counts(r.read, "bronze"))
-of_checks("check_gold", lambda r: checks.gold(r.read))
-of_checks(
-    "check_fact_orphans",
-    lambda r: checks.orphans(r.read("gold", "fact_sales"), _dimensions(r), "orphan_keys"),
-)
-of_checks(
-    "check_refund_orphans",
-    lambda r: checks.orphans(
-        r.read("gold", "fact_refunds"), _dimensions(r), "refund_orphan_keys"
-    ),
+of_retail(
+    "check_table_rows", lambda r: checks.table_rows(r.stored, "bronze", "transaction_items")
 )
-of_checks(
+of_retail("check_row_counts", lambda r: checks.row_counts(r.stored, "bronze"))
+of_retail("check_gold", lambda r: checks.gold(r.stored))
+of_retail("check_fact_orphans", lambda r: _orphans(r, "fact_sales", "orphan_keys"))
+of_retail("check_refund_orphans", lambda r: _orphans(r, "fact_refunds", "refund_orphan_keys"))
+of_retail(
     "check_refund_items",
     lambda r: checks.refunds_of_unknown_items(
-        r.read("gold", "fact_refunds"), r.read("gold", "fact_sales")
+        r.stored("gold", "fact_refunds"), r.stored("gold", "fact_sales")
     ),
 )
-of_checks(
-    "check_current_version", lambda r: checks.one_current_version(r.read("gold", "dim_customer"))
+of_retail(
+    "check_current_version", lambda r: checks.one_current_version(r.stored("gold", "dim_customer"))
 )
-of_checks(
+of_retail(
     "check_revenue",
-    lambda r: checks.revenue(r.read("gold", "fact_sales"), r.read("silver", "sales")),
+    lambda r: checks.revenue(r.stored("gold", "fact_sales"), r.stored("silver", "sales")),
 )
 
 
@@ -419,5 +412,5 @@ def adhoc_version_moved(spark, directory):
           AND f.quantity != 0
         GROUP BY f.customer_key""",
         fact_sales=retail.read("gold", "fact_sales"),
-        dim_customer=retail.read("gold", "dim_customer"),
+        dim_customer=retail.stored("gold", "dim_customer"),
     )

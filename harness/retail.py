@@ -13,6 +13,8 @@ from tillhouse.plans import silver
 from tillhouse.plans.pipeline import TABLES
 from tillhouse.plans.run import Run
 from tillhouse.schemas import TRACKED_CUSTOMER_COLUMNS
+from tillhouse.session import shared_dir
+from tillhouse.sources.lake import Lake
 from tillhouse.sources.retail_views import retail_table
 
 # When the three customer snapshots were observed; inside the range of sale dates, so that
@@ -27,7 +29,8 @@ _BUILDERS = {(t.layer, t.name): t.build for t in TABLES}
 
 
 class Retail:
-    """Every table as one lazy plan over the source views; nothing is written.
+    """Tables over the source views, each built the way a run builds it: from published
+    inputs. A query publishes the inputs it needs, and no others, to a lake of its own.
 
     The customer history is that of three snapshots of the whole customer table.
     """
@@ -35,20 +38,24 @@ class Retail:
     def __init__(self, spark: SparkSession, directory: str):
         self.spark = spark
         self.directory = directory
-        self._frames: dict[tuple[str, str], DataFrame] = {}
-        self.run = Run(self.read, lambda layer, table: True, RUNS[-1])
+        self.lake = Lake(spark, shared_dir(spark, "lake"))
+        self.run = Run(self.stored, lambda layer, table: True, RUNS[-1])
 
     def read(self, layer: str, table: str) -> DataFrame:
-        place = (layer, table)
-        if place not in self._frames:
-            if layer in ("ingestion", "bronze"):
-                frame = retail_table(self.spark, self.directory, table)
-            elif place == ("silver", "customer_history"):
-                frame = self.history(3)
-            else:
-                frame = _BUILDERS[place](self.run)
-            self._frames[place] = frame
-        return self._frames[place]
+        """The plan of one table over its published inputs."""
+        if layer in ("ingestion", "bronze"):
+            return retail_table(self.spark, self.directory, table)
+        if (layer, table) == ("silver", "customer_history"):
+            return self.history(3)
+        return _BUILDERS[layer, table](self.run)
+
+    def stored(self, layer: str, table: str) -> DataFrame:
+        """The published table; source tables are files already."""
+        if layer in ("ingestion", "bronze"):
+            return self.read(layer, table)
+        if not self.lake.exists(layer, table):
+            self.lake.publish(self.read(layer, table), layer, table)
+        return self.lake.read(layer, table)
 
     def snapshot(self, number: int) -> DataFrame:
         """Customers as the source showed them at one of three times.

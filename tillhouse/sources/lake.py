@@ -64,7 +64,6 @@ class Lake:
         layer: str,
         table: str,
         sort_by: Sequence[str] = (),
-        partition_by: Sequence[str] = (),
     ) -> None:
         """Write a new version with the frame's own schema, then drop versions beyond the
         newest ``keep_versions``. ``sort_by`` range-partitions and sorts the rows, so the
@@ -73,10 +72,7 @@ class Lake:
             df = df.repartitionByRange(*sort_by).sortWithinPartitions(*sort_by)
         attempts = self._attempts(layer, table)
         number = attempts[-1] + 1 if attempts else 1
-        writer = df.write.mode("errorifexists")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(f"{self._table(layer, table)}/v{number:08d}")
+        df.write.mode("errorifexists").parquet(f"{self._table(layer, table)}/v{number:08d}")
         self._retire(layer, table)
 
     def _retire(self, layer: str, table: str) -> None:

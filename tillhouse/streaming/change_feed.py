@@ -68,7 +68,7 @@ class ChangeFeed:
         return self.lake.read(LAYER, self.table)
 
     def _publish(self, rows: DataFrame) -> None:
-        self.lake.publish(rows, LAYER, self.table, partition_by=["_state"])
+        self.lake.publish(rows, LAYER, self.table)
 
     def _resumable(self) -> bool:
         """A table without event times comes from full refreshes and must be replaced."""
