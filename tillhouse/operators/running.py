@@ -19,6 +19,7 @@ def running_total(
     row_id: str,
     value: str,
     into: str,
+    counted: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
     block_bits: int = BLOCK_BITS,
 ) -> DataFrame:
@@ -26,9 +27,11 @@ def running_total(
 
     ``row_id`` must be a unique whole number and ``group`` not null. Ordinary groups take a
     window. Groups with more than ``hot_rows`` rows are summed per day and block of ids
-    first; the list of those groups is short enough to broadcast (see ``hottest``).
+    first; the list of those groups is short enough to broadcast (see ``hottest``). Where
+    it is empty, adaptive execution drops that branch. ``counted`` may be a cheaper frame
+    to count groups in, one that has at least the rows of ``df``.
     """
-    counts = df.groupBy(group).agg(F.count("*").alias("_rows"))
+    counts = (counted or df).groupBy(group).agg(F.count("*").alias("_rows"))
     hot = F.broadcast(hottest(counts, [group], "_rows", hot_rows))
     whole = Window.partitionBy(group).orderBy(day, row_id)
     ordinary = df.join(hot, group, "left_anti").withColumn(
@@ -44,9 +47,13 @@ def _by_blocks(df, group, day, row_id, value, into, block_bits) -> DataFrame:
     """Three levels, each bounded: days of a group, blocks of a day, rows of a block."""
     columns = df.columns
     earlier = (Window.unboundedPreceding, -1)
-    keyed = df.withColumn(
-        "_day", F.coalesce(F.unix_date(day), F.lit(-(2**31)))
-    ).withColumn("_block", F.shiftright(row_id, block_bits))
+    # Never null, so that they can be joined on.
+    keyed = df.withColumns(
+        {
+            "_day": F.coalesce(F.unix_date(day), F.lit(-(2**31))),
+            "_block": F.coalesce(F.shiftright(row_id, block_bits), F.lit(-(2**31))),
+        }
+    )
 
     blocks = keyed.groupBy(group, "_day", "_block").agg(F.sum(value).alias("_sum"))
     days = blocks.groupBy(group, "_day").agg(F.sum("_sum").alias("_sum"))

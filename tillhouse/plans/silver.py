@@ -193,7 +193,13 @@ def checked_refunds(run: Run) -> DataFrame:
     """
     refunds = run.source("refunds").select(*REFUND_COLUMNS).filter(F.col("item_id").isNotNull())
     totals = running_total(
-        refunds, "item_id", "refund_date", "refund_id", "amount", "refunded_so_far"
+        refunds,
+        "item_id",
+        "refund_date",
+        "refund_id",
+        "amount",
+        "refunded_so_far",
+        counted=run.read("bronze", "refunds").select("item_id"),
     )
     sold = run.read("silver", "sales").select(
         "item_id", "transaction_id", "store_id", "customer_id", "product_id", "line_amount"
