@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 from datetime import datetime
+from functools import partial
 
 from pyspark.sql import DataFrame
 
 from tillhouse.plans import gold, mart, silver
-from tillhouse.plans.run import Run, lake_run
+from tillhouse.plans.run import Run, lake_run, together
 from tillhouse.plans.serving import serve
 from tillhouse.schemas import SOURCES
 from tillhouse.sources.lake import Lake
@@ -85,29 +86,43 @@ def load_snapshot(
     lake: Lake, extracts: Mapping[str, DataFrame], run_ts: datetime | str, wide_keys: bool = False
 ) -> None:
     """Land full extracts and copy them to bronze with the source's types."""
-    for table, extracted in extracts.items():
-        ingest(lake, table, extracted)
+
+    def load(table: str) -> None:
+        ingest(lake, table, extracts[table])
         bronze = bronze_copy(lake.read(LANDING, table), table, run_ts, wide_keys)
         lake.publish(bronze, "bronze", table)
 
+    together(partial(load, table) for table in extracts)
+
 
 def load_changes(
     lake: Lake, events_root: str, run_ts: datetime | None = None, tables: Iterable[str] = SOURCES
 ) -> dict[str, str]:
     """Merge landed change events into bronze; says per table what happened."""
-    return {t: ChangeFeed(lake, t).poll(landing_glob(events_root, t), run_ts) for t in tables}
+    names = list(tables)
+    outcomes = together(
+        partial(ChangeFeed(lake, t).poll, landing_glob(events_root, t), run_ts) for t in names
+    )
+    return dict(zip(names, outcomes, strict=True))
 
 
 def build(
     lake: Lake, run_ts: datetime | str, only: Iterable[tuple[str, str]] | None = None
 ) -> None:
-    """Build derived tables in order, all or a chosen subset. Each is published before the
-    next one starts, so plans stay short and a restarted run reads what is finished."""
+    """Build derived tables, all or a chosen subset. A table starts when those it reads are
+    published, so plans stay short and a restarted run reads what is finished."""
     run = lake_run(lake, run_ts)
-    chosen = None if only is None else set(only)
-    for table in TABLES:
-        if chosen is None or (table.layer, table.name) in chosen:
-            lake.publish(table.build(run), table.layer, table.name)
+    chosen = {(t.layer, t.name) for t in TABLES} if only is None else set(only)
+
+    def publish(table: Table) -> None:
+        lake.publish(table.build(run), table.layer, table.name)
+
+    waiting = [t for t in TABLES if (t.layer, t.name) in chosen]
+    while waiting:
+        pending = {(t.layer, t.name) for t in waiting}
+        ready = [t for t in waiting if not t.reads & pending]
+        together(partial(publish, t) for t in ready)
+        waiting = [t for t in waiting if t not in ready]
 
 
 def run_snapshot(

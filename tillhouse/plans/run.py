@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -41,3 +42,11 @@ def lake_run(lake: Lake, run_ts: datetime | str) -> Run:
         return live(df) if "_state" in df.columns else df
 
     return Run(read, lake.exists, run_ts)
+
+
+def together(jobs: Iterable[Callable[[], object]]) -> list:
+    """Run independent Spark jobs at the same time, so that small tables do not leave the
+    cluster idle. The first failure is raised once all have ended."""
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        started = [pool.submit(job) for job in jobs]
+    return [job.result() for job in started]

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import partial
 
+from tillhouse.plans.run import together
 from tillhouse.sources.lake import Lake
 
 SERVED_LAYER = "marts"
@@ -31,5 +33,4 @@ def serve_table(lake: Lake, table: str, served: Lake | None = None) -> None:
 
 
 def serve(lake: Lake, tables: Iterable[str] = SERVED, served: Lake | None = None) -> None:
-    for table in tables:
-        serve_table(lake, table, served)
+    together(partial(serve_table, lake, table, served) for table in tables)
