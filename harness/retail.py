@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from tillhouse.operators import history
 from tillhouse.operators.lookup import translate
 from tillhouse.plans import silver
 from tillhouse.plans.pipeline import TABLES
-from tillhouse.plans.run import Run
+from tillhouse.plans.run import Run, together
 from tillhouse.schemas import TRACKED_CUSTOMER_COLUMNS
 from tillhouse.session import shared_dir
 from tillhouse.sources.lake import Lake
@@ -25,7 +26,8 @@ RUNS = (
     datetime(2000, 1, 1, 9, 30),
 )
 
-_BUILDERS = {(t.layer, t.name): t.build for t in TABLES}
+_TABLES = {(t.layer, t.name): t for t in TABLES}
+HISTORY = ("silver", "customer_history")
 
 
 class Retail:
@@ -45,18 +47,41 @@ class Retail:
         """The plan of one table over its published inputs."""
         if layer in ("ingestion", "bronze"):
             return retail_table(self.spark, self.directory, table)
-        if (layer, table) == ("silver", "customer_history"):
-            return self.history(3)
-        return _BUILDERS[layer, table](self.run)
+        self._publish(self._inputs((layer, table)))
+        return self._plan((layer, table))
 
     def stored(self, layer: str, table: str) -> DataFrame:
         """The published table; source tables are files already."""
         if layer in ("ingestion", "bronze"):
             return self.read(layer, table)
-        if not self.lake.exists(layer, table):
-            self.lake.publish(self.read(layer, table), layer, table)
+        self._publish({(layer, table)})
         return self.lake.read(layer, table)
 
+    def _plan(self, place: tuple[str, str]) -> DataFrame:
+        if place == HISTORY:
+            return self.history(3)
+        return _TABLES[place].build(self.run)
+
+    def _inputs(self, place: tuple[str, str]) -> set[tuple[str, str]]:
+        if place == HISTORY:
+            return set()
+        return {r for r in _TABLES[place].reads if r[0] != "bronze"}
+
+    def _publish(self, places: set[tuple[str, str]]) -> None:
+        """Publish tables and what they need, those that are ready at the same time."""
+        missing: set[tuple[str, str]] = set()
+        found = set(places)
+        while found:
+            missing |= {p for p in found if not self.lake.exists(*p)}
+            found = {i for p in found for i in self._inputs(p)} - missing
+        while missing:
+            ready = [p for p in missing if not self._inputs(p) & missing]
+            together(partial(self._publish_one, p) for p in ready)
+            missing -= set(ready)
+
+    def _publish_one(self, place: tuple[str, str]) -> None:
+        self.lake.publish(self._plan(place), *place)
+
     def snapshot(self, number: int) -> DataFrame:
         """Customers as the source showed them at one of three times.
 
