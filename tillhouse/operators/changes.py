@@ -104,22 +104,14 @@ def rebuild_from_events(
     return as_rows(latest_events(events, columns, key), columns, key, run_ts)
 
 
-def merge_events(
-    state: DataFrame,
-    events: DataFrame,
-    columns: T.StructType,
-    key: str,
-    run_ts: datetime | str,
-    since: int | None = None,
-) -> DataFrame:
-    """The change table after applying events: deletes, updates and inserts by key.
+def apply_batch(state: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+    """The change table after a batch of newest rows, one per key.
 
-    An event applies when it is newer than the row it meets, so applying a batch again, or
-    out of order, ends in the same rows. Both lookups into the table only need its keys and
-    the batch is usually small: Spark then broadcasts the batch and the table is scanned,
-    not shuffled.
+    A row applies when its event is newer than that of the row it meets, so applying a
+    batch again, or out of order, ends in the same table. A batch whose size allows it is
+    broadcast, and the table is then scanned, not shuffled; its keys and times are all the
+    first scan reads.
     """
-    batch = as_rows(latest_events(events, columns, key, since), columns, key, run_ts)
     applied = state.select(key, F.col("_cdc_ts").alias("_applied_ts"))
     stale = (
         batch.select(key, "_cdc_ts")
@@ -130,3 +122,16 @@ def merge_events(
     fresh = batch.join(stale, key, "left_anti")
     untouched = state.join(fresh.select(key), key, "left_anti")
     return untouched.select(*fresh.columns).unionByName(fresh)
+
+
+def merge_events(
+    state: DataFrame,
+    events: DataFrame,
+    columns: T.StructType,
+    key: str,
+    run_ts: datetime | str,
+    since: int | None = None,
+) -> DataFrame:
+    """The change table after applying events: deletes, updates and inserts by key."""
+    batch = as_rows(latest_events(events, columns, key, since), columns, key, run_ts)
+    return apply_batch(state, batch, key)

@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillhouse.operators.skew import HOT_ROWS, join_lookup
 from tillhouse.schemas import UNKNOWN
 
 
 def translate(
-    df: DataFrame, lookup: DataFrame, code: str, name: str, default: str = UNKNOWN
+    df: DataFrame,
+    lookup: DataFrame,
+    code: str,
+    name: str,
+    default: str = UNKNOWN,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add the name of a code and keep rows whose code is unknown.
 
-    No broadcast hint: Spark broadcasts the lookup when its size is under the session's
-    threshold and shuffles otherwise.
+    Spark broadcasts the lookup when its size is under the session's threshold; beyond
+    that it is shuffled, with very common codes spread.
     """
-    return df.join(lookup.select(code, name), code, "left").withColumn(
-        name, F.coalesce(F.col(name), F.lit(default))
-    )
+    named = join_lookup(df, lookup.select(code, name), code, "left", hot_rows=hot_rows)
+    return named.withColumn(name, F.coalesce(F.col(name), F.lit(default)))

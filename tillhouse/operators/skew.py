@@ -1,14 +1,15 @@
 """Joins that spread hot keys.
 
-Most joins of the pipeline need nothing from here: they read two published tables, so both
-inputs are plain shuffles and adaptive execution splits the partition of a hot key. It
-cannot do that when one input is already grouped by the join key. Those joins are spread
-here.
+Most joins of the pipeline need nothing from here: both inputs are plain shuffles, and
+adaptive execution splits the partition of a hot key. It cannot do that when one input is
+already grouped by the join key. Those joins are spread here. None of them forces a
+broadcast of the table itself: Spark still broadcasts it when its size allows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,15 +45,33 @@ def spread_join(
     """Join ``many`` rows per key with ``one`` row per key, sharing hot keys among tasks.
 
     Rows of a hot key get one of ``splits`` slots from their own content, so a retried task
-    repeats the choice; the single row on the other side is copied to every slot.
+    repeats the choice; the single row on the other side is copied to every slot. Rows with
+    a null key match nothing and are spread as well.
     """
     flag = F.broadcast(hot.select(*on).withColumn("_hot", F.lit(True)))
     slot = F.pmod(F.xxhash64(*[many[c] for c in many.columns]), F.lit(splits)).cast("int")
     slots = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(splits - 1)))
+    no_key = reduce(lambda a, b: a | b, [many[c].isNull() for c in on])
     left = many.join(flag, list(on), "left").withColumn(
-        "_slot", F.when(F.col("_hot"), slot).otherwise(0)
+        "_slot", F.when(F.col("_hot") | no_key, slot).otherwise(0)
     )
     right = one.join(flag, list(on), "left").withColumn(
         "_slot", F.explode(slots.otherwise(F.array(F.lit(0))))
     )
     return left.drop("_hot").join(right.drop("_hot"), [*on, "_slot"], how).drop("_slot")
+
+
+def join_lookup(
+    many: DataFrame,
+    lookup: DataFrame,
+    code: str,
+    how: str,
+    counted: DataFrame | None = None,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Join with a table that has one row per code, where few codes may hold most rows.
+
+    ``counted`` may be a cheaper frame to count codes in than ``many``.
+    """
+    counts = (counted or many).groupBy(code).agg(F.count("*").alias("_rows"))
+    return spread_join(many, lookup, [code], hottest(counts, [code], "_rows", hot_rows), how)

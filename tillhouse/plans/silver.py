@@ -10,6 +10,7 @@ from tillhouse.operators import history
 from tillhouse.operators.dedupe import rejects, survivor_map, survivors
 from tillhouse.operators.lookup import translate
 from tillhouse.operators.running import running_total
+from tillhouse.operators.skew import join_lookup
 from tillhouse.plans.run import Run
 from tillhouse.schemas import COMPLETED, TRACKED_CUSTOMER_COLUMNS
 
@@ -93,17 +94,19 @@ def transactions_completed(run: Run) -> DataFrame:
         .select("status_code", F.lower("status_name").alias("status"))
         .filter(F.col("status") == COMPLETED)
     )
-    return (
-        run.source("transactions")
-        .join(completed, "status_code")
-        .select(
-            "transaction_id",
-            "store_id",
-            "customer_id",
-            "transaction_date",
-            "status",
-            "payment_method",
-        )
+    return join_lookup(
+        run.source("transactions"),
+        completed,
+        "status_code",
+        "inner",
+        counted=run.read("bronze", "transactions").select("status_code"),
+    ).select(
+        "transaction_id",
+        "store_id",
+        "customer_id",
+        "transaction_date",
+        "status",
+        "payment_method",
     )
 
 

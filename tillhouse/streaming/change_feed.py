@@ -11,16 +11,19 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tillhouse.operators.changes import (
     POSITION,
+    apply_batch,
+    as_rows,
     empty_rows,
     high_water,
     latest_events,
-    merge_events,
     rebuild_from_events,
 )
 from tillhouse.schemas import event_schema, primary_key, source_schema
 from tillhouse.sources.lake import Lake
 
 LAYER = "bronze"
+# Newest rows of the batch being merged.
+BATCHES = "change_batches"
 
 
 def landing_glob(root: str, table: str, topic_prefix: str = "demo.pos.") -> str:
@@ -89,22 +92,28 @@ class ChangeFeed:
         if not self._resumable():
             self._publish(rebuild_from_events(events, self.columns, self.key, now))
             return "rebuilt"
-        state = self.state()
-        since = high_water(state)
-        if latest_events(events, self.columns, self.key, since).isEmpty():
-            return "up to date"
-        self._publish(merge_events(state, events, self.columns, self.key, now, since))
-        return "merged"
+        since = high_water(self.state())
+        return "merged" if self._merge(events, now, since) else "up to date"
+
+    def _merge(self, events: DataFrame, now: datetime, since: int | None) -> bool:
+        """Apply events to the table. The newest rows are written first: they are then
+        computed once, and Spark plans the merge with their true size."""
+        newest = latest_events(events, self.columns, self.key, since)
+        self.lake.publish(as_rows(newest, self.columns, self.key, now), BATCHES, self.table)
+        batch = self.lake.read(BATCHES, self.table)
+        if batch.isEmpty():
+            return False
+        self._publish(apply_batch(self.state(), batch, self.key))
+        return True
 
     def apply(self, events: DataFrame, run_ts: datetime | None = None) -> None:
         """Merge one batch of events whatever their age; each row takes only newer ones, so
         a batch that is delivered again changes nothing."""
         now = run_ts or _utc_now()
         if self._resumable():
-            rows = merge_events(self.state(), events, self.columns, self.key, now)
+            self._merge(events, now, None)
         else:
-            rows = rebuild_from_events(events, self.columns, self.key, now)
-        self._publish(rows)
+            self._publish(rebuild_from_events(events, self.columns, self.key, now))
 
     def stream(
         self,
