@@ -42,6 +42,7 @@ class Retail:
         self.directory = directory
         self.lake = Lake(spark, shared_dir(spark, "lake"))
         self.run = Run(self.stored, lambda layer, table: True, RUNS[-1])
+        self._open: dict[tuple[str, str], DataFrame] = {}
 
     def read(self, layer: str, table: str) -> DataFrame:
         """The plan of one table over its published inputs."""
@@ -52,10 +53,14 @@ class Retail:
 
     def stored(self, layer: str, table: str) -> DataFrame:
         """The published table; source tables are files already."""
-        if layer in ("ingestion", "bronze"):
-            return self.read(layer, table)
-        self._publish({(layer, table)})
-        return self.lake.read(layer, table)
+        place = (layer, table)
+        if place not in self._open:
+            if layer in ("ingestion", "bronze"):
+                self._open[place] = self.read(layer, table)
+            else:
+                self._publish({place})
+                self._open[place] = self.lake.read(layer, table)
+        return self._open[place]
 
     def _plan(self, place: tuple[str, str]) -> DataFrame:
         if place == HISTORY:
@@ -106,6 +111,13 @@ class Retail:
         return named.select(*TRACKED_CUSTOMER_COLUMNS)
 
     def history(self, runs: int) -> DataFrame:
-        """Customer history after the first one, two or three snapshots."""
-        earlier = self.history(runs - 1) if runs > 1 else None
+        """Customer history after the first one, two or three snapshots. Each run starts
+        from the history that the run before it published."""
+        if runs == 1:
+            earlier = None
+        else:
+            before = f"customer_history_{runs - 1}"
+            if not self.lake.exists("silver", before):
+                self.lake.publish(self.history(runs - 1), "silver", before)
+            earlier = self.lake.read("silver", before)
         return history.append_versions(self.snapshot(runs), earlier, RUNS[runs - 1])

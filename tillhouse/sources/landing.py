@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillhouse.functions import moment
-from tillhouse.schemas import primary_key, source_schema
+from tillhouse.schemas import SOURCES, primary_key, source_schema
 from tillhouse.sources.lake import Lake
 
 LANDING = "ingestion"
@@ -67,7 +67,27 @@ def bronze_copy(
     return landed.withColumns(types).withColumn("_ingested_at", moment(loaded_at))
 
 
-def numeric_key(table: str) -> str | None:
-    """Key to split a database read by, if the table has a numeric one."""
-    key = primary_key(table)
-    return key if key.endswith("_id") else None
+def jdbc_sources(
+    spark: SparkSession,
+    url: str,
+    schema: str,
+    partitions: int = 16,
+    options: dict[str, str] | None = None,
+) -> dict[str, DataFrame]:
+    """Every source table of a database, tables with a numeric key read in ranges of it."""
+    return {
+        table: jdbc_table(
+            spark,
+            url,
+            f"{schema}.{table}",
+            key if (key := primary_key(table)).endswith("_id") else None,
+            partitions,
+            options,
+        )
+        for table in SOURCES
+    }
+
+
+def parquet_sources(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """Every source table of a folder with one parquet file or directory per table."""
+    return {t: parquet_table(spark, f"{root.rstrip('/')}/{t}.parquet") for t in SOURCES}
