@@ -27,8 +27,10 @@ from tillhouse.llm.workspace import importable
 # Rows of one query, contractions of a word in one query, pieces remembered by a task.
 QUERY_ROWS = 200_000
 TURNS = 24
-REMEMBERED = 1_200_000
-DECODE_ROWS = 500_000
+REMEMBERED = 500_000
+DECODE_ROWS = 250_000
+# Text characters that are encoded together.
+BATCH = 2 << 20
 
 # A row is a token of a word: its place, its id and the id to its right. ``best`` has the leftmost
 # pair of least rank of each word that has a pair; ``hit`` adds what follows that pair.
@@ -82,23 +84,30 @@ class Coder:
         self.ranks = {base64.b64decode(a): int(b) for a, b in lines}
         self.bytes = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.seen: dict[str, bytes] = {}
-        get = self.ranks.get
-        rows = [
-            (left, right, rank)
-            for token, rank in self.ranks.items()
-            for i in range(1, len(token))
-            if (left := get(token[:i])) is not None and (right := get(token[i:])) is not None
-        ]
-        merges = np.array(rows, np.int32).reshape(-1, 3)
         self.db = duckdb.connect(
-            config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""}
+            config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""}
         )
-        pairs = (merges[:, 0].astype(np.int64) << 32) | merges[:, 1]
-        self._table("m", pair=pairs, merged=merges[:, 2])
-        self.db.execute("CREATE TABLE merges AS FROM m")
+        self.has_merges = False
         self._table("v", id=list(self.ranks.values()), hex=[t.hex() for t in self.ranks])
         self.db.execute("CREATE TABLE vocabulary AS SELECT id::INTEGER AS id, hex FROM v")
 
+    def _merge_table(self) -> None:
+        """All pairs of tokens that make a token: encoding needs them, decoding does not."""
+        if self.has_merges:
+            return
+        get = self.ranks.get
+        pairs, merged = [], []
+        for token, rank in self.ranks.items():
+            for i in range(1, len(token)):
+                left, right = get(token[:i]), get(token[i:])
+                if left is not None and right is not None:
+                    pairs.append((left << 32) | right)
+                    merged.append(rank)
+        self._table("m", pair=np.array(pairs, np.int64), merged=np.array(merged, np.int32))
+        self.db.execute("CREATE TABLE merges AS FROM m")
+        self.db.unregister("m")
+        self.has_merges = True
+
     @classmethod
     def of(cls, data: bytes) -> Coder:
         key = hash(data)
@@ -111,6 +120,7 @@ class Coder:
 
     def _contract(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word, packed. Words that need more turns go round again."""
+        self._merge_table()
         size = np.fromiter(map(len, words), np.int64, len(words))
         word = np.repeat(np.arange(len(words)), size)
         idx = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
@@ -212,7 +222,7 @@ def encode(
             for doc, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held.append((doc, body or ""))
                 size += len(body or "")
-                if size >= 4 << 20:
+                if size >= BATCH:
                     yield flush(held)
                     held, size = [], 0
             if held:
