@@ -10,8 +10,9 @@ their first ``n - ceil(0.8 n) + 1``: their prefixes.
    only groups enter the prefix index. Shingles that one group alone has are left out.
 3. In each posting list every group meets the list's first group of like size. Members are
    expanded and verified on whole texts, and what links becomes a component.
-4. Pairs that a posting list still holds in different components are formed, as long as they share enough of
-   their prefixes to reach the threshold at all, and verified.
+4. Posting lists that still hold several components pair them up, where both have the shingle
+   so early in their order that it can be the first of enough shared ones. Pairs that share too
+   little of their prefixes to reach the threshold at all are left out, the others verified.
 
 So a large family of near copies costs one comparison each instead of one for each pair, and
 every link between two components is found: the components are exact.
@@ -213,7 +214,7 @@ def jaccard_join(
     classes = work.save(classes.join(groups, ["n", "p1", "p2"]), "classes")
     lead = known.join(groups, ["n", "p1", "p2"]).filter("doc_id = gid").select("gid", "prefix")
     # Rows that repeat an id with its text give an entry twice; that changes no later step.
-    entries = lead.select("gid", F.explode("prefix").alias("shingle"))
+    entries = lead.select("gid", F.posexplode("prefix").alias("pos", "shingle"))
     shared = entries.groupBy("shingle").agg(F.min("gid").alias("_a"), F.max("gid").alias("_b"))
     shared = shared.filter("_a < _b").select("shingle")
     posted = work.save(entries.join(shared, "shingle"), "posted")
@@ -242,8 +243,15 @@ def jaccard_join(
     # second time shifted by half, so that groups on either side of a boundary meet as well.
     log = F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))
     bands = F.explode(F.array(F.floor(log) * 2, F.floor(log + 0.5) * 2 + 1))
-    banded = posting.withColumn("band", bands)
-    hubs = work.save(banded.groupBy("shingle", "band").agg(F.min("gid").alias("hub")), "hubs")
+    # A copy's own changes are rare shingles that nobody shares; what it was copied from has all
+    # of its prefix in common with others. So the group with the largest shared part of its
+    # prefix leads a list: most of a family link with their original at once.
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1
+    leads = posting.groupBy("gid").agg((F.count("*") / F.first(prefix)).alias("lead"))
+    banded = posting.join(work.save(leads, "leads"), "gid").withColumn("band", bands)
+    best_hub = F.max(F.struct("lead", (-F.col("gid")).alias("_gid"))).alias("best")
+    hubs = banded.groupBy("shingle", "band").agg(best_hub)
+    hubs = work.save(hubs.select("shingle", "band", (-F.col("best._gid")).alias("hub")), "hubs")
     met = banded.join(hubs, ["shingle", "band"]).filter("gid <> hub").groupBy("gid", "hub")
     best = met.agg(F.count("*").alias("c")).groupBy("gid").agg(
         F.max(F.struct("c", (-F.col("hub")).alias("_hub"))).alias("best")
@@ -259,28 +267,34 @@ def jaccard_join(
     named = work.save(
         named.select("rep", "gid", F.coalesce("component", "rep").alias("component")), "named"
     )
-    members = posting.join(named, "gid").select("shingle", "rep", "n", "component")
+    columns = ["whole", "shingle", "pos", "rep", "n", "component"]
+    members = posting.join(named, "gid").withColumn("whole", F.lit(False)).select(*columns)
     # Groups of several classes share all their lists, also those that no other group has.
-    alone = classes.join(several, "gid", "left_semi").select("rep", "gid", "n").join(
-        named.select("rep", "component"), "rep"
-    )
-    alone = alone.select(F.col("gid").alias("shingle"), "rep", "n", "component", F.lit(True).alias("whole"))
-    members = work.save(members.withColumn("whole", F.lit(False)).unionByName(alone), "members")
+    alone = classes.join(several, "gid", "left_semi").select("rep", F.col("gid").alias("shingle"), "n")
+    alone = alone.join(named, "rep").withColumns({"whole": F.lit(True), "pos": F.lit(0)}).select(*columns)
     lists = ["whole", "shingle"]
-    mixed_lists = members.groupBy(*lists).agg(F.min("component").alias("_a"), F.max("component").alias("_b"))
-    mixed_lists = work.save(mixed_lists.filter("_a < _b").select(*lists), "mixed-lists")
-    members = work.save(members.join(mixed_lists, lists), "mixed")
-    x = members.select(*lists, F.col("rep").alias("a"), F.col("n").alias("n"), F.col("component").alias("ca"))
-    y = members.select(*lists, F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("cb"))
-    like = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
-    crossed = x.join(y, lists).filter(F.col("ca") < F.col("cb")).filter(like)
-    counted = crossed.groupBy("a", "b", "n", "m").agg(
-        F.count_if(~F.col("whole")).alias("c"), F.max("whole").alias("whole")
-    )
-    # All that a pair shares lies among the shared prefix shingles and what follows the prefix.
+    members = work.save(members.unionByName(alone).distinct(), "members")
+    several_in = members.groupBy(*lists).agg(F.min("component").alias("_a"), F.max("component").alias("_b"))
+    several_in = work.save(several_in.filter("_a < _b").select(*lists), "several-in")
+    members = work.save(members.join(several_in, lists), "several-members")
+    x = members.toDF("whole", "shingle", "i", "a", "n", "ca")
+    y = members.toDF("whole", "shingle", "j", "b", "m", "cb")
+    # What a pair of these sizes has to share.
     need = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent) - 1e-9)
+    like = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
+    early = (F.col("n") - F.col("i") >= need) & (F.col("m") - F.col("j") >= need)
+    met = x.join(y, lists).filter("ca < cb").filter(like & (F.col("whole") | early))
+    met = work.save(met.groupBy("a", "b", "n", "m").agg(F.max("whole").alias("same")), "met")
+    # All of it lies among the shared prefix shingles and what follows the prefix.
     rest = F.greatest(*[F.ceil(F.col(v) * percent / 100 - 1e-9) - 1 for v in ("n", "m")])
-    likely = counted.filter(F.col("whole") | (F.col("c") + rest >= need)).select("a", "b")
+    has = members.filter("NOT whole")
+    shared_lists = (
+        met.filter("NOT same")
+        .join(has.select(F.col("rep").alias("a"), "shingle"), "a")
+        .join(has.select(F.col("rep").alias("b"), "shingle"), ["b", "shingle"])
+    )
+    enough = shared_lists.groupBy("a", "b", "n", "m").agg(F.count("*").alias("c")).filter(F.col("c") + rest >= need)
+    likely = enough.select("a", "b").union(met.filter("same").select("a", "b"))
     tested = first.select("a", "b").union(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
     second = work.save(likely.join(tested, ["a", "b"], "left_anti"), "second")
     links = work.save(links.union(verified(second, "second-links")), "links")
