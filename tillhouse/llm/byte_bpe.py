@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from tillhouse.llm.workspace import importable
 
 # Rows of one query, contractions of a word in one query, pieces remembered by a task.
-QUERY_ROWS = 200_000
+QUERY_ROWS = 150_000
 TURNS = 24
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 DECODE_ROWS = 250_000
 # Text characters that are encoded together.
 BATCH = 2 << 20
@@ -198,64 +198,76 @@ def _rows(names: list[str], types: list, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
 
-def encode(
-    docs: DataFrame, ranks: bytes, pattern: str, doc_id: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """``doc_id``, ``n_tokens`` and ``ids`` (packed as little-endian unsigned 32-bit integers).
+def _slices(batches: Iterator[pa.RecordBatch], weight, most: int) -> Iterator[list[tuple]]:
+    """Rows in groups of about ``most`` by weight; a batch is turned into objects piece by piece."""
+    held, size = [], 0
+    for batch in batches:
+        for start in range(0, batch.num_rows, 512):
+            columns = [c.to_pylist() for c in batch.slice(start, 512).columns]
+            for row in zip(*columns, strict=True):
+                held.append(row)
+                size += weight(row)
+                if size >= most:
+                    yield held
+                    held, size = [], 0
+    if held:
+        yield held
 
-    Whole texts, without special tokens; a null text is empty and has no ids. Each row is a
-    document of its own, whatever ids repeat; other columns are ignored.
-    """
-    importable(docs.sparkSession)
+
+def _encoder(ranks: bytes, pattern: str):
     names, types = ["doc_id", "n_tokens", "ids"], [pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, split = Coder.of(ranks), regex.compile(pattern).findall
-
-        def flush(held):
-            packed = coder.encode([split(body) for _, body in held])
+        for held in _slices(batches, lambda row: len(row[1] or ""), BATCH):
+            packed = coder.encode([split(body or "") for _, body in held])
             rows = [(doc, len(ids) // 4, ids) for (doc, _), ids in zip(held, packed, strict=True)]
-            return _rows(names, types, rows)
-
-        for batch in batches:
-            held, size = [], 0
-            for doc, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.append((doc, body or ""))
-                size += len(body or "")
-                if size >= BATCH:
-                    yield flush(held)
-                    held, size = [], 0
-            if held:
-                yield flush(held)
+            yield _rows(names, types, rows)
 
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary")
+    return run
 
 
-def decode(encoded: DataFrame, ranks: bytes) -> DataFrame:
-    """Rows of ``encode`` with ``decoded``, the bytes that the ids stand for."""
-    importable(encoded.sparkSession)
+def _decoder(ranks: bytes):
     names = ["doc_id", "n_tokens", "ids", "decoded"]
     types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder.of(ranks)
-
-        def flush(held):
+        for held in _slices(batches, lambda row: row[1] or 0, DECODE_ROWS):
             bodies = coder.decode([ids or b"" for _, _, ids in held])
-            return _rows(names, types, [(*h, b) for h, b in zip(held, bodies, strict=True)])
+            yield _rows(names, types, [(*h, b) for h, b in zip(held, bodies, strict=True)])
 
-        for batch in batches:
-            held, size = [], 0
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.append(row)
-                size += row[1] or 0
-                if size >= DECODE_ROWS:
-                    yield flush(held)
-                    held, size = [], 0
-            if held:
-                yield flush(held)
+    return run
 
-    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(
-        run, "doc_id bigint, n_tokens bigint, ids binary, decoded binary"
-    )
+
+def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    importable(docs.sparkSession)
+    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+
+
+def encode(
+    docs: DataFrame, ranks: bytes, pattern: str, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``doc_id``, ``n_tokens`` and ``ids`` (packed as little-endian unsigned 32-bit integers).
+
+    Whole texts, without special tokens; a null text is empty and has no ids. Each row is a
+    document of its own, whatever ids repeat; other columns are ignored.
+    """
+    rows = _texts(docs, doc_id, text)
+    return rows.mapInArrow(_encoder(ranks, pattern), "doc_id bigint, n_tokens bigint, ids binary")
+
+
+def decode(encoded: DataFrame, ranks: bytes) -> DataFrame:
+    """Rows of ``encode`` with ``decoded``, the bytes that the ids stand for."""
+    importable(encoded.sparkSession)
+    shape = "doc_id bigint, n_tokens bigint, ids binary, decoded binary"
+    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(_decoder(ranks), shape)
+
+
+def round_trip(
+    docs: DataFrame, ranks: bytes, pattern: str, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``decode(encode(docs))`` in one worker, which then holds one vocabulary."""
+    encoder, decoder = _encoder(ranks, pattern), _decoder(ranks)
+    shape = "doc_id bigint, n_tokens bigint, ids binary, decoded binary"
+    return _texts(docs, doc_id, text).mapInArrow(lambda batches: decoder(encoder(batches)), shape)

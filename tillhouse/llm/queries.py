@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillhouse.llm.byte_bpe import decode, encode, read_ranks
+from tillhouse.llm.byte_bpe import read_ranks, round_trip
 from tillhouse.llm.embedding_dedup import embedding_dedup
 from tillhouse.llm.exact_dedup import exact_dedup
 from tillhouse.llm.jaccard_join import jaccard_join
@@ -26,7 +26,7 @@ def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 def token_digests(docs: DataFrame) -> DataFrame:
     ranks = read_ranks(public_tokenizers.path(RANKS))
-    coded = decode(encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    coded = round_trip(docs, ranks, public_tokenizers.PATTERN)
     return coded.select(
         "doc_id",
         "n_tokens",
