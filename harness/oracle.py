@@ -43,7 +43,7 @@ PARTS |= {
         FROM one_products WHERE unit_price >= 0""",
     "customer_min": """
         SELECT email, min(customer_id) AS customer_id FROM clean_customers
-        WHERE email IS NOT NULL GROUP BY email""",
+        GROUP BY email""",
     "product_min": """
         SELECT product_name, category_code, min(product_id) AS product_id FROM clean_products
         GROUP BY product_name, category_code""",
@@ -437,8 +437,7 @@ ORACLE: dict[str, str] = {
                is_delete AS _is_delete, ts_ns AS _cdc_ts
         FROM newest_events""",
     "cdc_high_water": """
-        SELECT max(ts_ns) AS high_water FROM user_events
-        WHERE ts < TIMESTAMP '2024-01-15 00:00:00'""",
+        SELECT max(ts_ns) AS high_water FROM user_events""",
     "check_table_rows": _rows_check("table_rows", "transaction_items"),
     "check_row_counts": _stack([_rows_check("row_counts", t) for t in SOURCES]),
     "check_gold": _stack([

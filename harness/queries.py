@@ -246,9 +246,9 @@ def cdc_rebuild(spark, directory):
 
 @query
 def cdc_high_water(spark, directory):
-    first, _ = _halves(spark, directory)
+    events = user_events(spark, directory)
     return changes.high_water_mark(
-        changes.rebuild_from_events(first, USERS, "user_id", FIRST_LOAD)
+        changes.rebuild_from_events(events, USERS, "user_id", FIRST_LOAD)
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tillhouse.operators.asof import as_of_version
 from tillhouse.operators.dedupe import dedupe_by_key, survivor_map
 from tillhouse.operators.lookup import translate
-from tillhouse.operators.skew import MOST_HOT_KEYS, hottest, join_lookup
+from tillhouse.operators.skew import hottest, join_lookup
 
 ROWS = 60_000
 
@@ -112,12 +112,11 @@ def test_hot_copies_of_one_row_collapse_before_the_shuffle(spark):
     assert len(rows) == 20_001 and rows[0] == (0, Decimal(0))
 
 
-def test_list_of_hot_keys_is_bounded(spark):
+def test_every_hot_key_is_split_by_its_own_count(spark):
     counts = spark.range(5000).selectExpr("id AS k", "id AS n")
     hot = hottest(counts, ["k"], "n", 10)
-    assert hot.count() == MOST_HOT_KEYS
-    assert hot.agg(F.min("k")).first()[0] == 4000
-    assert hottest(counts, ["k"], "n", 10_000).count() == 0
+    assert hot.count() == 4989
+    assert {r.k: r["_slots"] for r in hot.filter("k IN (11, 20, 4995)").collect()} == {11: 2, 20: 2, 4995: 500}
 
 
 def test_days_are_not_the_limit_of_a_running_total(spark):
@@ -128,5 +127,5 @@ def test_days_are_not_the_limit_of_a_running_total(spark):
     df = spark.createDataFrame(
         [(n, 1, day, Decimal(1)) for n in range(300)], "id INT, item INT, day DATE, v DECIMAL(10,2)"
     )
-    got = running_total(df, "item", "day", "id", "v", "t", hot_rows=10, block_bits=3).collect()
+    got = running_total(df, "item", "day", "id", "v", "t", block_bits=3).collect()
     assert {r.id: r.t for r in got} == {n: Decimal(n + 1) for n in range(300)}

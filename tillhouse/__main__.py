@@ -16,7 +16,7 @@ from datetime import UTC, datetime
 from pyspark.sql import SparkSession
 
 from tillhouse.plans import checks
-from tillhouse.plans.pipeline import build, load_changes, load_snapshot
+from tillhouse.plans.pipeline import TABLES, build, load_changes, load_snapshot
 from tillhouse.plans.run import lake_run
 from tillhouse.plans.serving import serve
 from tillhouse.session import configure
@@ -51,6 +51,9 @@ def _step(name: str, work) -> None:
 
 def _run(spark: SparkSession, args) -> None:
     lake, now = Lake(spark, args.lake), datetime.now(UTC).replace(tzinfo=None)
+    known = {f"{t.layer}.{t.name}" for t in TABLES}
+    if unknown := sorted(set(args.only or ()) - known):
+        raise SystemExit(f"no such table: {', '.join(unknown)}")
     if args.events:
         _step("bronze", lambda: load_changes(lake, args.events, now))
     else:

@@ -35,10 +35,10 @@ def survivors(
     """The row with the lowest id of each natural key, with that row's own attributes.
 
     The id leads the struct, so the least struct is the survivor's row: one aggregation
-    in place of a minimum and a join back. A row without a natural key survives nowhere.
+    in place of a minimum and a join back. Rows whose natural key is null are one group.
     """
     return (
-        df.filter(_present([*natural_key, id_column]))
+        df.filter(F.col(id_column).isNotNull())
         .groupBy(*natural_key)
         .agg(F.min(F.struct(id_column, *attributes)).alias("_survivor"))
         .select(*natural_key, "_survivor.*")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillhouse.operators.skew import HOT_ROWS, hottest
 from tillhouse.schemas import TOTAL
 
 # Ids per block of a hot group. Ids are unique, so a block has at most this many rows.
@@ -19,32 +20,14 @@ def running_total(
     row_id: str,
     value: str,
     into: str,
-    counted: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
     block_bits: int = BLOCK_BITS,
 ) -> DataFrame:
     """Sum of ``value`` over the rows of the group up to this one, by day and then id.
 
-    ``row_id`` must be a unique whole number and ``group`` not null. Ordinary groups take a
-    window. Groups with more than ``hot_rows`` rows are summed per day and block of ids
-    first; the list of those groups is short enough to broadcast (see ``hottest``). Where
-    it is empty, adaptive execution drops that branch. ``counted`` may be a cheaper frame
-    to count groups in, one that has at least the rows of ``df``.
+    ``row_id`` must be a unique whole number and ``group`` not null. Three levels, each
+    bounded: days of a group, blocks of a day, rows of a block. Every group takes this one way,
+    so its size never decides the answer. As in SQL, the total is null until the first amount.
     """
-    counts = (counted or df).groupBy(group).agg(F.count("*").alias("_rows"))
-    hot = F.broadcast(hottest(counts, [group], "_rows", hot_rows))
-    whole = Window.partitionBy(group).orderBy(day, row_id)
-    ordinary = df.join(hot, group, "left_anti").withColumn(
-        into, F.sum(value).over(whole.rowsBetween(Window.unboundedPreceding, 0)).cast(TOTAL)
-    )
-    blocked = _by_blocks(
-        df.join(hot, group, "left_semi"), group, day, row_id, value, into, block_bits
-    )
-    return ordinary.unionByName(blocked)
-
-
-def _by_blocks(df, group, day, row_id, value, into, block_bits) -> DataFrame:
-    """Three levels, each bounded: days of a group, blocks of a day, rows of a block."""
     columns = df.columns
     earlier = (Window.unboundedPreceding, -1)
     # Never null, so that they can be joined on.
@@ -67,11 +50,10 @@ def _by_blocks(df, group, day, row_id, value, into, block_bits) -> DataFrame:
 
     zero = F.lit(0).cast(TOTAL)
     inside = Window.partitionBy(group, "_day", "_block").orderBy(row_id)
-    running = (
-        F.coalesce("_before_day", zero)
-        + F.coalesce("_before_block", zero)
-        + F.coalesce(F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0)), zero)
-    )
+    own = F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    parts = [F.col("_before_day"), F.col("_before_block"), own]
+    summed = reduce(lambda a, b: a + b, [F.coalesce(x, zero) for x in parts])
+    running = F.when(F.coalesce(*[x.cast(TOTAL) for x in parts]).isNotNull(), summed)
     return keyed.join(starts, [group, "_day", "_block"]).select(
         *columns, running.cast(TOTAL).alias(into)
     )

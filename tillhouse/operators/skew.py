@@ -14,23 +14,15 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Keys with more rows than this are spread.
+# Rows of one key that a task should hold. Keys with more are spread over as many slots as
+# that takes, however many such keys there are.
 HOT_ROWS = 100_000
-# Longest list of hot keys. Every key left out holds less than 1/1000 of the rows, which
-# is a fair share for one task.
-MOST_HOT_KEYS = 1_000
-# Tasks that share one hot key.
-SPLITS = 64
 
 
 def hottest(counts: DataFrame, keys: Sequence[str], count: str, hot_rows: int) -> DataFrame:
-    """The hot keys of a table of row counts per key: at most MOST_HOT_KEYS rows, so the
-    result may be broadcast however large the table is."""
-    return (
-        counts.filter(F.col(count) > hot_rows)
-        .orderBy(F.col(count).desc())
-        .limit(MOST_HOT_KEYS)
-        .select(*keys)
+    """Every key with more than ``hot_rows`` rows, and ``_slots``: how many tasks share it."""
+    return counts.filter(F.col(count) > hot_rows).select(
+        *keys, F.ceil(F.col(count) / hot_rows).cast("int").alias("_slots")
     )
 
 
@@ -40,25 +32,21 @@ def spread_join(
     on: Sequence[str],
     hot: DataFrame,
     how: str = "inner",
-    splits: int = SPLITS,
 ) -> DataFrame:
     """Join ``many`` rows per key with ``one`` row per key, sharing hot keys among tasks.
 
-    Rows of a hot key get one of ``splits`` slots from their own content, so a retried task
-    repeats the choice; the single row on the other side is copied to every slot. Rows with
-    a null key match nothing and are spread as well.
+    Rows of a hot key get one of its slots from their own content, so a retried task repeats
+    the choice; the single row on the other side is copied to every slot. Rows with a null key
+    match nothing and are spread as well. Spark broadcasts the hot keys when they are few.
     """
-    flag = F.broadcast(hot.select(*on).withColumn("_hot", F.lit(True)))
-    slot = F.pmod(F.xxhash64(*[many[c] for c in many.columns]), F.lit(splits)).cast("int")
-    slots = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(splits - 1)))
     no_key = reduce(lambda a, b: a | b, [many[c].isNull() for c in on])
-    left = many.join(flag, list(on), "left").withColumn(
-        "_slot", F.when(F.col("_hot") | no_key, slot).otherwise(0)
-    )
-    right = one.join(flag, list(on), "left").withColumn(
-        "_slot", F.explode(slots.otherwise(F.array(F.lit(0))))
-    )
-    return left.drop("_hot").join(right.drop("_hot"), [*on, "_slot"], how).drop("_slot")
+    hashed = F.xxhash64(*[many[c] for c in many.columns])
+    slots = F.when(no_key, F.lit(1 << 20)).otherwise(F.coalesce("_slots", F.lit(1)))
+    left = many.join(hot, list(on), "left").withColumn("_slot", F.pmod(hashed, slots).cast("int"))
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_slots", F.lit(1)) - 1))
+    right = one.join(hot, list(on), "left").withColumn("_slot", copies)
+    joined = left.drop("_slots").join(right.drop("_slots"), [*on, "_slot"], how)
+    return joined.drop("_slot")
 
 
 def join_lookup(

@@ -202,7 +202,6 @@ def checked_refunds(run: Run) -> DataFrame:
         "refund_id",
         "amount",
         "refunded_so_far",
-        counted=run.read("bronze", "refunds").select("item_id"),
     )
     sold = run.read("silver", "sales").select(
         "item_id", "transaction_id", "store_id", "customer_id", "product_id", "line_amount"

@@ -32,16 +32,21 @@ def jdbc_table(
 
     Only the two bounds of the key reach the driver.
     """
-    reader = spark.read.format("jdbc").option("url", url).options(**(options or {}))
+
+    def reader():
+        # Options stay on a reader, and Spark refuses "query" beside "dbtable": one for each.
+        return spark.read.format("jdbc").option("url", url).options(**(options or {}))
+
     if key is None:
-        return reader.option("dbtable", relation).load()
-    bounds = reader.option(
+        return reader().option("dbtable", relation).load()
+    bounds = reader().option(
         "query", f"SELECT MIN({key}) AS low, MAX({key}) AS high FROM {relation}"
     ).load().first()
     if bounds.low is None:
-        return reader.option("dbtable", relation).load()
+        return reader().option("dbtable", relation).load()
     return (
-        reader.option("dbtable", relation)
+        reader()
+        .option("dbtable", relation)
         .option("partitionColumn", key)
         .option("lowerBound", bounds.low)
         .option("upperBound", bounds.high)

@@ -32,9 +32,15 @@ def landing_glob(root: str, table: str, topic_prefix: str = "demo.pos.") -> str:
 
 
 def has_events(spark: SparkSession, glob: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{glob}/*.parquet")
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    return found is not None and len(found) > 0
+    """Whether any event file has landed: lists folders until the first file."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(glob)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in fs.globStatus(path) or []:
+        entries = fs.listStatusIterator(folder.getPath())
+        while entries.hasNext():
+            if entries.next().getPath().getName().endswith(".parquet"):
+                return True
+    return False
 
 
 def _with_position(events: DataFrame) -> DataFrame:
@@ -106,13 +112,17 @@ class ChangeFeed:
         self._publish(apply_batch(self.state(), batch, self.key))
         return True
 
-    def apply(self, events: DataFrame, run_ts: datetime | None = None) -> None:
+    def apply(
+        self, events: DataFrame, run_ts: datetime | None = None, glob: str | None = None
+    ) -> None:
         """Merge one batch of events whatever their age; each row takes only newer ones, so
-        a batch that is delivered again changes nothing."""
+        a batch that is delivered again changes nothing. A table that comes from full
+        refreshes is replaced from everything that has landed at ``glob``, not from this batch."""
         now = run_ts or _utc_now()
         if self._resumable():
             self._merge(events, now, None)
         else:
+            events = self.events(glob) if glob else events
             self._publish(rebuild_from_events(events, self.columns, self.key, now))
 
     def stream(
@@ -132,7 +142,7 @@ class ChangeFeed:
             reader = reader.option("maxFilesPerTrigger", max_files_per_batch)
         return (
             _with_position(reader.parquet(glob))
-            .writeStream.foreachBatch(lambda batch, _id: self.apply(batch, clock()))
+            .writeStream.foreachBatch(lambda batch, _id: self.apply(batch, clock(), glob))
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
             .start()
