@@ -227,13 +227,17 @@ def jaccard_join(
     active = work.save(posting.select("gid").union(several).distinct(), "active")
     needed = classes.join(active, "gid", "left_semi").select(F.col("rep").alias("id"))
     bodies = rows.filter("doc_id IS NOT NULL").mapInArrow(_squeeze, "id bigint, body binary")
-    bodies = bodies.join(work.save(needed.distinct(), "needed"), "id", "left_semi")
+    needed = work.save(needed.distinct(), "needed")
+    bodies = bodies.join(needed.hint("merge"), "id", "left_semi")
     bodies = work.save(bodies, "bodies")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (``a``, ``b``) that link. Both joins are between plain tables."""
+        # Sort-merge at every size: a small set of pairs would be broadcast on small inputs only.
+        pairs = pairs.hint("merge")
         right = pairs.join(bodies.select(F.col("id").alias("b"), F.col("body").alias("_right")), "b")
-        both = right.join(bodies.select(F.col("id").alias("a"), F.col("body").alias("_left")), "a")
+        left = bodies.select(F.col("id").alias("a"), F.col("body").alias("_left"))
+        both = right.hint("merge").join(left, "a")
         tried = both.select("a", "b", "_left", "_right").mapInArrow(
             _verify(shingle, percent), "a bigint, b bigint, linked boolean"
         )
