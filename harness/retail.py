@@ -28,6 +28,8 @@ RUNS = (
 
 _TABLES = {(t.layer, t.name): t for t in TABLES}
 HISTORY = ("silver", "customer_history")
+# What the builder of each table reads, as recorded when it was first planned.
+_READS: dict[tuple[str, str], set[tuple[str, str]]] = {}
 
 
 class Retail:
@@ -43,6 +45,7 @@ class Retail:
         self.lake = Lake(spark, shared_dir(spark, "lake"))
         self.run = Run(self.stored, lambda layer, table: True, RUNS[-1])
         self._open: dict[tuple[str, str], DataFrame] = {}
+        self._drafts: dict[tuple[str, str], DataFrame] = {}
 
     def read(self, layer: str, table: str) -> DataFrame:
         """The plan of one table over its published inputs."""
@@ -70,7 +73,25 @@ class Retail:
     def _inputs(self, place: tuple[str, str]) -> set[tuple[str, str]]:
         if place == HISTORY:
             return set()
-        return {r for r in _TABLES[place].reads if r[0] != "bronze"}
+        if place not in _READS:
+            self._draft(place)
+        return _READS[place]
+
+    def _draft(self, place: tuple[str, str]) -> DataFrame:
+        """A table's plan down to the source views, never run; records what builders read."""
+        reads: set[tuple[str, str]] = set()
+
+        def read(layer: str, table: str) -> DataFrame:
+            if layer == "bronze":
+                return retail_table(self.spark, self.directory, table)
+            reads.add((layer, table))
+            if (layer, table) not in self._drafts:
+                self._drafts[layer, table] = self._draft((layer, table))
+            return self._drafts[layer, table]
+
+        plan = _TABLES[place].build(Run(read, lambda *_: False, RUNS[-1]))
+        _READS[place] = reads
+        return plan
 
     def _publish(self, places: set[tuple[str, str]]) -> None:
         """Publish tables and what they need, those that are ready at the same time."""

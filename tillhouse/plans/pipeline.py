@@ -1,9 +1,10 @@
-"""All derived tables in build order, and whole runs over a lake."""
+"""All derived tables, and whole runs over a lake."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
-from dataclasses import dataclass
+from concurrent.futures import Future
+from dataclasses import dataclass, replace
 from datetime import datetime
 from functools import partial
 
@@ -20,65 +21,45 @@ from tillhouse.streaming.change_feed import ChangeFeed, landing_glob
 
 @dataclass(frozen=True)
 class Table:
-    """A derived table, its builder and the tables the builder reads."""
+    """A derived table and its builder. What it needs is what the builder reads."""
 
     layer: str
     name: str
     build: Callable[[Run], DataFrame]
-    reads: frozenset[tuple[str, str]]
-
-
-def _table(layer: str, name: str, build: Callable[[Run], DataFrame], **reads: str) -> Table:
-    pairs = {(source, t) for source, names in reads.items() for t in names.split()}
-    return Table(layer, name, build, frozenset(pairs))
-
-
-# A table that reads its own earlier version does not list itself.
-TABLES = (
-    _table("silver", "customers", silver.customers, bronze="customers country_ref"),
-    _table("silver", "customer_history", silver.customer_history, silver="customers"),
-    _table("silver", "products", silver.products, bronze="products category_ref"),
-    _table("silver", "stores", silver.stores, bronze="stores country_ref"),
-    _table(
-        "silver", "transactions", silver.transactions, bronze="transactions status_ref customers"
-    ),
-    _table(
-        "silver",
-        "sales",
-        silver.sales,
-        bronze="transaction_items products",
-        silver="transactions customers stores",
-    ),
-    _table(
-        "silver",
-        "rejected_sales",
-        silver.rejected_sales,
-        bronze="transaction_items",
-        silver="transactions sales",
-    ),
-    _table("silver", "refunds", silver.refunds, bronze="refunds", silver="sales"),
-    _table(
-        "silver", "rejected_refunds", silver.rejected_refunds, bronze="refunds", silver="refunds"
-    ),
-    _table("gold", "dim_customer", gold.dim_customer, silver="customer_history"),
-    _table("gold", "dim_product", gold.dim_product, silver="products"),
-    _table("gold", "dim_store", gold.dim_store, silver="stores"),
-    _table("gold", "dim_date", gold.dim_date, silver="sales refunds"),
-    _table("gold", "fact_sales", gold.fact_sales, silver="sales", gold="dim_customer"),
-    _table("gold", "fact_refunds", gold.fact_refunds, silver="refunds", gold="dim_customer"),
-    _table("mart", "daily_sales_mart", mart.daily_sales, gold="fact_sales fact_refunds dim_store"),
-    _table(
-        "mart",
-        "product_sales_mart",
-        mart.product_sales,
-        gold="fact_sales fact_refunds dim_product",
-    ),
-    _table(
-        "mart",
-        "customer_sales_mart",
-        mart.customer_sales,
-        gold="fact_sales fact_refunds dim_customer",
-    ),
+
+    @property
+    def place(self) -> tuple[str, str]:
+        return self.layer, self.name
+
+
+SILVER = {
+    "customers": silver.customers,
+    "products": silver.products,
+    "stores": silver.stores,
+    "customer_history": silver.customer_history,
+    "transactions": silver.transactions,
+    "sales": silver.sales,
+    "refunds": silver.refunds,
+    "rejected_sales": silver.rejected_sales,
+    "rejected_refunds": silver.rejected_refunds,
+}
+GOLD = {
+    "dim_date": gold.dim_date,
+    "dim_store": gold.dim_store,
+    "dim_product": gold.dim_product,
+    "dim_customer": gold.dim_customer,
+    "fact_sales": gold.fact_sales,
+    "fact_refunds": gold.fact_refunds,
+}
+MARTS = {
+    "daily_sales_mart": mart.daily_sales,
+    "product_sales_mart": mart.product_sales,
+    "customer_sales_mart": mart.customer_sales,
+}
+TABLES = tuple(
+    Table(layer, name, builder)
+    for layer, builders in (("silver", SILVER), ("gold", GOLD), ("mart", MARTS))
+    for name, builder in builders.items()
 )
 
 
@@ -109,20 +90,30 @@ def load_changes(
 def build(
     lake: Lake, run_ts: datetime | str, only: Iterable[tuple[str, str]] | None = None
 ) -> None:
-    """Build derived tables, all or a chosen subset. A table starts when those it reads are
-    published, so plans stay short and a restarted run reads what is finished."""
+    """Build derived tables, all or a chosen subset. All start at once, and a builder that
+    reads another table of this build waits until that is published, so plans stay short and a
+    restarted run reads what is finished."""
     run = lake_run(lake, run_ts)
-    chosen = {(t.layer, t.name) for t in TABLES} if only is None else set(only)
+    wanted = None if only is None else set(only)
+    chosen = [t for t in TABLES if wanted is None or t.place in wanted]
+    published = {t.place: Future() for t in chosen}
 
     def publish(table: Table) -> None:
-        lake.publish(table.build(run), table.layer, table.name)
-
-    waiting = [t for t in TABLES if (t.layer, t.name) in chosen]
-    while waiting:
-        pending = {(t.layer, t.name) for t in waiting}
-        ready = [t for t in waiting if not t.reads & pending]
-        together(partial(publish, t) for t in ready)
-        waiting = [t for t in waiting if t not in ready]
+        def read(layer: str, name: str) -> DataFrame:
+            # A table that reads its own earlier version does not wait for itself.
+            if (layer, name) != table.place and (layer, name) in published:
+                published[layer, name].result()
+            return run.read(layer, name)
+
+        try:
+            lake.publish(table.build(replace(run, read=read)), *table.place)
+        except BaseException as failure:
+            published[table.place].set_exception(failure)
+            raise
+        published[table.place].set_result(None)
+
+    # Every table has a thread of its own, as those that wait hold theirs.
+    together((partial(publish, t) for t in chosen), max(1, len(chosen)))
 
 
 def run_snapshot(

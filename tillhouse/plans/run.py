@@ -44,9 +44,9 @@ def lake_run(lake: Lake, run_ts: datetime | str) -> Run:
     return Run(read, lake.exists, run_ts)
 
 
-def together(jobs: Iterable[Callable[[], object]]) -> list:
+def together(jobs: Iterable[Callable[[], object]], threads: int = 8) -> list:
     """Run independent Spark jobs at the same time, so that small tables do not leave the
     cluster idle. The first failure is raised once all have ended."""
-    with ThreadPoolExecutor(max_workers=8) as pool:
+    with ThreadPoolExecutor(max_workers=threads) as pool:
         started = [pool.submit(job) for job in jobs]
     return [job.result() for job in started]
