@@ -458,6 +458,11 @@ ORACLE: dict[str, str] = {
     "adhoc_revenue": """
         SELECT count(*) AS sales_rows, CAST(sum(line_amount) AS DECIMAL(38,2)) AS revenue
         FROM fact_sales""",
+    "adhoc_current_even_customers": """
+        SELECT customer_key, customer_id, country FROM dim_customer
+        WHERE is_current AND customer_id % 2 = 0""",
+    "adhoc_distinct_days": "SELECT DISTINCT date_key FROM fact_sales",
+    "cdc_tie_across_batches": "SELECT * FROM users_now WHERE user_id % 2 <> 0",
     "adhoc_version_moved": """
         SELECT f.customer_key, count(*) AS sales_rows,
                CAST(sum(f.line_amount) AS DECIMAL(38,2)) AS revenue
@@ -466,7 +471,7 @@ ORACLE: dict[str, str] = {
 }
 # Whatever the order and repetition of delivery, the table ends as the newest events say.
 for _key in ("cdc_rebuild", "cdc_merge", "cdc_incremental", "cdc_stream_merge",
-             "cdc_reapply_noop", "cdc_late_event", "cdc_empty_bootstrap"):
+             "cdc_reapply_noop", "cdc_late_event", "cdc_mode_switch", "cdc_empty_bootstrap"):
     ORACLE[_key] = "SELECT * FROM users_now"
 
 

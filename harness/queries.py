@@ -312,6 +312,48 @@ def cdc_late_event(spark, directory):
     return _users(feed.state())
 
 
+@query
+def cdc_mode_switch(spark, directory):
+    """A full refresh replaces the table between two runs of the stream: the second run
+    rebuilds from everything that has landed, not from its own batch."""
+    first, second = _halves(spark, directory)
+    feed, root = _feed(spark), shared_dir(spark, "landing")
+    glob = landing_glob(root, "users")
+    folder = glob.replace("*", "0")
+    first.write.mode("append").parquet(folder)
+    feed.stream(glob, f"{root}/checkpoint").awaitTermination()
+    snapshot = changes.live(feed.state()).drop("_cdc_ts")
+    feed.lake.publish(snapshot, "bronze", "users")
+    second.write.mode("append").parquet(folder)
+    feed.stream(glob, f"{root}/checkpoint").awaitTermination()
+    return _users(feed.state())
+
+
+@query
+def cdc_tie_across_batches(spark, directory):
+    """After all events, deletes of the even users land with the time of the event that each
+    row came from. What landed later counts."""
+    events = user_events(spark, directory)
+    feed, root = _feed(spark), shared_dir(spark, "landing")
+    glob = landing_glob(root, "users")
+    events.write.parquet(glob.replace("*", "0"))
+    feed.stream(glob, f"{root}/checkpoint").awaitTermination()
+    newest = changes.latest_events(events, USERS, "user_id").filter("_key % 2 = 0")
+    row = events.schema["value"].dataType["before"].dataType
+    gone = F.struct(
+        F.struct(
+            F.col("_key").alias("user_id"),
+            *[F.lit(None).cast(f.dataType).alias(f.name) for f in row if f.name != "user_id"],
+        ).alias("before"),
+        F.lit(None).cast(row).alias("after"),
+        F.lit("d").alias("op"),
+        F.col("_cdc_ts").alias("ts_ns"),
+    )
+    newest.select(gone.alias("value")).write.parquet(glob.replace("*", "1"))
+    feed.stream(glob, f"{root}/checkpoint").awaitTermination()
+    return _users(feed.state())
+
+
 @query
 def cdc_empty_bootstrap(spark, directory):
     """Polling before anything has landed publishes an empty typed table, which later
@@ -388,6 +430,15 @@ def check_served(spark, directory):
 
 
 # --- Ad-hoc SQL over gold ---------------------------------------------------------------
+of_retail(
+    "adhoc_current_even_customers",
+    lambda r: r.read("gold", "dim_customer")
+    .filter("is_current AND customer_id % 2 = 0")
+    .select("customer_key", "customer_id", "country"),
+)
+of_retail("adhoc_distinct_days", lambda r: r.read("gold", "fact_sales").select("date_key").distinct())
+
+
 @query
 def adhoc_revenue(spark, directory):
     return spark.sql(

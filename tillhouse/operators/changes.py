@@ -1,7 +1,7 @@
 """Merging change events into a table.
 
 A change table holds the source columns plus ``_ingested_at``, ``_cdc_ts`` (time of the
-event behind the row) and ``_state``. A deleted key stays as a row in state ``gone``, so an
+event behind the row), ``_position`` (where that event landed, if known) and ``_state``. A deleted key stays as a row in state ``gone``, so an
 older event that arrives late cannot bring it back; ``live`` hides those rows.
 """
 
@@ -17,6 +17,13 @@ from tillhouse.functions import day_of, moment
 
 LIVE, GONE = "live", "gone"
 POSITION = "_position"
+POSITION_TYPE = "struct<file_path:string,row_index:bigint>"
+
+
+def _position(df: DataFrame) -> Column:
+    """Where the event behind a row landed; null in frames that do not know."""
+    known = F.col(POSITION) if POSITION in df.columns else F.lit(None)
+    return known.cast(POSITION_TYPE).alias(POSITION)
 
 
 def _typed(field: T.StructField) -> Column:
@@ -30,7 +37,7 @@ def latest_events(
     events: DataFrame, columns: T.StructType, key: str, since: int | None = None
 ) -> DataFrame:
     """The newest event of each key after ``since``: typed columns, ``_key``,
-    ``_is_delete`` and ``_cdc_ts``.
+    ``_is_delete``, ``_cdc_ts`` and ``_position``.
 
     The greatest struct per key is aggregated before the shuffle, so a key with very many
     events costs one row per task. Equal times are decided by the landing position when the
@@ -38,7 +45,6 @@ def latest_events(
     """
     if since is not None:
         events = events.filter(F.col("value.ts_ns") > F.lit(since))
-    position = [F.col(POSITION)] if POSITION in events.columns else []
     newest = events.groupBy(
         F.coalesce(F.col(f"value.after.{key}"), F.col(f"value.before.{key}"))
         .cast(columns[key].dataType)
@@ -47,7 +53,7 @@ def latest_events(
         F.max(
             F.struct(
                 F.col("value.ts_ns").alias("_cdc_ts"),
-                *position,
+                _position(events),
                 (F.col("value.op") == "d").alias("_is_delete"),
                 F.struct(*[_typed(f).alias(f.name) for f in columns]).alias("_row"),
             )
@@ -58,6 +64,7 @@ def latest_events(
         "_key",
         "_newest._is_delete",
         "_newest._cdc_ts",
+        f"_newest.{POSITION}",
     )
 
 
@@ -72,20 +79,21 @@ def as_rows(
         ],
         moment(run_ts).alias("_ingested_at"),
         "_cdc_ts",
+        POSITION,
         F.when(F.col("_is_delete"), F.lit(GONE)).otherwise(F.lit(LIVE)).alias("_state"),
     )
 
 
 def empty_rows(spark, columns: T.StructType) -> DataFrame:
     """An empty change table with its full schema."""
-    extra = "_ingested_at TIMESTAMP_NTZ, _cdc_ts BIGINT, _state STRING"
+    extra = f"_ingested_at TIMESTAMP_NTZ, _cdc_ts BIGINT, {POSITION} {POSITION_TYPE}, _state STRING"
     fields = [*columns.fields, *T.StructType.fromDDL(extra).fields]
     return spark.createDataFrame([], T.StructType(fields))
 
 
 def live(state: DataFrame) -> DataFrame:
     """What readers see: rows that exist now."""
-    return state.filter(F.col("_state") == LIVE).drop("_state")
+    return state.filter(F.col("_state") == LIVE).drop("_state", POSITION)
 
 
 def high_water_mark(state: DataFrame) -> DataFrame:
@@ -107,21 +115,27 @@ def rebuild_from_events(
 def apply_batch(state: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     """The change table after a batch of newest rows, one per key.
 
-    A row applies when its event is newer than that of the row it meets, so applying a
-    batch again, or out of order, ends in the same table. A batch whose size allows it is
+    A row applies when its event is newer than that of the row it meets, or as old and landed
+    behind it, so applying a batch again, or out of order, ends in the same table. Of equal times
+    without known positions the first applied stays. A batch whose size allows it is
     broadcast, and the table is then scanned, not shuffled; its keys and times are all the
     first scan reads.
     """
-    applied = state.select(key, F.col("_cdc_ts").alias("_applied_ts"))
+    applied = state.select(
+        key, F.col("_cdc_ts").alias("_applied_ts"), _position(state).alias("_applied_at")
+    )
+    behind = F.coalesce(F.col(POSITION) > F.col("_applied_at"), F.lit(False))
+    tie = F.col("_applied_ts") == F.col("_cdc_ts")
     stale = (
-        batch.select(key, "_cdc_ts")
+        batch.select(key, "_cdc_ts", POSITION)
         .join(applied, key)
-        .filter(F.col("_applied_ts") >= F.col("_cdc_ts"))
+        .filter((F.col("_applied_ts") > F.col("_cdc_ts")) | (tie & ~behind))
         .select(key)
     )
     fresh = batch.join(stale, key, "left_anti")
     untouched = state.join(fresh.select(key), key, "left_anti")
-    return untouched.select(*fresh.columns).unionByName(fresh)
+    same = [_position(state) if c == POSITION else F.col(c) for c in fresh.columns]
+    return untouched.select(*same).unionByName(fresh)
 
 
 def merge_events(
