@@ -24,7 +24,7 @@ def test_run_and_check_from_parquet(spark, tmp_path, capsys):
 
 
 class Reader:
-    """Stands for ``spark.read``: no database is available to the tests."""
+    """Stands for one ``spark.read``: no database is available to the tests."""
 
     def __init__(self, bounds):
         self.bounds, self.seen = bounds, {}
@@ -41,19 +41,34 @@ class Reader:
         return self
 
     def load(self):
+        assert not {"query", "dbtable"} <= set(self.seen)  # Spark refuses both on one reader
         return SimpleNamespace(first=lambda: self.bounds)
 
 
+class Session:
+    """Gives a new reader for each ``read``, as a session does."""
+
+    def __init__(self, bounds):
+        self.bounds, self.readers = bounds, []
+
+    @property
+    def read(self):
+        self.readers.append(Reader(self.bounds))
+        return self.readers[-1]
+
+
 def test_database_tables_are_read_in_key_ranges():
-    reader = Reader(SimpleNamespace(low=1, high=900))
-    jdbc_table(SimpleNamespace(read=reader), "jdbc:x", "pos.stores", "store_id", 4, {"user": "u"})
+    session = Session(SimpleNamespace(low=1, high=900))
+    jdbc_table(session, "jdbc:x", "pos.stores", "store_id", 4, {"user": "u"})
+    bounds, reader = session.readers
+    assert "query" in bounds.seen and bounds.seen["user"] == "u"
     assert reader.seen["partitionColumn"] == "store_id" and reader.seen["numPartitions"] == 4
     assert (reader.seen["lowerBound"], reader.seen["upperBound"]) == (1, 900)
     assert reader.seen["dbtable"] == "pos.stores" and reader.seen["user"] == "u"
-    empty = Reader(SimpleNamespace(low=None, high=None))
-    jdbc_table(SimpleNamespace(read=empty), "jdbc:x", "pos.refunds", "refund_id")
-    assert "partitionColumn" not in empty.seen
-    keyless = Reader(None)
-    jdbc_table(SimpleNamespace(read=keyless), "jdbc:x", "pos.status_ref")
-    assert set(keyless.seen) == {"url", "dbtable"}
+    empty = Session(SimpleNamespace(low=None, high=None))
+    jdbc_table(empty, "jdbc:x", "pos.refunds", "refund_id")
+    assert set(empty.readers[-1].seen) == {"url", "dbtable"}
+    keyless = Session(None)
+    jdbc_table(keyless, "jdbc:x", "pos.status_ref")
+    assert [set(r.seen) for r in keyless.readers] == [{"url", "dbtable"}]
     assert len(jdbc_sources(MagicMock(), "jdbc:x", "pos")) == 9

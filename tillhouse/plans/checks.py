@@ -36,6 +36,20 @@ def _row(df: DataFrame, check: str, metric: str | Column, value: str, passed: Co
     )
 
 
+def _rows(df: DataFrame, check: str, metrics: Iterable[tuple[str, str, Column]]) -> DataFrame:
+    """One row of sums turned into one row per metric (name, column, passed): computed once."""
+    made = [
+        F.struct(
+            F.lit(check).alias("check"),
+            F.lit(metric).alias("metric"),
+            F.col(value).cast(TOTAL).alias("value"),
+            passed.alias("passed"),
+        )
+        for metric, value, passed in metrics
+    ]
+    return df.select(F.inline(F.array(*made)))
+
+
 def _stack(frames: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
@@ -58,11 +72,13 @@ def grain(fact: DataFrame, key: str = "item_key") -> DataFrame:
     counted = fact.agg(F.count("*").alias("_n"), F.count_distinct(key).alias("_d")).withColumn(
         "_twice", F.col("_n") - F.col("_d")
     )
-    return _stack(
+    return _rows(
+        counted,
+        "grain",
         [
-            _row(counted, "grain", "rows", "_n", F.col("_n") > 0),
-            _row(counted, "grain", f"duplicate_{key}s", "_twice", F.col("_twice") == 0),
-        ]
+            ("rows", "_n", F.col("_n") > 0),
+            (f"duplicate_{key}s", "_twice", F.col("_twice") == 0),
+        ],
     )
 
 
@@ -78,11 +94,21 @@ def _unmatched(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
 
 
 def orphans(fact: DataFrame, dimensions: Mapping[str, DataFrame], check: str) -> DataFrame:
-    """Rows of a fact that miss their dimension, per foreign key."""
-    return _stack(
-        _row(_unmatched(fact, dim, key), check, key, "_n", F.col("_n") == 0)
-        for key, dim in dimensions.items()
+    """Rows of a fact that miss their dimension, per foreign key. One pass over the fact
+    counts the values of all its keys; a null key misses its dimension."""
+    pair = lambda key: (F.lit(key).alias("_key"), F.col(key).cast("string").alias("_value"))
+    counted = (
+        fact.select(F.inline(F.array(*[F.struct(*pair(key)) for key in dimensions])))
+        .groupBy("_key", "_value")
+        .agg(F.count("*").alias("_n"))
     )
+    known = reduce(DataFrame.unionAll, [dim.select(*pair(key)) for key, dim in dimensions.items()])
+    per_key = [
+        F.coalesce(F.sum(F.when(F.col("_key") == key, F.col("_n"))), F.lit(0)).alias(key)
+        for key in dimensions
+    ]
+    missing = counted.join(known, ["_key", "_value"], "left_anti").agg(*per_key)
+    return _rows(missing, check, [(key, key, F.col(key) == 0) for key in dimensions])
 
 
 def refunds_of_unknown_items(refunds: DataFrame, sales: DataFrame) -> DataFrame:
@@ -121,11 +147,8 @@ def revenue(fact: DataFrame, sales: DataFrame) -> DataFrame:
         F.max(F.when(F.col("_name") == "fact_revenue", F.col("_sum"))).alias("_fact"),
         F.max(F.when(F.col("_name") == "silver_revenue", F.col("_sum"))).alias("_silver"),
     )
-    return _stack(
-        [
-            _row(spread, "revenue", "fact_revenue", "_fact", equal),
-            _row(spread, "revenue", "silver_revenue", "_silver", equal),
-        ]
+    return _rows(
+        spread, "revenue", [("fact_revenue", "_fact", equal), ("silver_revenue", "_silver", equal)]
     )
 
 
@@ -170,11 +193,10 @@ def served_counts(
             )
         )
         equal = F.col("_lake") == F.col("_served")
-        return _stack(
-            [
-                _row(both, "served", f"{table}.lake", "_lake", equal),
-                _row(both, "served", f"{table}.served", "_served", equal),
-            ]
+        return _rows(
+            both,
+            "served",
+            [(f"{table}.lake", "_lake", equal), (f"{table}.served", "_served", equal)],
         )
 
     return _stack(compared(t) for t in tables)

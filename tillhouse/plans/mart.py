@@ -4,6 +4,9 @@ Facts are summed by their own keys before they meet a dimension. Partial sums co
 hot store, product or customer inside each task, and the joins then handle one row per key.
 Transactions may be counted that way too: a transaction has one date, store and customer,
 so it is counted under exactly one key.
+
+Marts have no order of their own: a table is a set, and its served copy is range-partitioned and
+sorted by the served key, so a sort here would be a shuffle for nothing.
 """
 
 from __future__ import annotations
@@ -50,10 +53,8 @@ def daily_sales(run: Run) -> DataFrame:
     )
     both = sold.join(refunded, day, "full")
     measures = ["transaction_count", "units_sold", "revenue", "refund_amount"]
-    return (
-        both.select(*day, *[zero_if_missing(both, m).alias(m) for m in measures])
-        .select("*", _net("revenue", "refund_amount", "net_revenue"))
-        .orderBy(*day)
+    return both.select(*day, *[zero_if_missing(both, m).alias(m) for m in measures]).select(
+        "*", _net("revenue", "refund_amount", "net_revenue")
     )
 
 
@@ -78,16 +79,12 @@ def product_sales(run: Run) -> DataFrame:
         .agg(total("refund_amount").alias("refund_amount"))
     )
     both = sold.join(refunded, product, "left")
-    return (
-        both.withColumn("refund_amount", zero_if_missing(both, "refund_amount"))
-        .select(
-            *product,
-            "units_sold",
-            "revenue",
-            "refund_amount",
-            _net("revenue", "refund_amount", "net_revenue"),
-        )
-        .orderBy(F.col("revenue").desc())
+    return both.withColumn("refund_amount", zero_if_missing(both, "refund_amount")).select(
+        *product,
+        "units_sold",
+        "revenue",
+        "refund_amount",
+        _net("revenue", "refund_amount", "net_revenue"),
     )
 
 
@@ -123,17 +120,13 @@ def customer_sales(run: Run) -> DataFrame:
         .agg(total("total_refunded").alias("total_refunded"))
     )
     both = bought.join(current, "customer_id").join(refunded, "customer_id", "left")
-    return (
-        both.withColumn("total_refunded", zero_if_missing(both, "total_refunded"))
-        .select(
-            "customer_key",
-            "full_name",
-            "country",
-            "transaction_count",
-            "total_spent",
-            "last_sale_date",
-            "total_refunded",
-            _net("total_spent", "total_refunded", "net_spent"),
-        )
-        .orderBy(F.col("total_spent").desc())
+    return both.withColumn("total_refunded", zero_if_missing(both, "total_refunded")).select(
+        "customer_key",
+        "full_name",
+        "country",
+        "transaction_count",
+        "total_spent",
+        "last_sale_date",
+        "total_refunded",
+        _net("total_spent", "total_refunded", "net_spent"),
     )
