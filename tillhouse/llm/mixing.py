@@ -22,6 +22,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLOCKS = 1 << 16
 LEAST_BLOCKS = 32
 MOST_REPEATS = 3
+# Parts that a fraction of a copy is counted in: sums of billions of them fit a bigint.
+FRACTION = 1 << 28
 
 
 def n_words(text: str | Column = "text") -> Column:
@@ -202,21 +204,48 @@ def mix(
     )
 
 
-def repeat_documents(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
+def repeat_documents(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    seed: int = 17,
+    **options,
+) -> DataFrame:
     """The mix as whole documents, all columns unchanged.
 
-    A document comes as often as its words are taken on average, rounded half up, so those of
-    which less than half is taken go. A document without words is neither taken nor refused: it
-    stays once. Rows that repeat an id share one average.
+    A document comes as often as the whole part of what its words are taken on average, and once
+    more when the fractions, added up along its source in order of length (equal lengths by
+    seed), pass a half and each whole number after it. So the words that come differ from those
+    taken by at most the longest document of the source, however long the blocks are. A document
+    without words is neither taken nor refused: it stays once. Rows that repeat source, id and
+    size share one average and come alike; together they count as one document.
     """
     work = Workspace(docs.sparkSession, "mix-documents")
-    per_id = mix(docs, doc_id, **options).groupBy(F.col("doc_id").alias("_id")).agg(
-        F.sum("taken").alias("_taken"), F.sum("size").alias("_size")
-    )
-    copies = F.when(F.col("_size") == 0, 1).otherwise(
-        F.floor(F.col("_taken") / F.col("_size") + 0.5)
-    )
-    counts = work.save(per_id.select("_id", copies.cast("int").alias("_copies")), "copies")
-    times = F.explode(F.array_repeat(F.lit(0), F.col("_copies")))
-    joined = docs.join(counts.filter("_copies > 0"), F.col(doc_id).eqNullSafe(F.col("_id")))
+    taken = mix(docs, doc_id, text, source, seed=seed, **options).groupBy(
+        F.struct(F.col("source").isNull().alias("none"), F.col("source").alias("name")).alias("_source"),
+        F.col("doc_id").alias("_id"),
+        F.col("size").alias("_size"),
+    )
+    per_id = taken.agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_words")).filter("_words > 0")
+    average = F.col("_taken") / F.col("_words")
+    per_id = per_id.withColumns({
+        "_whole": F.floor(average),
+        "_fraction": F.round((average - F.floor(average)) * FRACTION).cast("bigint"),
+    })
+    order = ["_words", F.xxhash64(F.lit(seed), F.col("_id")), "_id"]
+    carried = running(work, "fractions", per_id, ["_source"], order, "_fraction", "_before")
+    turn = lambda c: F.floor((c + F.lit(FRACTION // 2)) / F.lit(FRACTION))
+    extra = turn(F.col("_before") + F.col("_fraction")) - turn(F.col("_before"))
+    copies = (F.col("_whole") + extra).cast("int").alias("_copies")
+    counts = work.save(carried.select("_source.name", "_id", "_size", copies), "copies")
+    # Left: a document without words has no count.
+    sized = docs.withColumn("_n", n_words(text))
+    same = (
+        F.col(doc_id).eqNullSafe(F.col("_id"))
+        & F.col(source).eqNullSafe(F.col("_name"))
+        & (F.col("_n") == F.col("_size"))
+    )
+    joined = sized.join(counts.withColumnRenamed("name", "_name"), same, "left")
+    times = F.explode(F.array_repeat(F.lit(0), F.coalesce("_copies", F.lit(1))))
     return joined.withColumn("_time", times).select(*docs.columns)
