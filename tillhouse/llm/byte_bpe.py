@@ -6,13 +6,21 @@ neighbours with the merge table and contracts each word's leftmost pair of least
 pair of any word is left. Decoding: token rows join the vocabulary, and an ordered aggregate
 puts each document's bytes together.
 
+The recursive query keeps every turn's rows and takes a turn per contraction of a word, so
+pieces above ``LONG`` bytes go another way: a queue of their pairs by rank and place, contracted
+in the same order, in time n log n.
+
 The encoded pieces are remembered inside a task, up to a bound; that saves work and changes no
-result. Queries take a bounded number of rows at a time, so memory does not depend on the texts.
+result. A query takes a bounded number of rows, of which a long document makes several. What
+is left grows with the longest document and the longest piece: they are held in Python as
+the row, its pieces and ids, and for a long piece its queue.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
+from array import array
 from collections.abc import Iterator
 
 import duckdb
@@ -29,6 +37,8 @@ QUERY_ROWS = 150_000
 TURNS = 24
 REMEMBERED = 400_000
 DECODE_ROWS = 250_000
+# Bytes from which a piece is contracted by a queue; shorter ones are words of a query.
+LONG = 4_096
 # Text characters that are encoded together.
 BATCH = 2 << 20
 
@@ -144,6 +154,39 @@ class Coder:
         data = ids[order].astype("<u4").tobytes()
         return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
+    def _contract_long(self, word: bytes) -> bytes:
+        """Packed ids of one word: the leftmost pair of least rank first, as in the query."""
+        get, n = self.ranks.get, len(word)
+        # By where a token starts: the start of the next, of the one before, and the pair's rank.
+        after, before = array("q", range(1, n + 2)), array("q", range(-1, n))
+        rank = array("q", (get(word[i : i + 2], -1) for i in range(n - 1)))
+        rank.extend([-1, -1])
+        queue = [(r << 32) | i for i, r in enumerate(rank) if r >= 0]
+        heapq.heapify(queue)
+        while queue:
+            choice = heapq.heappop(queue)
+            here = choice & 0xFFFFFFFF
+            if rank[here] != choice >> 32:
+                continue  # contracted otherwise since
+            gone = after[here]
+            end = after[gone]
+            after[here], rank[gone] = end, -1
+            if end < n:
+                before[end] = here
+            for left in (before[here], here):
+                right = after[left] if left >= 0 else n
+                if right < n:
+                    rank[left] = new = get(word[left : after[right]], -1)
+                    if new >= 0:
+                        heapq.heappush(queue, (new << 32) | left)
+                elif left >= 0:
+                    rank[left] = -1
+        ids, here = array("I"), 0
+        while here < n:
+            ids.append(self.ranks[word[here : after[here]]])
+            here = after[here]
+        return np.array(ids, "<u4").tobytes()
+
     def _learn(self, pieces: set[str]) -> None:
         """Encode pieces: those that are a token as a whole, and the others by contraction."""
         names, words, rows = [], [], 0
@@ -158,6 +201,9 @@ class Coder:
             if whole is not None:
                 self.seen[piece] = whole.to_bytes(4, "little")
                 continue
+            if len(body) > LONG:
+                self.seen[piece] = self._contract_long(body)
+                continue
             if rows + len(body) > QUERY_ROWS and words:
                 flush()
                 rows = 0
@@ -186,11 +232,13 @@ class Coder:
         ids = np.frombuffer(b"".join(docs), "<u4").astype(np.int32)
         count = np.fromiter((len(d) // 4 for d in docs), np.int64, len(docs))
         doc = np.repeat(np.arange(len(docs), dtype=np.int32), count)
-        self._table("tokens", doc=doc, pos=np.arange(len(ids)), id=ids)
-        out = [b""] * len(docs)
-        for i, body in self.db.execute(DECODE).fetchall():
-            out[i] = bytes.fromhex(body)
-        return out
+        out = [[] for _ in docs]
+        for start in range(0, len(ids), DECODE_ROWS):
+            part = slice(start, start + DECODE_ROWS)
+            self._table("tokens", doc=doc[part], pos=np.arange(len(ids[part])), id=ids[part])
+            for i, body in self.db.execute(DECODE).fetchall():
+                out[i].append(bytes.fromhex(body))
+        return list(map(b"".join, out))
 
 
 def _rows(names: list[str], types: list, rows: list[tuple]) -> pa.RecordBatch:
