@@ -99,12 +99,26 @@ def exact_dedup(
 
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents of a batch without later copies, all columns unchanged.
+    """One document of each group of equal texts, all columns unchanged.
 
-    Only the ids of the dropped rows meet the documents.
+    Rows are told apart by id and digest, so ids may be null or repeat with other texts. Of rows
+    that repeat both, the one with the smallest text stays (they may differ in white space and
+    in other columns). Only the pairs that drop a row meet the documents.
     """
     work = Workspace(docs.sparkSession, "exact-dedup")
-    judged = exact_dedup(docs, doc_id, text)
-    dropped = work.save(judged.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")), "gone")
-    gone = F.col(doc_id).eqNullSafe(F.col("_gone"))
-    return docs.join(dropped.dropDuplicates(["_gone"]), gone, "left_anti")
+    pairs = exact_dedup(docs, doc_id, text).groupBy("doc_id", "digest").agg(
+        F.count("*").alias("_rows"), F.first("kept").alias("_kept")
+    )
+    marked = pairs.filter("_rows > 1 OR NOT _kept").select(
+        F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "_kept"
+    )
+    marked = work.save(marked, "marked")
+    digest = F.unhex(F.sha2(normalised(text), 256))
+    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (digest == F.col("_digest"))
+    single = docs.join(marked, same, "left_anti")
+    repeated = marked.filter("_kept")
+    if repeated.isEmpty():
+        return single
+    least = F.min_by(F.struct(*docs.columns), F.struct(text)).alias("_row")
+    one = docs.join(repeated, same).groupBy("_id", "_digest").agg(least).select("_row.*")
+    return single.unionByName(one)
