@@ -1,18 +1,33 @@
-"""Licence scan: texts against licence notices by the Dice coefficient over word bigrams.
+"""Licence scan: texts against licence notices and full licences by the Dice coefficient over word bigrams.
 
-The units are the whole text and each of its lines. A unit is normalised to lower-case words of
-``[a-z0-9]``; its bigrams count with repeats. The coefficient of two units of n and m bigrams is at
-most ``2 * min(n, m) / (n + m)``, so the number of words alone rules out nearly all pairs, and
-only the rest is normalised and compared. All of it are column functions in the scan.
+The units are the whole text, each of its lines, and windows of words that go across line ends
+or lie inside a longer line. A unit is normalised to lower-case words of ``[a-z0-9]``; its bigrams
+count with repeats. The coefficient of two units of n and m bigrams is at most
+``2 * min(n, m) / (n + m)``, which bounds a window's length.
+
+A text that shares too few bigrams with every template for any unit to reach the threshold, as
+nearly all do, is done after one lookup per word. Otherwise windows start and end at a shared
+bigram (others only lower the coefficient); starts from which no window can reach the threshold
+even if every repeat counted are left out, and each other start takes its best end. Of windows of
+one template that overlap, the best stays. A window is no unit of its own where half of its words
+or more lie in a line, text or other window that has a coefficient at least as high.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Sequence
+import heapq
+import re
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+
+from tillhouse.llm.workspace import importable
 
 PERCENT = 75
 # Usual wordings of licence notices.
@@ -34,38 +49,143 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WORD = re.compile("[A-Za-z0-9]+")
 
 
-def _words(text: str) -> list[str]:
-    kept = "".join(c if c.isascii() and c.isalnum() else " " for c in text)
-    return kept.lower().split()
+def bodies() -> tuple[tuple[str, str], ...]:
+    """Full licence texts, a file each."""
+    folder = Path(__file__).with_name("licenses")
+    return tuple((f.stem, f.read_text(encoding="utf-8")) for f in sorted(folder.glob("*.txt")))
 
 
-def _bigrams(words: Column) -> Column:
-    places = F.sequence(F.lit(1), F.size(words) - 1)
-    return F.transform(places, lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)))
+class Scanner:
+    """Templates as counts of numbered bigrams."""
 
+    def __init__(self, templates: Sequence[tuple[str, str]], percent: int):
+        self.names, self.percent = [name for name, _ in templates], percent
+        self.ids: dict[str, int] = {}
+        texts = [[self.ids.setdefault(w.lower(), len(self.ids)) for w in WORD.findall(t)] for _, t in templates]
+        pairs = [self._codes(np.array(t, np.int64)) for t in texts]
+        self.codes = np.unique(np.concatenate(pairs))
+        self.counts = np.zeros((len(pairs), len(self.codes)), np.int64)
+        for row, own in zip(self.counts, pairs, strict=True):
+            np.add.at(row, np.searchsorted(self.codes, own), 1)
+        self.m = self.counts.sum(1)
+        # Shared bigrams that any unit needs.
+        self.least = -(-percent * self.m // (200 - percent))
 
-def _table(templates: Sequence[tuple[str, str]]) -> Column:
-    rows = []
-    for license_name, text in templates:
-        words = _words(text)
-        counts = Counter(map(" ".join, zip(words, words[1:], strict=False)))
-        rows.append(
-            F.struct(
-                F.lit(license_name).alias("license"),
-                F.lit(len(words) - 1).alias("m"),
-                F.array(
-                    *[F.struct(F.lit(b).alias("b"), F.lit(n).alias("n")) for b, n in sorted(counts.items())]
-                ).alias("bigrams"),
-            )
-        )
-    return F.array(*rows)
+    def _codes(self, ids: np.ndarray) -> np.ndarray:
+        return np.where((ids[:-1] < 0) | (ids[1:] < 0), -1, (ids[:-1] << 32) | ids[1:])
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The number of the bigram at each place, -1 where no template has it."""
+        get = self.ids.get
+        codes = self._codes(np.fromiter((get(w.lower(), -1) for w in words), np.int64, len(words)))
+        found = np.full(len(codes), -1)
+        at = np.flatnonzero(codes >= 0)
+        spot = np.minimum(np.searchsorted(self.codes, codes[at]), len(self.codes) - 1)
+        same = self.codes[spot] == codes[at]
+        found[at[same]] = spot[same]
+        return found
+
+    def shared(self, found: np.ndarray) -> np.ndarray:
+        """Bigrams in common with each template."""
+        own, times = np.unique(found[found >= 0], return_counts=True)
+        return np.minimum(self.counts[:, own], times).sum(1)
+
+    def hits(self, found: np.ndarray) -> list[tuple[str, float]]:
+        """Licences that a unit reaches the threshold for."""
+        both, total = self.shared(found), len(found) + self.m
+        near = np.flatnonzero(200 * both >= self.percent * total)
+        return [(self.names[t], 2.0 * int(both[t]) / int(total[t])) for t in near]
+
+    def windows(self, found: np.ndarray, t: int) -> list[tuple[float, int, int]]:
+        """Windows without overlap: coefficient, first bigram and last bigram."""
+        m, percent = int(self.m[t]), self.percent
+        place = np.flatnonzero(found >= 0)
+        place = place[self.counts[t, found[place]] > 0]
+        # A repeat counts from the start of a window if the one as many before as the template has is outside.
+        held, outside = defaultdict(list), np.full(len(place), -1)
+        for k, b in enumerate(found[place].tolist()):
+            own, cap = held[b], int(self.counts[t, b])
+            if len(own) >= cap:
+                outside[k] = own[-cap]
+            own.append(k)
+        nth = np.arange(len(place))
+        upto = 200 * (nth + 1) - percent * (place + 1)
+        reach = np.maximum.accumulate(upto[::-1])[::-1] - (200 * nth - percent * place)
+        most = m * (200 - percent) // percent
+
+        def best(i: int, limit: int) -> tuple | None:
+            """The best window that starts at shared bigram ``i`` and ends before ``limit``."""
+            stop = np.searchsorted(place, min(place[i] + most, limit))
+            both, n = np.cumsum(outside[i:stop] < i), place[i:stop] - place[i] + 1
+            fits = 200 * both >= percent * (n + m)
+            if not fits.any():
+                return None
+            dice = np.where(fits, 2.0 * both / (n + m), 0.0)
+            j = int(dice.argmax())
+            return -float(dice[j]), -int(n[j]), i, int(place[i + j])
+
+        end = len(found)
+        queue = [w for i in np.flatnonzero(reach >= percent * m).tolist() if (w := best(i, end))]
+        heapq.heapify(queue)
+        taken: list[tuple[float, int, int]] = []
+        while queue:
+            dice, _, i, last = heapq.heappop(queue)
+            first = int(place[i])
+            # Windows share no word: a bigram reaches one word further than its place.
+            if any(a <= first <= b + 1 or a - 1 == first for _, a, b in taken):
+                continue
+            limit = min((a - 1 for _, a, _ in taken if a > first), default=end)
+            if last < limit:
+                taken.append((-dice, first, last))
+            elif (again := best(i, limit)) is not None:
+                heapq.heappush(queue, again)
+        return taken
+
+    def scan(self, text: str) -> list[tuple[str, str, float]]:
+        """Unit, licence and coefficient of each hit of a text."""
+        words = WORD.findall(text)
+        if len(words) < 2:
+            return []
+        found = self.numbers(words)
+        matched = found >= 0
+        if np.count_nonzero(matched) < self.least.min():
+            return []
+        likely = np.flatnonzero(self.shared(found) >= self.least)
+        if not len(likely):
+            return []
+        spans = [w.span() for w in WORD.finditer(text)]
+        starts = np.array([a for a, _ in spans])
+        passed = np.concatenate([[0], np.cumsum(matched)])
+        rows, covers = {}, []
+
+        def unit(body: str, first: int, last: int) -> None:
+            """The words from ``first`` up to ``last``, not included."""
+            if last - first < 2 or passed[last - 1] - passed[first] < self.least.min():
+                return
+            if own := self.hits(found[first : last - 1]):
+                covers.append((first, last, max(dice for _, dice in own)))
+                rows[body] = own
+
+        offset = 0
+        for line in text.split("\n"):
+            first, last = np.searchsorted(starts, [offset, offset + len(line)])
+            unit(line, int(first), int(last))
+            offset += len(line) + 1
+        unit(text, 0, len(words))
+        tried = [w for t in likely for w in self.windows(found, t)]
+        for dice, a, b in sorted(tried, key=lambda w: (-w[0], w[1] - w[2], w[1])):
+            size = b + 2 - a
+            if not any(2 * (min(y, b + 2) - max(x, a)) >= size and c >= dice for x, y, c in covers):
+                unit(text[spans[a][0] : spans[b + 1][1]], a, b + 2)
+        return [(body, name, dice) for body, own in rows.items() for name, dice in own]
 
 
 def scan_licenses(
     docs: DataFrame,
-    templates: Sequence[tuple[str, str]] = TEMPLATES,
+    templates: Sequence[tuple[str, str]] | None = None,
     percent: int = PERCENT,
     doc_id: str = "doc_id",
     text: str = "text",
@@ -74,39 +194,40 @@ def scan_licenses(
 
     A row per document and licence found; documents without a licence, and null or empty texts,
     give no row. A unit counts for every licence that it reaches the threshold for. Templates
-    have two words at least. Rows that repeat an id are counted together.
+    (the notices and full licences, if none are given) have two words at least. Rows that repeat
+    an id are counted together.
     """
-    lines = F.array_distinct(F.concat(F.split(text, "\n"), F.array(text)))
-    units = docs.filter(F.col(text).isNotNull()).select(
-        F.col(doc_id).alias("doc_id"), F.explode(lines).alias("unit")
-    )
-    size = F.regexp_count("unit", F.lit("[A-Za-z0-9]+")) - 1
-    n = F.col("n")
-    fits = F.filter(
-        _table(templates),
-        lambda t: 200 * F.least(n, t["m"]) >= percent * (n + t["m"]),
-    )
-    words = F.array_remove(F.split(F.translate("unit", UPPER, LOWER), "[^a-z0-9]+"), "")
-    # Exploding a list of one keeps the optimizer from copying its expression into the
-    # lambda functions that read it, which would work it out anew for each word.
-    near = (
-        units.withColumn("n", F.explode(F.array(size)))
-        .filter(n > 0)
-        .withColumn("fits", F.explode(F.array(fits)))
-        .filter(F.size("fits") > 0)
-        .withColumn("words", F.explode(F.array(words)))
-        .withColumn("bigrams", F.explode(F.array(_bigrams(F.col("words")))))
-        .withColumn("template", F.explode("fits"))
-    )
-    both = F.aggregate(
-        "template.bigrams",
-        F.lit(0),
-        lambda s, t: s + F.least(t["n"], F.size(F.filter("bigrams", lambda b: b == t["b"]))),
-    )
-    total = n + F.col("template.m")
-    hits = near.withColumn("both", both).filter(200 * F.col("both") >= percent * total)
+    importable(docs.sparkSession)
+    rows = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    templates = (*TEMPLATES, *bodies()) if templates is None else tuple(templates)
+    shape = StructType([
+        rows.schema["doc_id"],
+        StructField("unit", StringType()),
+        StructField("license", StringType()),
+        StructField("dice", DoubleType()),
+    ])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(templates, percent)
+        for batch in batches:
+            at, hits = [], []
+            for i in range(batch.num_rows):
+                own = scanner.scan(batch.column(1)[i].as_py())
+                at += [i] * len(own)
+                hits += own
+            units, names, dice = zip(*hits, strict=True) if hits else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(at, pa.int32())),
+                    pa.array(units, pa.string()),
+                    pa.array(names, pa.string()),
+                    pa.array(dice, pa.float64()),
+                ],
+                ["doc_id", "unit", "license", "dice"],
+            )
+
     return (
-        hits.select("doc_id", "unit", F.col("template.license").alias("license"), (2.0 * F.col("both") / total).alias("dice"))
+        rows.mapInArrow(run, shape)
         .groupBy("doc_id", "license", "unit")
         .agg(F.max("dice").alias("dice"))
         .groupBy("doc_id", "license")
