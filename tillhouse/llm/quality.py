@@ -210,8 +210,13 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 def keep_good(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """The documents that the classifier does not reject, all columns unchanged: a filter in the scan."""
+    """The documents that the classifier does not reject, all columns unchanged: a filter in the scan.
+
+    Without trusted documents no model can be fitted, and all documents stay.
+    """
     model = train(docs, labels, doc_id, text)
+    if not model.cuts:
+        return docs
 
     @F.pandas_udf("double")
     def quality(texts: pd.Series) -> pd.Series:
