@@ -3,6 +3,7 @@ in ``tests/llm``: tokens, sharding, mixing, quality and the link graph."""
 
 from __future__ import annotations
 
+from tillhouse.llm import fingerprints, heap_kmeans, manifest
 from tillhouse.llm.license_scan import LOWER, PERCENT, TEMPLATES, UPPER
 
 BLANK = r"[\x20\x09-\x0D]+"
@@ -137,10 +138,188 @@ SELECT doc_id, license, max(2.0::DOUBLE * k / total) AS dice, count(DISTINCT uni
 FROM scored WHERE 200 * k >= {PERCENT} * total GROUP BY doc_id, license
 """
 
+
+def _crc32(codes: str) -> str:
+    """CRC-32 of a list of bytes, bit by bit: a byte goes in, then eight shifts."""
+    bits = f"flatten(list_transform({codes}, lambda c: [c::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    turn = "CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {bits}), lambda a, b: {turn}), 4294967295)"
+
+
+_K, _W = fingerprints.UNITS, fingerprints.WINDOW
+_BYTES = "list_transform(range(0, octet_length(unit::BLOB)), lambda i: ('0x' || substr(hex(unit), 2 * i + 1, 2))::BIGINT)"
+# Polynomial of the last k units up to each row; fewer units make one run of all.
+_ROLL = "1::BIGINT"
+for _j in range(_K):
+    _ROLL = f"(({_ROLL}) * {fingerprints.BASE} + lead(crc, {_j}) OVER along) % {fingerprints.PRIME}"
+FINGERPRINTS = rf"""
+WITH placed AS (
+    SELECT doc_id, coalesce(text, '') AS body, lead(coalesce(text, '')) OVER (ORDER BY doc_id) AS later,
+           first(coalesce(text, '')) OVER (ORDER BY doc_id) AS earliest, lead(doc_id) OVER (ORDER BY doc_id) AS later_id,
+           first(doc_id) OVER (ORDER BY doc_id) AS first_id
+    FROM documents
+),
+pairs AS (
+    SELECT doc_id, body, coalesce(later, earliest) AS next, coalesce(later_id, first_id) AS next_id,
+           length(body) AS n, length(body) // 4 AS q
+    FROM placed
+),
+edits AS (SELECT *, substr(body, 1, n - q) || substr(next, 1, q) AS edited FROM pairs),
+versions AS (SELECT doc_id, 0 AS v, body AS t FROM edits UNION ALL SELECT doc_id, 1, edited FROM edits),
+split AS (SELECT doc_id, v, regexp_extract_all(t, '{fingerprints.UNIT}') AS u FROM versions),
+units AS (SELECT doc_id, v, unnest(u) AS unit, unnest(range(0, len(u))) AS i, len(u) AS m FROM split),
+codes AS (SELECT unit, {_crc32(_BYTES)} AS crc FROM (SELECT DISTINCT unit FROM units)),
+coded AS (SELECT doc_id, v, i, m, crc FROM units JOIN codes USING (unit)),
+runs AS (
+    SELECT doc_id, v, i, m, {_ROLL} AS h FROM coded WHERE m >= {_K}
+    WINDOW along AS (PARTITION BY doc_id, v ORDER BY i)
+    UNION ALL
+    SELECT doc_id, v, 0, m, list_reduce(list_concat([1::BIGINT], list(crc ORDER BY i)),
+                                        lambda a, b: (a * {fingerprints.BASE} + b) % {fingerprints.PRIME})
+    FROM coded WHERE m < {_K} GROUP BY doc_id, v, m
+),
+hashes AS (
+    SELECT doc_id, v, i, greatest(m - {_K - 1}, 1) AS g,
+           h * {fingerprints.POSITIONS} + ({fingerprints.POSITIONS - 1} - i) AS packed
+    FROM runs WHERE h IS NOT NULL
+),
+windows AS (
+    SELECT doc_id, v, i, g, min(packed) OVER (PARTITION BY doc_id, v ORDER BY i
+                                              ROWS BETWEEN CURRENT ROW AND {_W - 1} FOLLOWING) AS pick
+    FROM hashes
+),
+picked AS (
+    SELECT DISTINCT doc_id, v, pick // {fingerprints.POSITIONS} AS h, {fingerprints.POSITIONS - 1} - pick % {fingerprints.POSITIONS} AS spot
+    FROM windows WHERE i <= greatest(g - {_W}, 0)
+),
+prints AS (
+    SELECT doc_id, v, string_agg(h || '@' || spot, ' ' ORDER BY spot) AS print, list_distinct(list(h)) AS hs
+    FROM picked GROUP BY doc_id, v
+),
+joined AS (
+    SELECT e.doc_id, e.n, sha256(e.edited) AS edited_sha256, coalesce(a.print, '') AS fingerprint,
+           coalesce(b.print, '') AS edited_fingerprint, coalesce(a.hs, []) AS own, coalesce(b.hs, []) AS changed,
+           coalesce(c.hs, []) AS beside
+    FROM edits e
+    LEFT JOIN prints a ON a.doc_id = e.doc_id AND a.v = 0
+    LEFT JOIN prints b ON b.doc_id = e.doc_id AND b.v = 1
+    LEFT JOIN prints c ON c.doc_id = e.next_id AND c.v = 0
+)
+SELECT doc_id, n::BIGINT AS n_chars, edited_sha256, fingerprint, edited_fingerprint,
+       CASE WHEN len(own) + len(changed) = 0 THEN 1.0::DOUBLE
+            ELSE len(list_intersect(own, changed))::DOUBLE / len(list_distinct(list_concat(own, changed))) END AS near_edited,
+       CASE WHEN len(own) + len(beside) = 0 THEN 1.0::DOUBLE
+            ELSE len(list_intersect(own, beside))::DOUBLE / len(list_distinct(list_concat(own, beside))) END AS near_next
+FROM joined
+"""
+
+
+def _kmeans() -> str:
+    steps = [
+        f"""kept AS (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({heap_kmeans.SCALE} * x::DOUBLE)::BIGINT) AS v
+    FROM embeddings
+    WHERE len(embedding) = {heap_kmeans.DIMENSIONS}
+      AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {heap_kmeans.DIMENSIONS}
+)""",
+        f"""c0 AS (
+    SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v AS m FROM kept
+    QUALIFY c < {heap_kmeans.CLUSTERS}
+)""",
+    ]
+    for turn in range(heap_kmeans.ROUNDS + 1):
+        steps.append(f"""a{turn} AS (
+    SELECT r, arg_min(c, d * 1000 + c) AS c, min(d) AS d
+    FROM (SELECT r, c, list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d
+          FROM kept, c{turn})
+    GROUP BY r
+)""")
+        if turn < heap_kmeans.ROUNDS:
+            steps.append(f"""c{turn + 1} AS (
+    SELECT c, coalesce(n, m) AS m FROM c{turn} LEFT JOIN (
+        SELECT c, list(x ORDER BY i) AS n FROM (
+            SELECT c, i, floor(sum(x)::DOUBLE / count(*))::BIGINT AS x
+            FROM (SELECT c, unnest(v) AS x, unnest(range(0, len(v))) AS i FROM kept JOIN a{turn} USING (r))
+            GROUP BY c, i)
+        GROUP BY c) USING (c)
+)""")
+    last = heap_kmeans.ROUNDS
+    return (
+        "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia,
+       sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM kept JOIN a{last} USING (r) JOIN c{last} USING (c)
+"""
+    )
+
+
+def _fields(text: str) -> str:
+    return " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text))
+
+
+_CRC_ID = _crc32("list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c))")
+_LOWERED = f"translate(text, '{UPPER}', '{LOWER}')"
+_A = manifest.ARITY
+MANIFEST = rf"""
+WITH RECURSIVE digests AS (
+    SELECT doc_id, source, sha256({_fields("text")}) AS leaf,
+           CASE WHEN {_CRC_ID} % 5 = 0 THEN sha256({_fields(_LOWERED)}) END AS shown
+    FROM documents
+),
+leaves AS (
+    SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, count(*) OVER (PARTITION BY source) AS width,
+           row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+    FROM digests
+),
+nodes AS (
+    SELECT tree, 0 AS level, pos, width, leaf AS digest FROM leaves
+    UNION ALL
+    SELECT tree, level + 1, pos // {_A}, (width + {_A - 1}) // {_A}, sha256(string_agg(digest, '' ORDER BY pos))
+    FROM nodes WHERE width > 1 GROUP BY tree, level, pos // {_A}, width
+),
+subroots AS (SELECT tree AS pos, digest, count(*) OVER () AS width FROM nodes WHERE width = 1),
+top AS (
+    SELECT 0 AS level, pos, width, digest FROM subroots
+    UNION ALL
+    SELECT level + 1, pos // {_A}, (width + {_A - 1}) // {_A}, sha256(string_agg(digest, '' ORDER BY pos))
+    FROM top WHERE width > 1 GROUP BY level, pos // {_A}, width
+),
+every AS (
+    SELECT tree, level, pos, width, digest FROM nodes WHERE width > 1
+    UNION ALL
+    SELECT -1, level + 100, pos, width, digest FROM top
+),
+-- A path goes up its own tree, then from level 100 up the tree of subroots.
+path AS (
+    SELECT tree AS own, pos AS row, tree AS at, CASE WHEN width > 1 THEN 0 ELSE 100 END AS level,
+           CASE WHEN width > 1 THEN pos ELSE tree END AS pos, width AS w, coalesce(shown, leaf) AS digest, '' AS siblings
+    FROM leaves
+    UNION ALL
+    SELECT p.own, p.row, p.at,
+           CASE WHEN p.level < 100 AND n.width <= {_A} THEN 100 ELSE p.level + 1 END,
+           CASE WHEN p.level < 100 AND n.width <= {_A} THEN p.own ELSE p.pos // {_A} END,
+           n.width,
+           sha256(string_agg(CASE WHEN n.pos = p.pos THEN p.digest ELSE n.digest END, '' ORDER BY n.pos)),
+           p.siblings || coalesce(string_agg(n.digest, '' ORDER BY n.pos) FILTER (WHERE n.pos <> p.pos), '')
+    FROM path p JOIN every n
+      ON n.tree = CASE WHEN p.level < 100 THEN p.at ELSE -1 END AND n.level = p.level AND n.pos // {_A} = p.pos // {_A}
+    WHERE n.width > 1
+    GROUP BY p.own, p.row, p.at, p.level, p.pos, p.digest, p.siblings, n.width
+),
+ends AS (SELECT own, row, digest, siblings FROM path QUALIFY row_number() OVER (PARTITION BY own, row ORDER BY level DESC) = 1),
+root AS (SELECT digest AS root FROM top WHERE width = 1)
+SELECT l.doc_id, l.leaf, s.digest AS subroot, r.root, sha256(e.siblings) AS proof_sha256, e.digest AS folded_root,
+       e.digest = r.root AS verified
+FROM leaves l JOIN ends e ON e.own = l.tree AND e.row = l.pos JOIN subroots s ON s.pos = l.tree CROSS JOIN root r
+"""
+
 ORACLE = {
     "op4_jaccard_join": JACCARD,
     "op5_exact_dedup": EXACT,
     "op6_license_scan": LICENSES,
     "op7_substring_dedup": SUBSTRINGS,
     "op8_embedding_dedup": VECTORS,
+    "op11_fingerprints": FINGERPRINTS,
+    "op12_heap_kmeans": _kmeans(),
+    "op13_manifest": MANIFEST,
 }

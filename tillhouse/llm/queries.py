@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from tillhouse.llm.byte_bpe import read_ranks, round_trip
 from tillhouse.llm.embedding_dedup import embedding_dedup
 from tillhouse.llm.exact_dedup import exact_dedup
+from tillhouse.llm.fingerprints import compare_with_edits
+from tillhouse.llm.heap_kmeans import heap_kmeans
 from tillhouse.llm.jaccard_join import jaccard_join
 from tillhouse.llm.license_scan import scan_licenses
+from tillhouse.llm.manifest import verify_tampered
 from tillhouse.llm.mixing import mix
 from tillhouse.llm.quality import score, train
 from tillhouse.llm.sharding import shard_documents
@@ -82,6 +85,18 @@ def op10_url_filter(spark: SparkSession, directory: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_fingerprints(spark: SparkSession, directory: str) -> DataFrame:
+    return compare_with_edits(_table(spark, directory, "documents"))
+
+
+def op12_heap_kmeans(spark: SparkSession, directory: str) -> DataFrame:
+    return heap_kmeans(_table(spark, directory, "embeddings"))
+
+
+def op13_manifest(spark: SparkSession, directory: str) -> DataFrame:
+    return verify_tampered(_table(spark, directory, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -95,5 +110,8 @@ QUERIES = {
         op8_embedding_dedup,
         op9_quality,
         op10_url_filter,
+        op11_fingerprints,
+        op12_heap_kmeans,
+        op13_manifest,
     )
 }
