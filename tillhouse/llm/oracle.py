@@ -147,7 +147,7 @@ def _crc32(codes: str) -> str:
 
 
 _K, _W = fingerprints.UNITS, fingerprints.WINDOW
-_BYTES = "list_transform(range(0, octet_length(unit::BLOB)), lambda i: ('0x' || substr(hex(unit), 2 * i + 1, 2))::BIGINT)"
+_BYTES = "list_transform(range(0, strlen(unit)), lambda i: ('0x' || substr(hex(unit), 2 * i + 1, 2))::BIGINT)"
 # Polynomial of the last k units up to each row; fewer units make one run of all.
 _ROLL = "1::BIGINT"
 for _j in range(_K):
