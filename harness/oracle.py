@@ -436,6 +436,16 @@ ORACLE: dict[str, str] = {
                CASE WHEN NOT is_delete THEN CAST(ts AS DATE) END AS "day",
                is_delete AS _is_delete, ts_ns AS _cdc_ts
         FROM newest_events""",
+    "cdc_after_mark": """
+        SELECT user_id AS _key,
+               CASE WHEN NOT is_delete THEN event_type END AS last_type,
+               CASE WHEN NOT is_delete THEN CAST(value AS DECIMAL(10,2)) END AS amount,
+               CASE WHEN NOT is_delete THEN CAST(ts AS DATE) END AS "day",
+               is_delete AS _is_delete, ts_ns AS _cdc_ts
+        FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts_ns DESC) AS rn
+              FROM user_events
+              WHERE ts_ns > (SELECT max(ts_ns) FROM user_events WHERE ts_ns < 1705276800000000000))
+        WHERE rn = 1""",
     "cdc_high_water": """
         SELECT max(ts_ns) AS high_water FROM user_events""",
     "check_table_rows": _rows_check("table_rows", "transaction_items"),
@@ -463,6 +473,7 @@ ORACLE: dict[str, str] = {
         WHERE is_current AND customer_id % 2 = 0""",
     "adhoc_distinct_days": "SELECT DISTINCT date_key FROM fact_sales",
     "cdc_tie_across_batches": "SELECT * FROM users_now WHERE user_id % 2 <> 0",
+    "cdc_tie_across_polls": "SELECT * FROM users_now WHERE user_id % 2 <> 0",
     "adhoc_version_moved": """
         SELECT f.customer_key, count(*) AS sales_rows,
                CAST(sum(f.line_amount) AS DECIMAL(38,2)) AS revenue
@@ -471,7 +482,8 @@ ORACLE: dict[str, str] = {
 }
 # Whatever the order and repetition of delivery, the table ends as the newest events say.
 for _key in ("cdc_rebuild", "cdc_merge", "cdc_incremental", "cdc_stream_merge",
-             "cdc_reapply_noop", "cdc_late_event", "cdc_mode_switch", "cdc_empty_bootstrap"):
+             "cdc_reapply_noop", "cdc_late_event", "cdc_mode_switch", "cdc_empty_bootstrap",
+             "cdc_state_view"):
     ORACLE[_key] = "SELECT * FROM users_now"
 
 

@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harness.land import land
 from harness.retail import RUNS, Retail
 from tillhouse.functions import line_amount
 from tillhouse.operators import changes, history
@@ -262,33 +263,67 @@ def cdc_merge(spark, directory):
     )
 
 
+class Landing:
+    """A feed over landed files, fed part by part by polls or as a stream."""
+
+    def __init__(self, spark: SparkSession, mode: str):
+        self.feed, self.mode, self.root = _feed(spark), mode, shared_dir(spark, "landing")
+        self.glob, self.landed = landing_glob(self.root, "users"), 0
+
+    def land(self, events: DataFrame, partition: int = 0) -> None:
+        land(events, self.glob.replace("*", str(partition)), self.landed)
+        self.landed += 1_000_000
+
+    def apply(self) -> None:
+        if self.mode == "poll":
+            self.feed.poll(self.glob, FIRST_LOAD)
+        else:
+            run = self.feed.stream if self.mode == "stream" else self.feed.state_stream
+            run(self.glob, f"{self.root}/checkpoint").awaitTermination()
+
+    def add(self, events: DataFrame, partition: int = 0) -> None:
+        self.land(events, partition)
+        self.apply()
+
+    def users(self) -> DataFrame:
+        return _users(self.feed.state())
+
+
+def _in_halves(spark, directory, mode: str) -> Landing:
+    landing = Landing(spark, mode)
+    for part in _halves(spark, directory):
+        landing.add(part)
+    return landing
+
+
 @query
 def cdc_incremental(spark, directory):
-    """Three polls: the first builds the table, the second reads only events after the
-    newest applied one, the third finds nothing."""
-    first, second = _halves(spark, directory)
-    feed, root = _feed(spark), shared_dir(spark, "landing")
-    glob = landing_glob(root, "users")
-    folder = glob.replace("*", "0")
-    first.write.mode("append").parquet(folder)
-    feed.poll(glob, FIRST_LOAD)
-    second.write.mode("append").parquet(folder)
-    feed.poll(glob, SECOND_LOAD)
-    feed.poll(glob, SECOND_LOAD)
-    return _users(feed.state())
+    """Three polls: the first builds the table, the second opens only the files that landed
+    since, the third finds none."""
+    landing = _in_halves(spark, directory, "poll")
+    landing.apply()
+    return landing.users()
+
+
+@query
+def cdc_after_mark(spark, directory):
+    """The newest events after a table's high-water mark, strictly."""
+    first, _ = _halves(spark, directory)
+    mark = changes.high_water(changes.rebuild_from_events(first, USERS, "user_id", FIRST_LOAD))
+    latest = changes.latest_events(user_events(spark, directory), USERS, "user_id", mark)
+    return latest.select("_key", "last_type", "amount", "day", "_is_delete", "_cdc_ts")
 
 
 @query
 def cdc_stream_merge(spark, directory):
     """The same landing read as a stream, restarted from its checkpoint."""
-    first, second = _halves(spark, directory)
-    feed, root = _feed(spark), shared_dir(spark, "landing")
-    glob = landing_glob(root, "users")
-    folder = glob.replace("*", "0")
-    for part in (first, second):
-        part.write.mode("append").parquet(folder)
-        feed.stream(glob, f"{root}/checkpoint").awaitTermination()
-    return _users(feed.state())
+    return _in_halves(spark, directory, "stream").users()
+
+
+@query
+def cdc_state_view(spark, directory):
+    """The newest row of each key as streaming state, restarted from its checkpoint."""
+    return _in_halves(spark, directory, "state").users()
 
 
 @query
@@ -317,27 +352,20 @@ def cdc_mode_switch(spark, directory):
     """A full refresh replaces the table between two runs of the stream: the second run
     rebuilds from everything that has landed, not from its own batch."""
     first, second = _halves(spark, directory)
-    feed, root = _feed(spark), shared_dir(spark, "landing")
-    glob = landing_glob(root, "users")
-    folder = glob.replace("*", "0")
-    first.write.mode("append").parquet(folder)
-    feed.stream(glob, f"{root}/checkpoint").awaitTermination()
-    snapshot = changes.live(feed.state()).drop("_cdc_ts")
-    feed.lake.publish(snapshot, "bronze", "users")
-    second.write.mode("append").parquet(folder)
-    feed.stream(glob, f"{root}/checkpoint").awaitTermination()
-    return _users(feed.state())
+    landing = Landing(spark, "stream")
+    landing.add(first)
+    snapshot = changes.live(landing.feed.state()).drop("_cdc_ts")
+    landing.feed.lake.publish(snapshot, "bronze", "users")
+    landing.add(second)
+    return landing.users()
 
 
-@query
-def cdc_tie_across_batches(spark, directory):
+def _ties(spark, directory, mode: str) -> DataFrame:
     """After all events, deletes of the even users land with the time of the event that each
     row came from. What landed later counts."""
     events = user_events(spark, directory)
-    feed, root = _feed(spark), shared_dir(spark, "landing")
-    glob = landing_glob(root, "users")
-    events.write.parquet(glob.replace("*", "0"))
-    feed.stream(glob, f"{root}/checkpoint").awaitTermination()
+    landing = Landing(spark, mode)
+    landing.add(events)
     newest = changes.latest_events(events, USERS, "user_id").filter("_key % 2 = 0")
     row = events.schema["value"].dataType["before"].dataType
     gone = F.struct(
@@ -349,9 +377,18 @@ def cdc_tie_across_batches(spark, directory):
         F.lit("d").alias("op"),
         F.col("_cdc_ts").alias("ts_ns"),
     )
-    newest.select(gone.alias("value")).write.parquet(glob.replace("*", "1"))
-    feed.stream(glob, f"{root}/checkpoint").awaitTermination()
-    return _users(feed.state())
+    landing.add(newest.select(gone.alias("value")), partition=1)
+    return landing.users()
+
+
+@query
+def cdc_tie_across_batches(spark, directory):
+    return _ties(spark, directory, "stream")
+
+
+@query
+def cdc_tie_across_polls(spark, directory):
+    return _ties(spark, directory, "poll")
 
 
 @query

@@ -67,7 +67,7 @@ class Retail:
 
     def _plan(self, place: tuple[str, str]) -> DataFrame:
         if place == HISTORY:
-            return self.history(3)
+            return self.history(len(RUNS))
         return _TABLES[place].build(self.run)
 
     def _inputs(self, place: tuple[str, str]) -> set[tuple[str, str]]:
@@ -98,7 +98,7 @@ class Retail:
         missing: set[tuple[str, str]] = set()
         found = set(places)
         while found:
-            missing |= {p for p in found if not self.lake.exists(*p)}
+            missing |= {p for p in found if p == HISTORY or not self.lake.exists(*p)}
             found = {i for p in found for i in self._inputs(p)} - missing
         while missing:
             ready = [p for p in missing if not self._inputs(p) & missing]
@@ -106,7 +106,10 @@ class Retail:
             missing -= set(ready)
 
     def _publish_one(self, place: tuple[str, str]) -> None:
-        self.lake.publish(self._plan(place), *place)
+        if place == HISTORY:
+            self.history(len(RUNS))
+        else:
+            self.lake.publish(self._plan(place), *place)
 
     def snapshot(self, number: int) -> DataFrame:
         """Customers as the source showed them at one of three times.
@@ -132,13 +135,12 @@ class Retail:
         return named.select(*TRACKED_CUSTOMER_COLUMNS)
 
     def history(self, runs: int) -> DataFrame:
-        """Customer history after the first one, two or three snapshots. Each run starts
-        from the history that the run before it published."""
-        if runs == 1:
-            earlier = None
-        else:
-            before = f"customer_history_{runs - 1}"
-            if not self.lake.exists("silver", before):
-                self.lake.publish(self.history(runs - 1), "silver", before)
-            earlier = self.lake.read("silver", before)
-        return history.append_versions(self.snapshot(runs), earlier, RUNS[runs - 1])
+        """Customer history after the first one, two or three snapshots. Each run adds a part to
+        the table that the runs before it left."""
+        for run in RUNS[:runs]:
+            done = self.lake.version(*HISTORY).parts if self.lake.exists(*HISTORY) else {}
+            if history.run_part(run) not in done:
+                earlier = history.before_run(self.lake, *HISTORY, run)
+                rows = history.new_versions(self.snapshot(RUNS.index(run) + 1), earlier, run)
+                history.publish_run(self.lake, rows, *HISTORY, run)
+        return self.lake.read(*HISTORY, [history.run_part(run) for run in RUNS[:runs]])

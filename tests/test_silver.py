@@ -74,7 +74,10 @@ def test_dedupe_takes_the_first_row_by_all_other_columns_nulls_first(spark):
     assert rows == {(1, None, 9), (2, "x", 1), (None, "m", 1)}
 
 
-def test_rows_without_a_natural_key_survive_nowhere(spark):
-    df = spark.createDataFrame([(1, None), (2, "e"), (3, "e")], "id INT, email STRING")
-    assert survivors(df, ["email"], "id").collect()[0].id == 2
+def test_rows_without_a_natural_key_are_one_group_that_maps_no_id(spark):
+    df = spark.createDataFrame(
+        [(4, None), (1, None), (2, "e"), (3, "e")], "id INT, email STRING"
+    )
+    kept = {r.email: r.id for r in survivors(df, ["email"], "id").collect()}
+    assert kept == {None: 1, "e": 2}
     assert sorted(map(tuple, survivor_map(df, ["email"], "id", "s").collect())) == [(2, 2), (3, 2)]

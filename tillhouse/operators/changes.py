@@ -112,14 +112,13 @@ def rebuild_from_events(
     return as_rows(latest_events(events, columns, key), columns, key, run_ts)
 
 
-def apply_batch(state: DataFrame, batch: DataFrame, key: str) -> DataFrame:
-    """The change table after a batch of newest rows, one per key.
+def fresh_rows(state: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+    """Rows of a batch of newest rows, one per key, that the table does not have yet.
 
     A row applies when its event is newer than that of the row it meets, or as old and landed
     behind it, so applying a batch again, or out of order, ends in the same table. Of equal times
-    without known positions the first applied stays. A batch whose size allows it is
-    broadcast, and the table is then scanned, not shuffled; its keys and times are all the
-    first scan reads.
+    without known positions the first applied stays. Keys and times are all this reads of the table; a
+    batch whose size allows it is broadcast, and the table is then scanned, not shuffled.
     """
     applied = state.select(
         key, F.col("_cdc_ts").alias("_applied_ts"), _position(state).alias("_applied_at")
@@ -132,12 +131,21 @@ def apply_batch(state: DataFrame, batch: DataFrame, key: str) -> DataFrame:
         .filter((F.col("_applied_ts") > F.col("_cdc_ts")) | (tie & ~behind))
         .select(key)
     )
-    fresh = batch.join(stale, key, "left_anti")
+    return batch.join(stale, key, "left_anti")
+
+
+def replace_rows(state: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
+    """The change table with the rows of ``fresh`` in place of those of the same keys."""
     untouched = state.join(fresh.select(key), key, "left_anti")
     same = [_position(state) if c == POSITION else F.col(c) for c in fresh.columns]
     return untouched.select(*same).unionByName(fresh)
 
 
+def apply_batch(state: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+    """The change table after a batch of newest rows, one per key (see ``fresh_rows``)."""
+    return replace_rows(state, fresh_rows(state, batch, key), key)
+
+
 def merge_events(
     state: DataFrame,
     events: DataFrame,

@@ -1,7 +1,8 @@
 """Slowly changing history (type 2): every observed version of every entity.
 
 An entity gains at most one row per run, so a window or an aggregate over one entity's
-history is bounded by the number of runs.
+history is bounded by the number of runs. A history table has one part per run: a run reads what the
+runs before it wrote and writes its own new rows, nothing else.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tillhouse.functions import moment, version_key
 from tillhouse.schemas import BEGINNING, FOREVER, TRACKED_CUSTOMER_COLUMNS
+from tillhouse.sources.lake import PART, Lake
 
 KEY = "customer_id"
 
@@ -94,29 +96,62 @@ def removed(current, history, key=KEY, tracked=TRACKED_CUSTOMER_COLUMNS) -> Data
     return compare(current, history, key, tracked).filter("change = 'removed'").select(*tracked)
 
 
-def append_versions(
+def new_versions(
     current: DataFrame,
     history: DataFrame | None,
     run_ts: datetime | str,
     key: str = KEY,
     tracked: Sequence[str] = TRACKED_CUSTOMER_COLUMNS,
 ) -> DataFrame:
-    """The history with this run's observations added.
+    """The rows that this run's observations add to the history.
 
     A known entity's new version starts now; an unknown one's starts at the beginning, so
     facts dated before its first capture still find a version.
     """
     if history is None:
         return first_capture(current, tracked)
-    kept = history.select(*tracked, "valid_from", "is_deleted")
+    kept = history.select(*tracked, "valid_from", "is_deleted").schema
     is_removed = F.col("change") == "removed"
     new = compare(current, history, key, tracked).select(
         *tracked,
         F.when(F.col("known"), moment(run_ts)).otherwise(moment(BEGINNING)).alias("valid_from"),
         is_removed.alias("is_deleted"),
     )
-    typed = [F.col(f.name).cast(f.dataType) for f in kept.schema]
-    return kept.unionByName(new.select(*typed))
+    return new.select(*[F.col(f.name).cast(f.dataType) for f in kept])
+
+
+def append_versions(
+    current: DataFrame,
+    history: DataFrame | None,
+    run_ts: datetime | str,
+    key: str = KEY,
+    tracked: Sequence[str] = TRACKED_CUSTOMER_COLUMNS,
+) -> DataFrame:
+    """The history with this run's observations added."""
+    new = new_versions(current, history, run_ts, key, tracked)
+    return new if history is None else history.select(*new.columns).unionByName(new)
+
+
+def run_part(run_ts: datetime | str) -> str:
+    """Name of the part of a history table that holds one run's rows."""
+    when = run_ts if isinstance(run_ts, datetime) else datetime.fromisoformat(run_ts)
+    return when.strftime("%Y%m%dT%H%M%S%f")
+
+
+def publish_run(lake: Lake, new: DataFrame, layer: str, table: str, run_ts: datetime | str) -> None:
+    """Add a run's rows to a history table as a part of their own. Earlier parts stay untouched, and a
+    run that is repeated overwrites only its own."""
+    part = run_part(run_ts)
+    lake.publish_parts(new.withColumn(PART, F.lit(part)), layer, table, [part])
+
+
+def before_run(lake: Lake, layer: str, table: str, run_ts: datetime | str) -> DataFrame | None:
+    """The history as it was before a run; None when there was none."""
+    if not lake.exists(layer, table):
+        return None
+    own = run_part(run_ts)
+    earlier = [name for name in lake.version(layer, table).parts if name != own]
+    return lake.read(layer, table, earlier) if earlier else None
 
 
 def dimension(history: DataFrame, key: str = KEY) -> DataFrame:

@@ -10,6 +10,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame
 
+from tillhouse.operators import history
 from tillhouse.plans import gold, mart, silver
 from tillhouse.plans.run import Run, lake_run, together
 from tillhouse.plans.serving import serve
@@ -21,11 +22,16 @@ from tillhouse.streaming.change_feed import ChangeFeed, landing_glob
 
 @dataclass(frozen=True)
 class Table:
-    """A derived table and its builder. What it needs is what the builder reads."""
+    """A derived table and its builder. What it needs is what the builder reads.
+
+    The builder of a table that grows ``by_run`` gives one run's new rows and reads, under its own
+    name, what the runs before it left.
+    """
 
     layer: str
     name: str
     build: Callable[[Run], DataFrame]
+    by_run: bool = False
 
     @property
     def place(self) -> tuple[str, str]:
@@ -57,7 +63,7 @@ MARTS = {
     "customer_sales_mart": mart.customer_sales,
 }
 TABLES = tuple(
-    Table(layer, name, builder)
+    Table(layer, name, builder, name == "customer_history")
     for layer, builders in (("silver", SILVER), ("gold", GOLD), ("mart", MARTS))
     for name, builder in builders.items()
 )
@@ -99,14 +105,25 @@ def build(
     published = {t.place: Future() for t in chosen}
 
     def publish(table: Table) -> None:
+        earlier = history.before_run(lake, *table.place, run_ts) if table.by_run else None
+
         def read(layer: str, name: str) -> DataFrame:
-            # A table that reads its own earlier version does not wait for itself.
-            if (layer, name) != table.place and (layer, name) in published:
+            if table.by_run and (layer, name) == table.place:
+                return earlier
+            if (layer, name) in published:
                 published[layer, name].result()
             return run.read(layer, name)
 
+        def exists(layer: str, name: str) -> bool:
+            own = table.by_run and (layer, name) == table.place
+            return earlier is not None if own else run.exists(layer, name)
+
         try:
-            lake.publish(table.build(replace(run, read=read)), *table.place)
+            rows = table.build(replace(run, read=read, exists=exists))
+            if table.by_run:
+                history.publish_run(lake, rows, *table.place, run_ts)
+            else:
+                lake.publish(rows, *table.place)
         except BaseException as failure:
             published[table.place].set_exception(failure)
             raise

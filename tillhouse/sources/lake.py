@@ -1,17 +1,43 @@
-"""Tables addressed by (layer, name), published as whole versions.
+"""Tables addressed by (layer, name), published as whole versions made of parts.
 
-A version is one parquet directory that Spark wrote. Its ``_SUCCESS`` marker is the last
-thing a finished write creates, so the newest directory that has one is the table: a failed
-or unfinished write is never seen, readers keep the version they opened, and no rename is
-needed, which object stores lack. A table may be built from its own current version.
-One writer per table is assumed; a second one fails on the existing directory.
+A part is one parquet directory that Spark wrote. A version is a marker file, created last, that
+lists its parts, their schema, how many rows each holds, and facts that the writer wants to keep with
+the data. Most versions have one part; ``publish_parts`` writes only the parts that changed, and its
+version takes the others over from the one before, file by file untouched.
+
+The newest directory with a marker is the table: a failed or unfinished write is never seen, readers
+keep the version they opened, and no rename is needed, which object stores lack. A table may be built
+from its own current version. One writer per table is assumed; a second one fails on the existing directory.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Collection, Iterable, Sequence
+from dataclasses import asdict, dataclass, field
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+MARKER = "_SUCCESS"
+WHOLE = "whole"
+PART = "_part"
+
+
+@dataclass(frozen=True)
+class Version:
+    """What a marker holds. ``parts``: name and folder below the table's; ``rows``: by part, as
+    counted while the part was written; ``facts``: whatever the writer keeps with the data."""
+
+    schema: dict
+    parts: dict[str, str]
+    rows: dict[str, int]
+    facts: dict = field(default_factory=dict)
 
-from pyspark.sql import DataFrame, SparkSession
+    @property
+    def row_count(self) -> int:
+        return sum(self.rows.values())
 
 
 class Lake:
@@ -22,7 +48,7 @@ class Lake:
         self.root = root.rstrip("/")
         self.keep_versions = keep_versions
 
-    # Directory listing and deletion go through Hadoop's file system API, which is what
+    # Listing, deletion and markers go through Hadoop's file system API, which is what
     # the session itself uses for every supported store.
     def _path(self, path: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -33,30 +59,47 @@ class Lake:
     def _table(self, layer: str, table: str) -> str:
         return f"{self.root}/{layer}/{table}"
 
+    def _names(self, folder: str) -> list[str]:
+        fs, path = self._fs(), self._path(folder)
+        return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+
     def _attempts(self, layer: str, table: str) -> list[int]:
-        fs, base = self._fs(), self._path(self._table(layer, table))
-        if not fs.exists(base):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(base)]
+        names = self._names(self._table(layer, table))
         return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit())
 
+    def _marker(self, layer: str, table: str, number: int):
+        return self._path(f"{self._table(layer, table)}/v{number:08d}/{MARKER}")
+
     def versions(self, layer: str, table: str) -> list[int]:
         """Finished versions, oldest first."""
-        base, fs = self._table(layer, table), self._fs()
-        return [
-            v
-            for v in self._attempts(layer, table)
-            if fs.exists(self._path(f"{base}/v{v:08d}/_SUCCESS"))
-        ]
+        fs = self._fs()
+        return [v for v in self._attempts(layer, table) if fs.exists(self._marker(layer, table, v))]
 
     def exists(self, layer: str, table: str) -> bool:
         return bool(self.versions(layer, table))
 
-    def read(self, layer: str, table: str) -> DataFrame:
-        versions = self.versions(layer, table)
-        if not versions:
-            raise LookupError(f"{layer}.{table} has not been published")
-        return self.spark.read.parquet(f"{self._table(layer, table)}/v{versions[-1]:08d}")
+    def version(self, layer: str, table: str, number: int | None = None) -> Version:
+        """The marker of a version, by default the newest."""
+        if number is None:
+            found = self.versions(layer, table)
+            if not found:
+                raise LookupError(f"{layer}.{table} has not been published")
+            number = found[-1]
+        stream = self._fs().open(self._marker(layer, table, number))
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return Version(**json.loads(text))
+
+    def read(self, layer: str, table: str, parts: Collection[str] | None = None) -> DataFrame:
+        """The newest version, or only the named parts of it."""
+        version = self.version(layer, table)
+        folders = [f for name, f in version.parts.items() if parts is None or name in parts]
+        schema = T.StructType.fromJson(version.schema)
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self._table(layer, table)}/{f}" for f in folders])
 
     def publish(
         self,
@@ -64,19 +107,89 @@ class Lake:
         layer: str,
         table: str,
         sort_by: Sequence[str] = (),
+        count_if: Column | None = None,
+        facts: dict | None = None,
     ) -> None:
         """Write a new version with the frame's own schema, then drop versions beyond the
         newest ``keep_versions``. ``sort_by`` range-partitions and sorts the rows, so the
-        statistics of files and row groups let readers skip by those columns."""
+        statistics of files and row groups let readers skip by those columns. Rows are counted as they
+        are written, those that ``count_if`` holds for."""
         if sort_by:
             df = df.repartitionByRange(*sort_by).sortWithinPartitions(*sort_by)
+        seen = Observation()
+        counted = df.observe(seen, _count(count_if).alias(WHOLE))
+        number, folder = self._start(layer, table)
+        counted.write.mode("errorifexists").parquet(f"{self._table(layer, table)}/{folder}")
+        self._commit(layer, table, number, Version(df.schema.jsonValue(), {WHOLE: folder}, seen.get, facts or {}))
+
+    def publish_parts(
+        self,
+        df: DataFrame,
+        layer: str,
+        table: str,
+        names: Iterable[str],
+        count_if: Column | None = None,
+        facts: dict | None = None,
+        replace: bool = False,
+    ) -> None:
+        """Write the named parts anew from ``df``, which says in ``PART`` where a row belongs; all other
+        parts stay as they are (``replace``: none do). Facts are added to those of the last version.
+
+        Parts that are too large for a task are split and small ones share one: Spark's rebalancing.
+        """
+        names = list(names)
+        base = self.version(layer, table) if not replace and self.exists(layer, table) else None
+        rows = df.drop(PART)
+        schema = rows.schema.jsonValue()
+        if base and rows.dtypes != [(f.name, f.dataType.simpleString()) for f in T.StructType.fromJson(base.schema)]:
+            raise ValueError(f"{layer}.{table} has other columns than the parts written before")
+        number, folder = self._start(layer, table)
+        parts = {} if base is None else {n: f for n, f in base.parts.items() if n not in names}
+        counts = {} if base is None else {n: c for n, c in base.rows.items() if n in parts}
+        if names:
+            seen = Observation()
+            per_part = [_count(F.col(PART).eqNullSafe(n) & (F.lit(True) if count_if is None else count_if)).alias(n) for n in names]
+            counted = df.withColumn(PART, F.col(PART).cast("string")).observe(seen, *per_part)
+            target = f"{self._table(layer, table)}/{folder}"
+            counted.hint("rebalance", PART).write.mode("errorifexists").partitionBy(PART).parquet(target)
+            found = {n.split("=", 1)[1]: f"{folder}/{n}" for n in self._names(target) if n.startswith(f"{PART}=")}
+            if unknown := set(found) - set(names):
+                raise ValueError(f"rows of parts that were not named: {sorted(unknown)}")
+            parts |= found
+            if found:  # else there was nothing to observe
+                counts |= {n: c for n, c in seen.get.items() if n in found}
+        self._commit(layer, table, number, Version(schema, parts, counts, {**(base.facts if base else {}), **(facts or {})}))
+
+    def _start(self, layer: str, table: str) -> tuple[int, str]:
         attempts = self._attempts(layer, table)
         number = attempts[-1] + 1 if attempts else 1
-        df.write.mode("errorifexists").parquet(f"{self._table(layer, table)}/v{number:08d}")
+        return number, f"v{number:08d}/data"
+
+    def _commit(self, layer: str, table: str, number: int, version: Version) -> None:
+        out = self._fs().create(self._marker(layer, table, number), False)
+        try:
+            out.write(bytearray(json.dumps(asdict(version)).encode()))
+        finally:
+            out.close()
         self._retire(layer, table)
 
     def _retire(self, layer: str, table: str) -> None:
-        kept = set(self.versions(layer, table)[-self.keep_versions :])
+        """Delete versions beyond those kept, but for the parts that a kept version still lists."""
+        base, fs = self._table(layer, table), self._fs()
+        kept = self.versions(layer, table)[-self.keep_versions :]
+        used = {folder for v in kept for folder in self.version(layer, table, v).parts.values()}
         for number in self._attempts(layer, table):
-            if number not in kept:
-                self._fs().delete(self._path(f"{self._table(layer, table)}/v{number:08d}"), True)
+            if number in kept:
+                continue
+            own = f"v{number:08d}"
+            if not any(folder.startswith(f"{own}/") for folder in used):
+                fs.delete(self._path(f"{base}/{own}"), True)
+                continue
+            fs.delete(self._marker(layer, table, number), False)
+            for name in self._names(f"{base}/{own}/data"):
+                if f"{own}/data/{name}" not in used:
+                    fs.delete(self._path(f"{base}/{own}/data/{name}"), True)
+
+
+def _count(condition: Column | None) -> Column:
+    return F.count(F.lit(1)) if condition is None else F.count_if(condition)
