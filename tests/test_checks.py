@@ -41,11 +41,11 @@ def test_gold_passes_and_reports_rejections(read):
     "table, change, metric",
     [
         ("gold_fact_sales", lambda df: df.union(df), "grain.duplicate_item_keys"),
-        ("gold_dim_store", lambda df: df.filter("store_key = 1"), "orphan_keys.store_key"),
-        ("gold_dim_product", lambda df: df.filter("product_key = 2"), "refund_orphan_keys.product_key"),
-        ("gold_fact_sales", lambda df: df.filter("item_key <> 1"), "refund_items.refunds_of_unknown_items"),
+        ("gold_dim_store", lambda df: df.filter("store_key = 5"), "orphan_keys.store_key"),
+        ("gold_dim_product", lambda df: df.filter("product_key = 22"), "refund_orphan_keys.product_key"),
+        ("gold_fact_sales", lambda df: df.filter("item_key <> 4001"), "refund_items.refunds_of_unknown_items"),
         ("gold_dim_customer", lambda df: df.union(df), "current_version.customers_without_one_current_version"),
-        ("silver_sales", lambda df: df.filter("item_id <> 1"), None),
+        ("silver_sales", lambda df: df.filter("item_id <> 4001"), None),
         ("gold_fact_sales", lambda df: df.filter("false"), None),
     ],
 )

@@ -1,93 +1,123 @@
-from datetime import datetime
+"""Customer history: which runs add versions, and what facts make of them."""
+
+from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
-from conftest import DIRTY, FIRST_RUN, built_lake, by, column, frames
+from conftest import FIRST_RUN, REVENUE, SHOP, SOLD, built_lake, by, column, frames
+from pyspark.sql import functions as F
 
 from tillhouse.operators import history
 from tillhouse.plans.pipeline import build, load_snapshot
 
-MOVED = [(1, "Alice Tan", "ALICE@example.com", "MY", "2026-01-15"), *DIRTY["customers"][1:]]
-CUSTOMER_TABLES = [
-    ("silver", "customers"),
-    ("silver", "customer_history"),
-    ("gold", "dim_customer"),
-]
+PEOPLE = [("silver", "customers"), ("silver", "customer_history"), ("gold", "dim_customer")]
+BEGINNING = datetime(1970, 1, 1)
+HISTORY = ("silver", "customer_history")
 
 
-@pytest.fixture
-def first(spark, tmp_path):
-    return built_lake(spark, tmp_path / "lake", only=CUSTOMER_TABLES)
+def customers(**changes):
+    """The shop's customers with other countries; ``None`` removes one, a new id adds one."""
+    rows = {r[0]: r for r in SHOP["customers"]}
+    for name, country in changes.items():
+        number = int(name[1:])
+        if country is None:
+            rows.pop(number)
+        else:
+            old = rows.get(number, (number, f"Person {number}", f"p{number}@mail.test", "", "2024-01-01"))
+            rows[number] = (*old[:3], country, old[4])
+    return list(rows.values())
 
 
-def again(lake, when, only=CUSTOMER_TABLES, **replaced):
-    load_snapshot(lake, frames(lake.spark, **replaced), when)
+def observe(lake, when, only=PEOPLE, **changes):
+    load_snapshot(lake, frames(lake.spark, customers=customers(**changes)), when)
     build(lake, when, only)
-    return lake
-
-
-def test_each_customer_starts_with_one_open_version(built):
-    rows = by(built.read("gold", "dim_customer"), "customer_key")
-    assert sorted(rows) == [1000001, 2000001, 6000001]
-    assert all(r.version == 1 and r.is_current for r in rows.values())
-    assert rows[1000001].valid_from == datetime(1970, 1, 1)
-
 
-def test_unchanged_run_adds_no_version(first):
-    before = first.read("silver", "customer_history").count()
-    again(first, datetime(2026, 9, 16, 12))
-    assert first.read("silver", "customer_history").count() == before
 
+def versions(lake, number):
+    rows = lake.read("gold", "dim_customer").filter(F.col("customer_id") == number).orderBy("version").collect()
+    return [(r.version, r.country, r.valid_from, r.valid_to, r.is_current) for r in rows]
 
-def test_change_opens_a_version_and_closes_the_old_one(first):
-    again(first, datetime(2026, 9, 20, 8), customers=MOVED)
-    rows = by(first.read("gold", "dim_customer"), "customer_key")
-    assert len(rows) == 4
-    assert (rows[1000001].country, rows[1000001].is_current) == ("Singapore", False)
-    assert rows[1000001].valid_to == datetime(2026, 9, 20, 8)
-    assert (rows[1000002].country, rows[1000002].is_current) == ("Malaysia", True)
-    assert rows[1000002].valid_from == datetime(2026, 9, 20, 8)
 
-
-def test_facts_keep_the_version_of_their_date(spark, tmp_path):
-    """A change after the sales leaves them alone, one before them moves them; either way
-    no sale is lost or doubled."""
-    for day, key in ((datetime(2026, 9, 20, 8), 1000001), (datetime(2026, 7, 1, 8), 1000002)):
+@pytest.fixture
+def people(spark, tmp_path):
+    return built_lake(spark, tmp_path / "lake", only=PEOPLE)
+
+
+def test_first_observation_is_valid_from_the_beginning(built):
+    rows = built.read("gold", "dim_customer").collect()
+    assert {r.customer_key for r in rows} == {n * 1_000_000 + 1 for n in (110, 120, 140)}
+    assert {(r.version, r.valid_from, r.is_current) for r in rows} == {(1, BEGINNING, True)}
+
+
+def test_moves_removals_returns_and_new_customers_over_five_runs(people):
+    """120 moves twice, 140 leaves and comes back, 150 appears, 110 stays as it is."""
+    days = [FIRST_RUN + timedelta(days=3 * n) for n in range(1, 6)]
+    observe(people, days[0], c120="PT")
+    observe(people, days[1], c120="PT", c140=None)
+    observe(people, days[2], c120="PT", c140=None, c150="NZ")
+    observe(people, days[3], c120="NZ", c150="NZ")
+    observe(people, days[4], c120="NZ", c150="NZ")
+    forever = versions(people, 110)[0][3]
+    assert versions(people, 110) == [(1, "Portugal", BEGINNING, forever, True)]
+    assert versions(people, 120) == [
+        (1, "New Zealand", BEGINNING, days[0], False),
+        (2, "Portugal", days[0], days[3], False),
+        (3, "New Zealand", days[3], forever, True),
+    ]
+    # The delete marker took number 2 and ends version 1; between them there is a gap.
+    assert versions(people, 140) == [
+        (1, "Unknown", BEGINNING, days[1], False),
+        (3, "Unknown", days[3], forever, True),
+    ]
+    assert versions(people, 150) == [(1, "New Zealand", BEGINNING, forever, True)]
+
+
+def history_files(lake):
+    return {p for p in Path(lake.root).rglob("silver/customer_history/**/*.parquet")}
+
+
+def test_a_run_writes_its_own_part_and_leaves_the_others(people):
+    before = history_files(people)
+    day = FIRST_RUN + timedelta(days=1)
+    observe(people, day, c120="PT")
+    added = history_files(people) - before
+    assert before <= history_files(people)
+    assert added and all(history.run_part(day) in str(f) for f in added)
+    assert people.version(*HISTORY).rows[history.run_part(day)] == 1
+
+
+def test_a_run_without_changes_writes_no_row(people):
+    before = history_files(people)
+    observe(people, FIRST_RUN + timedelta(days=1))
+    assert history_files(people) == before
+    assert people.read(*HISTORY).count() == 3
+
+
+def test_a_repeated_run_overwrites_only_what_it_wrote(people):
+    day = FIRST_RUN + timedelta(days=1)
+    observe(people, day, c120="PT")
+    observe(people, day, c120="NZ", c140="PT")  # the same run, with what the source says by now
+    assert [v[1] for v in versions(people, 120)] == ["New Zealand"]
+    assert [v[1] for v in versions(people, 140)] == ["Unknown", "Portugal"]
+
+
+def test_sales_keep_the_version_of_their_date(spark, tmp_path):
+    """A move after the sales leaves them alone, one before them takes them along."""
+    for when, key in ((datetime(2024, 6, 1), 120_000_001), (datetime(2024, 1, 1), 120_000_002)):
         lake = built_lake(spark, tmp_path / str(key))
-        total = lake.read("gold", "fact_sales").agg({"line_amount": "sum"}).first()[0]
-        again(lake, day, only=None, customers=MOVED)
+        observe(lake, when, only=None, c120="PT")
         fact = lake.read("gold", "fact_sales")
-        assert by(fact, "item_key")[1].customer_key == key
-        assert fact.count() == 7
-        assert fact.agg({"line_amount": "sum"}).first()[0] == total
+        assert by(fact, "item_key")[4003].customer_key == key
+        assert (fact.count(), fact.agg(F.sum("line_amount")).first()[0]) == (len(SOLD), REVENUE)
         mart = by(lake.read("mart", "customer_sales_mart"), "customer_key")
-        assert 1000001 not in mart and mart[1000002].country == "Malaysia"
-
-
-def test_removed_customer_keeps_history_without_a_current_version(first):
-    rest = [r for r in DIRTY["customers"] if r[0] != 2]
-    again(first, datetime(2026, 9, 20, 8), customers=rest)
-    row = by(first.read("gold", "dim_customer"), "customer_key")[2000001]
-    assert not row.is_current and row.valid_to == datetime(2026, 9, 20, 8)
-    # Coming back later skips the delete marker's number and leaves a gap.
-    again(first, datetime(2026, 9, 25, 8))
-    rows = by(first.read("gold", "dim_customer"), "customer_key")
-    assert rows[2000003].valid_from == datetime(2026, 9, 25, 8)
-    assert rows[2000001].valid_to == datetime(2026, 9, 20, 8)
-
-
-def test_new_customers_first_version_covers_earlier_sales(first):
-    new = (7, "New Person", "new@example.com", "SG", "2026-09-01")
-    again(first, datetime(2026, 9, 20, 8), customers=[*DIRTY["customers"], new])
-    row = by(first.read("gold", "dim_customer"), "customer_key")[7000001]
-    assert row.valid_from == datetime(1970, 1, 1)
-
-
-def test_null_values_do_not_open_a_version_each_run(spark):
-    columns = ("customer_id", "name")
-    current = spark.createDataFrame([(1, None), (2, "b")], "customer_id INT, name STRING")
-    first = history.append_versions(current, None, FIRST_RUN, tracked=columns)
-    second = history.append_versions(current, first, FIRST_RUN, tracked=columns)
-    assert second.count() == 2
-    named = spark.createDataFrame([(1, "a"), (2, "b")], "customer_id INT, name STRING")
-    assert column(history.changed(named, second, tracked=columns), "customer_id") == [1]
-    assert history.removed(named, second, tracked=columns).count() == 0
+        assert 120_000_001 not in mart and mart[120_000_002].country == "Portugal"
+
+
+def test_nulls_compare_equal(spark):
+    tracked = ("customer_id", "note")
+    make = lambda *rows: spark.createDataFrame(list(rows), "customer_id INT, note STRING")
+    known = history.append_versions(make((8, None), (9, "x")), None, FIRST_RUN, tracked=tracked)
+    assert history.new_versions(make((8, None), (9, "x")), known, FIRST_RUN, tracked=tracked).isEmpty()
+    assert column(history.changed(make((8, "y"), (9, "x")), known, tracked=tracked), "customer_id") == [8]
+    assert column(history.changed(make((8, None), (9, None)), known, tracked=tracked), "customer_id") == [9]
+    assert history.removed(make((8, None), (9, None)), known, tracked=tracked).isEmpty()

@@ -1,4 +1,5 @@
 import pytest
+from conftest import SOLD
 
 from tillhouse.plans.serving import SERVED, SERVED_LAYER, serve, serve_table
 from tillhouse.schemas import SOURCES, source_schema
@@ -61,11 +62,11 @@ def test_failed_publish_leaves_the_last_version_and_is_cleared(spark, lake, tmp_
 def test_served_tables_outlive_the_lake(spark, built, tmp_path):
     served = Lake(spark, str(tmp_path / "served"))
     serve(built, ["fact_sales"], served)
-    assert served.read(SERVED_LAYER, "fact_sales").count() == 7
+    assert served.read(SERVED_LAYER, "fact_sales").count() == len(SOLD)
     away = Lake(spark, str(tmp_path / "nowhere"))
     with pytest.raises(LookupError):
         serve_table(away, "fact_sales", served)
-    assert served.read(SERVED_LAYER, "fact_sales").count() == 7
+    assert served.read(SERVED_LAYER, "fact_sales").count() == len(SOLD)
 
 
 def test_served_copies_are_sorted_by_their_key(spark, lake):

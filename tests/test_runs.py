@@ -3,18 +3,21 @@
 from dataclasses import replace
 from datetime import datetime
 from decimal import Decimal
+from itertools import count
 
 import pytest
 from conftest import SEED, built_lake, by, frames
 from pyspark.sql import functions as F
 
+from harness.land import land
 from tillhouse.plans.pipeline import TABLES, build, run_changes, run_snapshot
 from tillhouse.plans.serving import SERVED_LAYER
 from tillhouse.schemas import SOURCES, event_schema, source_schema
 from tillhouse.sources.lake import Lake
 from tillhouse.streaming.change_feed import landing_glob
 
-SALE = ((9001, 1, 1, "2026-09-01", "C", "CARD"), (7, 9001, 1, 1, "100.00"))
+OFFSETS = count(0, 1000)
+SALE = ((54, 1, 31, "2024-02-01", "OK", "CARD"), (67, 54, 41, 1, "100.00"))
 
 
 def served(lake, table):
@@ -30,7 +33,7 @@ def facts(lake):
 
 def test_snapshot_runs_end_to_end(spark, tmp_path):
     lake = Lake(spark, str(tmp_path))
-    day = iter(datetime(2026, 9, n) for n in range(10, 30))
+    day = iter(datetime(2024, 5, n) for n in range(1, 20))
     source = dict(SEED)
 
     def run():
@@ -41,26 +44,26 @@ def test_snapshot_runs_end_to_end(spark, tmp_path):
 
     source["transactions"] = [*SEED["transactions"], SALE[0]]
     source["transaction_items"] = [*SEED["transaction_items"], SALE[1]]
-    source["customers"] = [(1, "Alice", "alice@example.com", "MY", "2026-01-15"), *SEED["customers"][1:]]
+    source["customers"] = [(31, "Nora Dahl", "nora@mail.test", "LT", "2023-01-02"), *SEED["customers"][1:]]
     source["refunds"] = [
-        (1, 7, "2026-09-02", 1, "60.00", "damaged"),
-        (2, 7, "2026-09-03", 1, "500.00", "more than it sold for"),
+        (1, 67, "2024-02-02", 1, "60.00", "wet"),
+        (2, 67, "2024-02-03", 1, "500.00", "more than it sold for"),
     ]
     run()
     assert facts(lake) == (7, Decimal("1756.50"))
-    versions = served(lake, "dim_customer").filter("customer_id = 1").collect()
-    assert [r.country for r in versions if r.is_current] == ["Malaysia"] and len(versions) == 2
+    versions = served(lake, "dim_customer").filter("customer_id = 31").collect()
+    assert [r.country for r in versions if r.is_current] == ["Lithuania"] and len(versions) == 2
     old_key = next(r.customer_key for r in versions if not r.is_current)
     moved = spark.sql(
         "SELECT count(*) AS n FROM {fact} WHERE customer_key != {key} AND customer_key IN "
-        "(SELECT customer_key FROM {dim} WHERE customer_id = 1)",
+        "(SELECT customer_key FROM {dim} WHERE customer_id = 31)",
         fact=served(lake, "fact_sales"), dim=served(lake, "dim_customer"), key=old_key,
     ).first().n
     assert moved == 0
     assert served(lake, "fact_refunds").agg(F.sum("amount")).first()[0] == Decimal("60.00")
     for table, net in (("daily_sales_mart", "net_revenue"), ("customer_sales_mart", "net_spent")):
         assert served(lake, table).agg(F.sum(net)).first()[0] == Decimal("1696.50")
-    assert served(lake, "dim_date").count() == 365
+    assert served(lake, "dim_date").count() == 366
 
     # An emptied lookup labels the customers Unknown and loses no sale.
     source["country_ref"] = []
@@ -70,7 +73,7 @@ def test_snapshot_runs_end_to_end(spark, tmp_path):
     assert facts(lake) == (7, Decimal("1756.50"))
 
 
-def land(spark, root, ts, op="r", **rows):
+def land_rows(spark, root, ts, op="r", **rows):
     """Write events of source rows; each keeps its place in time."""
     for table, data in rows.items():
         schema = source_schema(table)
@@ -88,30 +91,30 @@ def land(spark, root, ts, op="r", **rows):
             F.lit(ts).cast("bigint").alias("ts_ns"),
         )
         folder = landing_glob(root, table).replace("*", "0")
-        df.select(value.alias("value")).write.mode("append").parquet(folder)
+        land(df.select(value.alias("value")), folder, next(OFFSETS))
 
 
 def test_change_runs_end_to_end(spark, tmp_path):
     lake, root = Lake(spark, str(tmp_path / "lake")), str(tmp_path / "events")
-    land(spark, root, 1, **{t: rows for t, rows in SEED.items() if rows})
-    land(spark, root, 1, category_ref=[("CDC", "passing")])
-    outcome = run_changes(lake, root, datetime(2026, 9, 10))
+    land_rows(spark, root, 1, **{t: rows for t, rows in SEED.items() if rows})
+    land_rows(spark, root, 1, category_ref=[("CDC", "passing")])
+    outcome = run_changes(lake, root, datetime(2024, 5, 1))
     assert outcome == {t: "no events" if t == "refunds" else "rebuilt" for t in SOURCES}
     assert facts(lake) == (6, Decimal("1656.50"))
 
-    land(spark, root, 2, "c", transactions=[SALE[0]], transaction_items=[SALE[1]])
-    land(spark, root, 3, "u", customers=[(1, "Renamed", "alice@example.com", "SG", "2026-01-15")])
-    land(spark, root, 4, "d", category_ref=[("CDC", None)])
-    outcome = run_changes(lake, root, datetime(2026, 9, 11))
+    land_rows(spark, root, 2, "c", transactions=[SALE[0]], transaction_items=[SALE[1]])
+    land_rows(spark, root, 3, "u", customers=[(31, "Renamed", "nora@mail.test", "NO", "2023-01-02")])
+    land_rows(spark, root, 4, "d", category_ref=[("CDC", None)])
+    outcome = run_changes(lake, root, datetime(2024, 5, 2))
     changed = {t for t, what in outcome.items() if what == "merged"}
     assert changed == {"transactions", "transaction_items", "customers", "category_ref"}
     assert facts(lake) == (7, Decimal("1756.50"))
-    current = served(lake, "dim_customer").filter("customer_id = 1 AND is_current").first()
+    current = served(lake, "dim_customer").filter("customer_id = 31 AND is_current").first()
     assert current.full_name == "Renamed"
     codes = lake.read("bronze", "category_ref").filter("_state = 'live'")
     assert "CDC" not in {r.category_code for r in codes.collect()}
 
-    outcome = run_changes(lake, root, datetime(2026, 9, 12))
+    outcome = run_changes(lake, root, datetime(2024, 5, 3))
     assert set(outcome.values()) == {"up to date", "no events"}
     assert facts(lake) == (7, Decimal("1756.50"))
 
@@ -137,6 +140,6 @@ def test_every_table_is_built(built):
 
 def test_a_chosen_table_is_rebuilt_alone(spark, tmp_path):
     lake = built_lake(spark, tmp_path, only=[("silver", "stores")])
-    build(lake, "2026-09-16", [("gold", "dim_store")])
-    assert sorted(by(lake.read("gold", "dim_store"), "store_key")) == [1, 2]
+    build(lake, "2024-05-02", [("gold", "dim_store")])
+    assert sorted(by(lake.read("gold", "dim_store"), "store_key")) == [5, 6]
     assert not lake.exists("silver", "sales")

@@ -1,6 +1,6 @@
 from decimal import Decimal
 
-from conftest import DIRTY, by, column, frame
+from conftest import SHOP, SOLD, by, column, frame
 
 from tillhouse.operators.dedupe import dedupe_by_key, survivor_map, survivors
 from tillhouse.plans.run import Run
@@ -9,60 +9,60 @@ from tillhouse.plans import silver
 
 def test_customers_are_deduplicated_cleaned_and_translated(built):
     rows = by(built.read("silver", "customers"), "customer_id")
-    assert sorted(rows) == [1, 2, 6]
-    assert rows[1].full_name == "Alice Tan"
-    assert rows[1].email == "alice@example.com"
-    assert (rows[1].country_code, rows[1].country_name) == ("SG", "Singapore")
-    assert rows[6].country_name == "Unknown"
+    assert sorted(rows) == [110, 120, 140]
+    assert (rows[110].full_name, rows[110].email) == ("Ines Moreau", "ines@mail.test")
+    assert rows[120].full_name == "Tom Reed"
+    assert {i: (r.country_code, r.country_name) for i, r in rows.items()} == {
+        110: ("PT", "Portugal"), 120: ("NZ", "New Zealand"), 140: ("QQ", "Unknown"),
+    }
 
 
 def test_products_keep_the_survivors_own_row_and_drop_invalid_prices(built):
     rows = by(built.read("silver", "products"), "product_id")
-    assert sorted(rows) == [1, 2, 9]
-    assert (rows[2].product_name, rows[2].unit_price) == ("Cable", Decimal("12.50"))
-    assert rows[2].category_name == "accessories"
-    assert rows[9].category_name == "Unknown"
+    assert {i: (r.product_name, r.category_name, r.unit_price) for i, r in rows.items()} == {
+        21: ("Rake", "tools", Decimal("18.40")),
+        22: ("Seeds", "plants", Decimal("3.15")),
+        25: ("Gift", "Unknown", Decimal("7.77")),
+    }
 
 
 def test_stores_are_trimmed(built):
-    row = by(built.read("silver", "stores"), "store_id")[1]
-    assert (row.store_name, row.city, row.country_name) == ("Flagship", "Singapore", "Singapore")
+    rows = by(built.read("silver", "stores"), "store_id")
+    assert tuple(rows[5]) == (5, "Harbour", "Porto", "PT", "Portugal")
 
 
 def test_only_completed_transactions_stay(built):
     rows = by(built.read("silver", "transactions"), "transaction_id")
-    assert sorted(rows) == [1, 2, 5, 6]
-    assert {r.status for r in rows.values()} == {"completed"}
-    assert rows[5].customer_id == 1
+    assert {i: (r.status, r.customer_id) for i, r in rows.items()} == {
+        301: ("completed", 110), 302: ("completed", 120), 303: ("completed", 110), 304: ("completed", 140),
+    }
 
 
 def test_sales_follow_survivors_and_keep_the_charged_price(built):
     rows = by(built.read("silver", "sales"), "item_id")
-    assert rows[2].line_amount == Decimal("25.00")
-    assert rows[5].customer_id == 1
-    assert (rows[6].product_id, rows[6].line_amount) == (2, Decimal("13.00"))
-    assert all(r.line_amount == r.quantity * r.unit_price for r in rows.values())
+    assert {i: r.line_amount for i, r in rows.items()} == SOLD
+    assert (rows[4004].customer_id, rows[4004].product_id, rows[4004].unit_price) == (110, 22, Decimal("3.60"))
 
 
 def test_sales_and_rejected_sales_make_up_all_completed_items(built):
-    sales = column(built.read("silver", "sales"), "item_id")
     rejected = column(built.read("silver", "rejected_sales"), "item_id")
-    assert rejected == [9]
-    assert sorted(sales + rejected) == [1, 2, 3, 5, 6, 7, 8, 9]
+    assert rejected == [4006]
+    completed = {t for t, *_, status, _ in SHOP["transactions"] if status == "OK"}
+    assert sorted([*SOLD, *rejected]) == [i for i, t, *_ in SHOP["transaction_items"] if t in completed]
 
 
 def test_transactions_of_unknown_parties_make_no_sales(spark):
     """A transaction whose store is unknown is kept, and its items are rejected."""
-    tables = {("bronze", t): frame(spark, t, rows) for t, rows in DIRTY.items()}
+    tables = {("bronze", t): frame(spark, t, rows) for t, rows in SHOP.items()}
     tables["bronze", "transactions"] = frame(
-        spark, "transactions", [(1, 77, 1, "2026-08-01", "C", "CARD")]
+        spark, "transactions", [(301, 77, 110, "2024-02-28", "OK", "CARD")]
     )
     run = Run(lambda layer, table: tables[layer, table], lambda *_: False, "2026-09-15 12:00:00")
     for name in ("customers", "stores", "transactions", "sales"):
         tables["silver", name] = getattr(silver, name)(run)
-    assert column(tables["silver", "transactions"], "transaction_id") == [1]
+    assert column(tables["silver", "transactions"], "transaction_id") == [301]
     assert column(tables["silver", "sales"], "item_id") == []
-    assert column(silver.rejected_sales(run), "item_id") == [1, 2]
+    assert column(silver.rejected_sales(run), "item_id") == [4001, 4002]
 
 
 def test_dedupe_takes_the_first_row_by_all_other_columns_nulls_first(spark):

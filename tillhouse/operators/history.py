@@ -146,7 +146,7 @@ def publish_run(lake: Lake, new: DataFrame, layer: str, table: str, run_ts: date
 
 
 def before_run(lake: Lake, layer: str, table: str, run_ts: datetime | str) -> DataFrame | None:
-    """The history as it was before a run; None when there was none."""
+    """The history without what this run wrote, if it ran before; None when there is no other."""
     if not lake.exists(layer, table):
         return None
     own = run_part(run_ts)

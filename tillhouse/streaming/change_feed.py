@@ -240,13 +240,15 @@ class ChangeFeed:
         events = _with_position(self._reader(max_files_per_batch).parquet(glob))
 
         def merge(newest: DataFrame, number: int) -> None:
-            if not self._resumable():
-                # A table of full refreshes gives way to the state; what was emitted before is read again.
-                earlier = latest_events(self.events(glob), self.columns, self.key)
-                rows = earlier if number else newest
-                self._rebuild(as_rows(rows, self.columns, self.key, clock()), {})
+            if self._resumable():
+                self._merge(newest, clock())
                 return
-            self._merge(newest, clock())
+            # Written in any case: a state store counts a batch only when all of it was computed.
+            rows = self._stored(as_rows(newest, self.columns, self.key, clock()), self.table)
+            if number:
+                # A table of full refreshes took the place of what was emitted before: read it again.
+                rows = rebuild_from_events(self.events(glob), self.columns, self.key, clock())
+            self._rebuild(rows, {})
 
         return (
             latest_events(events, self.columns, self.key)
