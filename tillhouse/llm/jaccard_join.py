@@ -8,11 +8,14 @@ their first ``n - ceil(0.8 n) + 1``: their prefixes.
    never a link.
 2. Documents with equal sets are one class. Classes with equal prefixes and size are one group, and
    only groups enter the prefix index. Shingles that one group alone has are left out.
-3. In each posting list every group meets the list's first group of like size. Members are
-   expanded and verified on whole texts, and what links becomes a component.
-4. Posting lists that still hold several components pair them up, where both have the shingle
-   so early in their order that it can be the first of enough shared ones. Pairs that share too
-   little of their prefixes to reach the threshold at all are left out, the others verified.
+3. In each posting list every group meets the list's first group of like size, of another component
+   than its own. Of these each group tries the one that it meets in the most lists, if that can
+   suffice: members are expanded and verified on whole texts, and what links becomes a component.
+   This is repeated until it links nothing new.
+4. Posting lists that still hold several components pair them up. A parity signature of each set
+   bounds the difference of two sets from below, exactly, so a pair that cannot link leaves the
+   join before it is a row. Pairs are counted in that join: those that share too little of
+   their prefixes to reach the threshold, or nothing early enough, are left out, the others verified.
 
 So a large family of near copies costs one comparison each instead of one for each pair, and
 every link between two components is found: the components are exact.
@@ -26,18 +29,21 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillhouse.llm.components import components
 from tillhouse.llm.rolling import BASES, chunks, mixed, run_hashes, word_hashes
-from tillhouse.llm.workspace import Workspace
+from tillhouse.llm.workspace import Workspace, boxed
 
 SHINGLE = 5
 PERCENT = 80
 # The sketch: counters, and the rows that they travel in.
 SKETCH_BITS = 20
 SKETCH_ROWS = 16
+# Words of 64 bits of a set's parity signature. Sets that differ by more than a few hundred
+# shingles are told apart by 256 bits; beyond that the signature only stops excluding pairs.
+SIGNATURE = 4
 
 
 def _least(n, percent: int = PERCENT):
@@ -45,6 +51,20 @@ def _least(n, percent: int = PERCENT):
     return -(-n * percent // 100)
 
 
+def _need(n: str, m: str, percent: int) -> Column:
+    """What two sets of these sizes have to share."""
+    return F.ceil((F.col(n) + F.col(m)) * percent / (100 + percent) - 1e-9)
+
+
+def _rest(n: str, m: str, percent: int) -> Column:
+    """The most that they can share behind the prefix of either."""
+    return F.greatest(*[F.ceil(F.col(v) * percent / 100 - 1e-9) - 1 for v in (n, m)])
+
+
+def _prefix(n: str, percent: int) -> Column:
+    return F.col(n) - F.ceil(F.col(n) * percent / 100 - 1e-9) + 1
+
+
 def shingles(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles of the texts, repeats included, and where each text's begin.
 
@@ -124,9 +144,17 @@ def shingle_levels(texts: DataFrame, k: int = SHINGLE) -> np.ndarray:
     return np.round(4 * np.log2(total.ravel() + 1)).astype(np.uint8)
 
 
+def signature(s: np.ndarray) -> np.ndarray:
+    """For each bit, whether an odd number of the set's hashes fall on it. Two sets' signatures
+    differ in no more bits than the sets differ in members."""
+    cells = (s >> np.uint64(8)) & np.uint64(64 * SIGNATURE - 1)
+    odd = np.bincount(cells.astype(np.int64), minlength=64 * SIGNATURE) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _describe(k: int, percent: int, levels: np.ndarray):
-    names = ["doc_id", "n", "d1", "d2", "prefix"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    names = ["doc_id", "n", "d1", "d2", "prefix", "signature"]
+    types = [*[pa.int64()] * 4, *[pa.list_(pa.int64())] * 2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +169,7 @@ def _describe(k: int, percent: int, levels: np.ndarray):
                     prefix = s[order[: n - _least(n, percent) + 1]] if n else s
                     # Sums do not depend on the order: a digest of the set.
                     d1, d2 = mixed(s).sum(dtype=np.uint64), mixed(s ^ np.uint64(BASES[1])).sum(dtype=np.uint64)
-                    rows.append((doc, n, d1.astype(np.int64), d2.astype(np.int64), prefix.view(np.int64)))
+                    rows.append((doc, n, d1.astype(np.int64), d2.astype(np.int64), prefix.view(np.int64), signature(s)))
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(cols, types, strict=True)], names
@@ -200,7 +228,7 @@ def jaccard_join(
     work = Workspace(spark, "jaccard-join")
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     levels = shingle_levels(rows.select("text"), shingle)
-    shape = "doc_id bigint, n bigint, d1 bigint, d2 bigint, prefix array<bigint>"
+    shape = "doc_id bigint, n bigint, d1 bigint, d2 bigint, prefix array<bigint>, signature array<bigint>"
     facts = rows.mapInArrow(_describe(shingle, percent, levels), shape)
     facts = facts.withColumns({"p1": F.xxhash64("prefix"), "p2": F.hash("prefix")})
     facts = work.save(facts, "facts")
@@ -208,7 +236,9 @@ def jaccard_join(
     keys = known.drop("prefix")
 
     # Classes of equal sets and groups of equal prefixes; each is named by its smallest id.
-    classes = keys.groupBy("n", "d1", "d2", "p1", "p2").agg(F.min("doc_id").alias("rep"))
+    classes = keys.groupBy("n", "d1", "d2", "p1", "p2").agg(
+        F.min("doc_id").alias("rep"), *[F.min(F.col("signature")[i]).alias(f"s{i}") for i in range(SIGNATURE)]
+    )
     groups = classes.groupBy("n", "p1", "p2").agg(F.min("rep").alias("gid"))
     groups = work.save(groups, "groups")
     classes = work.save(classes.join(groups, ["n", "p1", "p2"]), "classes")
@@ -220,7 +250,8 @@ def jaccard_join(
     posted = work.save(entries.join(shared, "shingle"), "posted")
     sizes = work.save(groups.select("gid", "n"), "sizes")
     posting = work.save(posted.join(sizes, "gid"), "postings")
-    work.drop("posted")
+    for name in ("posted", "sizes", "groups"):
+        work.drop(name)
 
     # Texts of all classes that may take part in a pair.
     several = classes.groupBy("gid").agg(F.count("*").alias("m")).filter("m > 1").select("gid")
@@ -243,71 +274,97 @@ def jaccard_join(
         )
         return work.save(tried.filter("linked").select("a", "b").distinct(), name)
 
-    # First round: the first group of like size in each list. Sizes fall into bands twice, the
-    # second time shifted by half, so that groups on either side of a boundary meet as well.
-    log = F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))
-    bands = F.explode(F.array(F.floor(log) * 2, F.floor(log + 0.5) * 2 + 1))
-    # A copy's own changes are rare shingles that nobody shares; what it was copied from has all
-    # of its prefix in common with others. So the group with the largest shared part of its
-    # prefix leads a list: most of a family link with their original at once.
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1
-    leads = posting.groupBy("gid").agg((F.count("*") / F.first(prefix)).alias("lead"))
-    banded = posting.join(work.save(leads, "leads"), "gid").withColumn("band", bands)
-    best_hub = F.max(F.struct("lead", (-F.col("gid")).alias("_gid"))).alias("best")
-    hubs = banded.groupBy("shingle", "band").agg(best_hub)
-    hubs = work.save(hubs.select("shingle", "band", (-F.col("best._gid")).alias("hub")), "hubs")
-    met = banded.join(hubs, ["shingle", "band"]).filter("gid <> hub").groupBy("gid", "hub")
-    best = met.agg(F.count("*").alias("c")).groupBy("gid").agg(
-        F.max(F.struct("c", (-F.col("hub")).alias("_hub"))).alias("best")
-    )
-    stars = best.select(F.col("gid").alias("a"), (-F.col("best._hub")).alias("b"))
-    inside = classes.filter("rep <> gid").select(F.col("rep").alias("a"), F.col("gid").alias("b"))
-    first = work.save(stars.union(inside), "first")
-    links = verified(first, "first-links")
-    joined = components(work, links, "families")
-
-    # Second round: what a list still holds in different components.
-    named = classes.select("rep", "gid").join(joined, F.col("rep") == F.col("id"), "left")
-    named = work.save(
-        named.select("rep", "gid", F.coalesce("component", "rep").alias("component")), "named"
-    )
-    columns = ["whole", "shingle", "pos", "rep", "n", "component"]
-    members = posting.join(named, "gid").withColumn("whole", F.lit(False)).select(*columns)
+    # Groups that share all of their prefix, and the classes of one group, in lists with a flag.
+    columns = ["whole", "shingle", "pos", "rep", "n"]
+    reps = classes.select("rep", "gid")
+    shared_by = posting.join(reps, "gid").withColumn("whole", F.lit(False)).select(*columns)
     # Groups of several classes share all their lists, also those that no other group has.
     alone = classes.join(several, "gid", "left_semi").select("rep", F.col("gid").alias("shingle"), "n")
-    alone = alone.join(named, "rep").withColumns({"whole": F.lit(True), "pos": F.lit(0)}).select(*columns)
+    alone = alone.withColumns({"whole": F.lit(True), "pos": F.lit(0)}).select(*columns)
+    listed = work.save(shared_by.unionByName(alone).distinct(), "listed")
+    work.drop("postings")
+    work.drop("active")
+    work.drop("needed")
     lists = ["whole", "shingle"]
-    members = work.save(members.unionByName(alone).distinct(), "members")
-    several_in = members.groupBy(*lists).agg(F.min("component").alias("_a"), F.max("component").alias("_b"))
-    several_in = work.save(several_in.filter("_a < _b").select(*lists), "several-in")
-    members = work.save(members.join(several_in, lists), "several-members")
-    x = members.toDF("whole", "shingle", "i", "a", "n", "ca")
-    y = members.toDF("whole", "shingle", "j", "b", "m", "cb")
-    # What a pair of these sizes has to share.
-    need = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent) - 1e-9)
+    # A copy's own changes are rare shingles that nobody shares; what it was copied from has all
+    # of its prefix in common with others. So the class with the largest shared part of its
+    # prefix leads a list: most of a family link with their original at once.
+    lead = F.count("*") / F.first(_prefix("n", percent))
+    leads = work.save(listed.groupBy("rep").agg(lead.alias("lead")), "leads")
+    # Sizes fall into bands twice, the second time shifted by half, so that classes on either
+    # side of a boundary meet as well.
+    log = F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))
+    bands = F.explode(F.array(F.floor(log) * 2, F.floor(log + 0.5) * 2 + 1))
+
+    links, joined, tested, turn = None, None, None, 0
+    while True:
+        turn += 1
+        members = listed if joined is None else listed.join(joined, F.col("rep") == F.col("id"), "left").drop("id")
+        own = F.col("rep") if joined is None else F.coalesce("component", "rep")
+        members = members.select(*columns, own.alias("component"))
+        # Lists of one component are done.
+        open_lists = members.groupBy(*lists).agg(F.min("component").alias("_a"), F.max("component").alias("_b"))
+        open_lists = work.save(open_lists.filter("_a < _b").select(*lists), f"open-{turn}")
+        members = work.save(members.join(open_lists, lists), f"members-{turn}")
+        work.drop(f"open-{turn}")
+
+        banded = members.join(leads, "rep").withColumn("band", bands)
+        best_hub = F.max(F.struct("lead", (-F.col("rep")).alias("_rep"), "component", "n")).alias("best")
+        hubs = banded.groupBy(*lists, "band").agg(best_hub)
+        hubs = work.save(
+            hubs.select(*lists, "band", (-F.col("best._rep")).alias("hub"), F.col("best.component").alias("of"), F.col("best.n").alias("m")),
+            f"hubs-{turn}",
+        )
+        # A pair meets once a list in either kind of band.
+        met = banded.join(hubs, [*lists, "band"]).filter("component <> of").groupBy("rep", "hub", "n", "m")
+        kinds = [F.count_if(F.pmod("band", F.lit(2)) == kind) for kind in (0, 1)]
+        met = met.agg(F.greatest(*kinds).alias("c"), F.max("whole").alias("same"))
+        met = met.filter(F.col("same") | (F.col("c") + _rest("n", "m", percent) >= _need("n", "m", percent)))
+        pairs = met.select(F.col("rep").alias("a"), F.col("hub").alias("b"), "c")
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        best = pairs.groupBy("a").agg(F.max(F.struct("c", (-F.col("b")).alias("_b"))).alias("best"))
+        stars = work.save(best.select("a", (-F.col("best._b")).alias("b")), f"stars-{turn}")
+        work.drop(f"hubs-{turn}")
+        new = verified(stars, f"links-{turn}")
+        both_ways = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        tested = both_ways if tested is None else tested.union(both_ways)
+        if turn > 1 and new.isEmpty():
+            break
+        links = new if links is None else links.union(new)
+        joined = components(work, links, f"families-{turn}")
+        work.drop(f"members-{turn}")
+
+    # What a list still holds in different components: pairs, counted as they meet.
+    signs = classes.select("rep", *[f"s{i}" for i in range(SIGNATURE)])
+    signed = work.save(members.join(signs.hint("merge"), "rep"), "signed")
+    work.drop(f"members-{turn}")
+    x = signed.select(*lists, F.col("pos").alias("i"), F.col("rep").alias("a"), "n", F.col("component").alias("ca"),
+                      *[F.col(f"s{i}").alias(f"x{i}") for i in range(SIGNATURE)])
+    y = signed.select(*lists, F.col("pos").alias("j"), F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("cb"),
+                      *[F.col(f"s{i}").alias(f"y{i}") for i in range(SIGNATURE)])
+    need = _need("n", "m", percent)
     like = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
+    apart = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(SIGNATURE)), F.lit(0))
     early = (F.col("n") - F.col("i") >= need) & (F.col("m") - F.col("j") >= need)
-    met = x.join(y, lists).filter("ca < cb").filter(like & (F.col("whole") | early))
-    met = work.save(met.groupBy("a", "b", "n", "m").agg(F.max("whole").alias("same")), "met")
-    # All of it lies among the shared prefix shingles and what follows the prefix.
-    rest = F.greatest(*[F.ceil(F.col(v) * percent / 100 - 1e-9) - 1 for v in ("n", "m")])
-    has = members.filter("NOT whole")
-    shared_lists = (
-        met.filter("NOT same")
-        .join(has.select(F.col("rep").alias("a"), "shingle"), "a")
-        .join(has.select(F.col("rep").alias("b"), "shingle"), ["b", "shingle"])
+    near = x.join(y, lists).filter("ca < cb").filter(like & (F.col("n") + F.col("m") - apart >= 2 * need))
+    met = near.groupBy("a", "b", "n", "m").agg(
+        F.max("whole").alias("same"), F.count("*").alias("c"), F.max(early).alias("early")
     )
-    enough = shared_lists.groupBy("a", "b", "n", "m").agg(F.count("*").alias("c")).filter(F.col("c") + rest >= need)
-    likely = enough.select("a", "b").union(met.filter("same").select("a", "b"))
-    tested = first.select("a", "b").union(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    second = work.save(likely.join(tested, ["a", "b"], "left_anti"), "second")
+    likely = met.filter(F.col("same") | (F.col("early") & (F.col("c") + _rest("n", "m", percent) >= need)))
+    second = work.save(likely.select("a", "b").join(tested, ["a", "b"], "left_anti"), "second")
+    work.drop("signed")
+    work.drop("listed")
     links = work.save(links.union(verified(second, "second-links")), "links")
+    work.drop("bodies")
     joined = components(work, links, "components")
 
     final = classes.join(joined, F.col("rep") == F.col("id"), "left").select(
         "n", "d1", "d2", F.coalesce("component", "rep").alias("component_id")
     )
     final = work.save(final, "final")
+    for name in ("classes", "links", "leads"):
+        work.drop(name)
     return (
         facts.select("doc_id", "n", "d1", "d2")
         .join(final, ["n", "d1", "d2"], "left")
@@ -325,4 +382,6 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **op
     judged = jaccard_join(docs, doc_id, text, **options)
     gone = judged.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     gone = work.save(gone, "gone")
-    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    rows = boxed(docs, _id=F.col(doc_id))
+    # Sort-merge at every size, as the ids may be too many to broadcast.
+    return rows.join(gone.hint("merge"), F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")
