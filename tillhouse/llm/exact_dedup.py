@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillhouse.llm.workspace import Workspace
+from tillhouse.llm.workspace import Workspace, boxed
 
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -99,26 +99,29 @@ def exact_dedup(
 
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group of equal texts, all columns unchanged.
+    """One document of each group of equal texts, all columns unchanged, whatever their names.
 
     Rows are told apart by id and digest, so ids may be null or repeat with other texts. Of rows
     that repeat both, the one with the smallest text stays (they may differ in white space and
     in other columns). Only the pairs that drop a row meet the documents.
     """
     work = Workspace(docs.sparkSession, "exact-dedup")
-    pairs = exact_dedup(docs, doc_id, text).groupBy("doc_id", "digest").agg(
-        F.count("*").alias("_rows"), F.first("kept").alias("_kept")
-    )
+    # Saved first: rows of one digest then meet their group in a join that adaptive execution can
+    # split, and are counted by id and digest in a shuffle of its own.
+    judged = work.save(exact_dedup(docs, doc_id, text).select("doc_id", "digest", "kept"), "judged")
+    pairs = judged.groupBy("doc_id", "digest").agg(F.count("*").alias("_rows"), F.first("kept").alias("_kept"))
     marked = pairs.filter("_rows > 1 OR NOT _kept").select(
         F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "_kept"
     )
     marked = work.save(marked, "marked")
-    digest = F.unhex(F.sha2(normalised(text), 256))
-    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (digest == F.col("_digest"))
-    single = docs.join(marked, same, "left_anti")
+    work.drop("judged")
+    rows = boxed(docs, _own=F.col(doc_id), _text=F.col(text), _own_digest=F.unhex(F.sha2(normalised(text), 256)))
+    same = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_own_digest") == F.col("_digest"))
+    # Sort-merge at every size, as the pairs may be too many to broadcast.
+    single = rows.join(marked.hint("merge"), same, "left_anti").select("_row.*")
     repeated = marked.filter("_kept")
     if repeated.isEmpty():
         return single
-    least = F.min_by(F.struct(*docs.columns), F.struct(text)).alias("_row")
-    one = docs.join(repeated, same).groupBy("_id", "_digest").agg(least).select("_row.*")
+    least = F.min_by("_row", F.struct("_text")).alias("_row")
+    one = rows.join(repeated.hint("merge"), same).groupBy("_id", "_digest").agg(least).select("_row.*")
     return single.unionByName(one)

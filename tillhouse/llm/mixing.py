@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillhouse.llm.workspace import Workspace, running
+from tillhouse.llm.workspace import Workspace, boxed, running
 
 WORD = r"[^\x20\x09-\x0D]+"
 # Blocks that the whole corpus is cut into, and the least number for any one source.
@@ -239,13 +239,14 @@ def repeat_documents(
     extra = turn(F.col("_before") + F.col("_fraction")) - turn(F.col("_before"))
     copies = (F.col("_whole") + extra).cast("int").alias("_copies")
     counts = work.save(carried.select("_source.name", "_id", "_size", copies), "copies")
-    # Left: a document without words has no count.
-    sized = docs.withColumn("_n", n_words(text))
+    # Left: a document without words has no count. Sort-merge at every size, as the counts may be
+    # too many to broadcast.
+    rows = boxed(docs, _own=F.col(doc_id), _from=F.col(source), _n=n_words(text))
     same = (
-        F.col(doc_id).eqNullSafe(F.col("_id"))
-        & F.col(source).eqNullSafe(F.col("_name"))
+        F.col("_own").eqNullSafe(F.col("_id"))
+        & F.col("_from").eqNullSafe(F.col("_name"))
         & (F.col("_n") == F.col("_size"))
     )
-    joined = sized.join(counts.withColumnRenamed("name", "_name"), same, "left")
+    joined = rows.join(counts.withColumnRenamed("name", "_name").hint("merge"), same, "left")
     times = F.explode(F.array_repeat(F.lit(0), F.coalesce("_copies", F.lit(1))))
-    return joined.withColumn("_time", times).select(*docs.columns)
+    return joined.withColumn("_time", times).select("_row.*")

@@ -38,6 +38,13 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def boxed(df: DataFrame, **helpers: Column) -> DataFrame:
+    """The rows of a table as one struct, ``_row``, beside helper columns: whatever names its columns
+    have, none clashes. ``_row.*`` gives them back."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+    return df.select(row, *[value.alias(name) for name, value in helpers.items()])
+
+
 def importable(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it.
 
