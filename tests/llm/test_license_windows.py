@@ -1,6 +1,7 @@
 """Licences inside longer lines, across line ends and as full texts."""
 
 import random
+import time
 from collections import Counter
 
 from tillhouse.llm.license_scan import PERCENT, TEMPLATES, WORD, Scanner, bodies, scan_licenses
@@ -41,3 +42,17 @@ def test_best_windows_against_all_windows():
             taken = [k for _, a, b in own for k in range(a, b + 2)]
             assert len(taken) == len(set(taken))
     assert len(TEMPLATES) == 15
+
+
+def test_time_grows_with_the_text():
+    scanner = Scanner([*TEMPLATES, *bodies()], PERCENT)
+    notice = TEMPLATES[1][1] + "\nplain words between\n"
+
+    def seconds(times):
+        text = notice * times
+        started = time.process_time()
+        assert {name for _, name, _ in scanner.scan(text)} == {"Apache-2.0"}
+        return time.process_time() - started
+
+    seconds(50)
+    assert seconds(3200) < 12 * seconds(800)

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from pathlib import Path
@@ -30,6 +31,9 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from tillhouse.llm.workspace import importable
 
 PERCENT = 75
+# Cells of the matrices in which windows are compared.
+MATRIX = 1 << 17
+STRETCH = 64
 # Usual wordings of licence notices.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -127,19 +131,41 @@ class Scanner:
             j = int(dice.argmax())
             return -float(dice[j]), -int(n[j]), i, int(place[i + j])
 
-        end = len(found)
-        queue = [w for i in np.flatnonzero(reach >= percent * m).tolist() if (w := best(i, end))]
+        # The best window of every start, many starts at a time: a row of the matrix is a start.
+        end, starts = len(found), np.flatnonzero(reach >= percent * m)
+        width = min(most, len(place))
+        padded_place = np.append(place, np.full(width, place[-1] + 2 * most if len(place) else 0))
+        padded_outside = np.append(outside, np.full(width, len(place)))
+        queue = []
+        for some in np.array_split(starts, max(1, len(starts) * width // MATRIX)):
+            if not len(some):
+                continue
+            spots = some[:, None] + np.arange(width)
+            both = np.cumsum(padded_outside[spots] < some[:, None], axis=1)
+            n = padded_place[spots] - place[some][:, None] + 1
+            fits = (n <= most) & (200 * both >= percent * (n + m))
+            dice = np.where(fits, 2.0 * both / (n + m), 0.0)
+            at = dice.argmax(1)
+            row = np.arange(len(some))
+            ok = np.flatnonzero(fits[row, at])
+            value, length = -dice[row, at], -n[row, at]
+            last = place[np.minimum(some + at, len(place) - 1)]
+            queue += zip(value[ok].tolist(), length[ok].tolist(), some[ok].tolist(), last[ok].tolist(), strict=True)
         heapq.heapify(queue)
+        # Taken windows lie apart, so both lists are sorted alike.
+        firsts: list[int] = []
         taken: list[tuple[float, int, int]] = []
         while queue:
             dice, _, i, last = heapq.heappop(queue)
             first = int(place[i])
             # Windows share no word: a bigram reaches one word further than its place.
-            if any(a <= first <= b + 1 or a - 1 == first for _, a, b in taken):
+            behind = bisect_right(firsts, first + 1)
+            if behind and (firsts[behind - 1] == first + 1 or first <= taken[behind - 1][2] + 1):
                 continue
-            limit = min((a - 1 for _, a, _ in taken if a > first), default=end)
+            limit = firsts[behind] - 1 if behind < len(firsts) else end
             if last < limit:
-                taken.append((-dice, first, last))
+                firsts.insert(behind, first)
+                taken.insert(behind, (-dice, first, last))
             elif (again := best(i, limit)) is not None:
                 heapq.heappush(queue, again)
         return taken
@@ -159,14 +185,17 @@ class Scanner:
         spans = [w.span() for w in WORD.finditer(text)]
         starts = np.array([a for a, _ in spans])
         passed = np.concatenate([[0], np.cumsum(matched)])
-        rows, covers = {}, []
+        # Units that have a coefficient, by the stretches of text that they lie in.
+        rows, covers = {}, defaultdict(list)
 
         def unit(body: str, first: int, last: int) -> None:
             """The words from ``first`` up to ``last``, not included."""
             if last - first < 2 or passed[last - 1] - passed[first] < self.least.min():
                 return
             if own := self.hits(found[first : last - 1]):
-                covers.append((first, last, max(dice for _, dice in own)))
+                cover = first, last, max(dice for _, dice in own)
+                for stretch in range(first // STRETCH, (last - 1) // STRETCH + 1):
+                    covers[stretch].append(cover)
                 rows[body] = own
 
         offset = 0
@@ -178,7 +207,10 @@ class Scanner:
         tried = [w for t in likely for w in self.windows(found, t)]
         for dice, a, b in sorted(tried, key=lambda w: (-w[0], w[1] - w[2], w[1])):
             size = b + 2 - a
-            if not any(2 * (min(y, b + 2) - max(x, a)) >= size and c >= dice for x, y, c in covers):
+            # What holds half of a window holds a word of its middle.
+            middle = {(a + (size - 1) // 2) // STRETCH, (a + size // 2) // STRETCH}
+            near = (cover for stretch in middle for cover in covers[stretch])
+            if not any(2 * (min(y, b + 2) - max(x, a)) >= size and c >= dice for x, y, c in near):
                 unit(text[spans[a][0] : spans[b + 1][1]], a, b + 2)
         return [(body, name, dice) for body, own in rows.items() for name, dice in own]
 
