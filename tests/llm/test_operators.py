@@ -305,8 +305,7 @@ def test_urls(spark):
     assert [got[i].verdict for i in range(1, 11)] == [
         "allow", "block", "block", "allow", "block", "allow", "allow", "allow", "allow", "allow",
     ]
-    # Personalised PageRank by hand: seeds of trust are a.example.net and s.org, one page each.
-    assert math.isclose(got[4].trust, 0.15 * 0 + 0.85 * 0.15 * 0.5)
-    assert math.isclose(got[6].trust, 0.85 * got[4].trust)
-    assert math.isclose(got[5].distrust, 0.85 * 0.15 * 0.5)
+    # By hand: a.example.net and s.org are full seeds of trust, b.example.com is one of distrust.
+    assert math.isclose(got[4].trust, 0.85) and math.isclose(got[6].trust, 0.85**2)
+    assert math.isclose(got[5].distrust, 0.85) and got[3].distrust == got[2].distrust == 1.0
     assert filter_urls(pages.limit(0)).count() == 0

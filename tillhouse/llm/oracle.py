@@ -3,7 +3,7 @@ in ``tests/llm``: tokens, sharding, mixing, quality and the link graph."""
 
 from __future__ import annotations
 
-from tillhouse.llm import fingerprints, heap_kmeans, manifest
+from tillhouse.llm import fingerprints, heap_kmeans, manifest, url_filter
 from tillhouse.llm.license_scan import LOWER, PERCENT, TEMPLATES, UPPER
 
 BLANK = r"[\x20\x09-\x0D]+"
@@ -313,12 +313,67 @@ SELECT l.doc_id, l.leaf, s.digest AS subroot, r.root, sha256(e.siblings) AS proo
 FROM leaves l JOIN ends e ON e.own = l.tree AND e.row = l.pos JOIN subroots s ON s.pos = l.tree CROSS JOIN root r
 """
 
+
+_HOST = "translate(regexp_extract({0}, '^(?s:.*?)://([^/?#]*)', 1), '" + UPPER + "', '" + LOWER + "')"
+_PATH = "regexp_extract({0}, '^(?s:.*?)://[^/?#]*([^?#]*)', 1)"
+_RULES = ", ".join(
+    f"({_quoted(r[: r.index('/')])}, {_quoted(r[r.index('/') :])}, {_quoted(r)}, {_quoted(v)})" for r, v in url_filter.RULES
+)
+_BEST = """
+    SELECT p.host, p.path, arg_max(r.rule, length(r.rule)) AS rule, arg_max(r.verdict, length(r.rule)) AS verdict
+    FROM {0} p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+    GROUP BY ALL"""
+# A turn adds a tolerance at most after so many; what comes later is below any difference that counts.
+_TURNS = 90
+URLS = rf"""
+WITH RECURSIVE rules(host, path, rule, verdict) AS (VALUES {_RULES}),
+placed AS (SELECT page_id, html, {_HOST.format("coalesce(url, '')")} AS host, {_PATH.format("coalesce(url, '')")} AS path FROM pages),
+linked AS (
+    SELECT host AS src, {_HOST.format("CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END")} AS dst
+    FROM (SELECT host, unnest(regexp_extract_all(html, {_quoted(url_filter.LINK)}, 1)) AS link FROM placed)
+),
+edges AS (
+    SELECT src, dst, count(*) / sum(count(*)) OVER (PARTITION BY src) AS share
+    FROM linked WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst
+),
+on_pages AS (SELECT host, path, count(*) AS n FROM placed WHERE host <> '' GROUP BY ALL),
+alone AS (SELECT DISTINCT dst AS host, '/' AS path, 1 AS n FROM edges WHERE dst NOT IN (SELECT host FROM on_pages)),
+places AS (FROM on_pages UNION ALL FROM alone),
+fits AS ({_BEST.format("places")}),
+seeds AS (
+    SELECT host, coalesce(sum(n) FILTER (verdict = 'allow'), 0) / sum(n) AS allow,
+           coalesce(sum(n) FILTER (verdict = 'block'), 0) / sum(n) AS block
+    FROM places LEFT JOIN fits USING (host, path) GROUP BY host
+),
+trust AS (
+    SELECT 0 AS turn, host, allow::DOUBLE AS gain FROM seeds WHERE allow > 0
+    UNION ALL
+    SELECT turn + 1, dst, sum({url_filter.DAMPING} * gain * share) FROM trust JOIN edges ON src = host
+    WHERE turn < {_TURNS} GROUP BY turn, dst
+),
+distrust AS (
+    SELECT 0 AS turn, host, block::DOUBLE AS gain FROM seeds WHERE block > 0
+    UNION ALL
+    SELECT turn + 1, src, sum({url_filter.DAMPING} * gain * share * (1 - coalesce(block, 0)))
+    FROM distrust d JOIN edges ON dst = d.host LEFT JOIN seeds s ON s.host = src
+    WHERE turn < {_TURNS} GROUP BY turn, src
+),
+scores AS (
+    SELECT host, sum(d) - sum(t) AS excess
+    FROM (SELECT host, gain AS t, 0 AS d FROM trust UNION ALL SELECT host, 0, gain FROM distrust) GROUP BY host
+)
+SELECT page_id, placed.host, placed.path, rule,
+       coalesce(verdict, CASE WHEN excess > {url_filter.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict
+FROM placed LEFT JOIN fits USING (host, path) LEFT JOIN scores USING (host)
+"""
+
 ORACLE = {
     "op4_jaccard_join": JACCARD,
     "op5_exact_dedup": EXACT,
     "op6_license_scan": LICENSES,
     "op7_substring_dedup": SUBSTRINGS,
     "op8_embedding_dedup": VECTORS,
+    "op10_url_filter": URLS,
     "op11_fingerprints": FINGERPRINTS,
     "op12_heap_kmeans": _kmeans(),
     "op13_manifest": MANIFEST,

@@ -1,13 +1,21 @@
 """URL filter: rules by host and path, and trust spread over the link graph.
 
-Hosts that the rules allow are trusted seeds, hosts that they block are distrusted ones. Trust
-follows links (personalised PageRank: who is linked by trusted hosts is trusted), distrust
-follows them backwards (who links to blocked hosts is distrusted). A url that no rule fits is
-blocked when its host's distrust exceeds its trust by the threshold.
-
-Scores, edges and seeds are Spark tables; an iteration is one join and one aggregate. The links
-of a host are counted before anything is shuffled, and what a hub passes on is split by
-adaptive execution, as both sides of the join are plain tables.
+Hosts that the rules allow are trusted seeds, hosts that they block are distrusted ones. A host is a
+seed by the share of its pages that a rule of that verdict fits; one without pages, only linked
+to, by the rule that fits all of it. So a rule makes a full seed only of a host that it covers wholly.
+
+Trust follows links (personalised PageRank): a seed starts with its share and passes on ``damping`` of
+what it gets, by the share of its links. It is counted in seeds: 1 is what a full seed starts with.
+Distrust follows links backwards: a host has its own share of blocked pages and, for the rest of
+it, ``damping`` times the distrust of the hosts that it links to, by the share of its links. So it
+lies between 0 and 1: a host whose links all go to blocked hosts has 0.85, one with a single such
+link in a hundred 0.0085. A url that no rule fits is blocked when its host's distrust exceeds its
+trust by ``THRESHOLD``: about half of what a host can get by linking to blocked hosts only.
+
+Both spread in increments, one join and one aggregate a turn over what the last turn added, until no
+host gains more than ``TOLERANCE``; increments shrink by ``damping`` a turn, so this always ends, and paths
+of any length count. Edges and scores are Spark tables; links are counted before anything is
+shuffled, and what a hub passes on is split by adaptive execution.
 """
 
 from __future__ import annotations
@@ -27,8 +35,8 @@ RULES = (
     ("org/fr/", "allow"),
 )
 DAMPING = 0.85
-ITERATIONS = 12
-THRESHOLD = 0.0
+TOLERANCE = 1e-4
+THRESHOLD = 0.4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)href\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)"""
 
@@ -90,31 +98,26 @@ def spread(
     edges: DataFrame,
     seeds: DataFrame,
     damping: float = DAMPING,
-    iterations: int = ITERATIONS,
+    tolerance: float = TOLERANCE,
 ) -> DataFrame:
-    """Personalised PageRank: ``host`` and ``score``, with ``seeds`` (``host``, ``weight``).
+    """``host`` and ``score``: what seeds (``host``, ``weight``) start with and all that reaches a host.
 
-    ``edges`` has ``src``, ``dst``, ``share`` (of what ``src`` passes on). Weight at hosts
-    without links ends there. The seeds' weights are scaled to add up to one. Every iteration is
-    written down, so losing an executor never repeats earlier ones.
+    ``edges`` has ``src``, ``dst``, ``share``: the part of ``src``'s gain that ``dst`` gains, damped. Every
+    turn is written down, so losing an executor never repeats earlier ones.
     """
-    total = seeds.agg(F.sum("weight").alias("n")).first().n
-    restart = work.save(
-        seeds.select("host", (F.col("weight") / F.lit(float(total or 1))).alias("restart")), f"{name}-seeds"
-    )
-    scores = restart.select("host", F.col("restart").alias("score"))
-    if edges.isEmpty():
-        return scores
-    given = restart.select("host", ((1 - damping) * F.col("restart")).alias("score"))
-    for turn in range(iterations):
-        passed = edges.join(scores, edges.src == scores.host).select(
+    gain = work.save(seeds.select("host", F.col("weight").alias("score")), f"{name}-0")
+    total, turn = gain, 0
+    while not edges.isEmpty() and not gain.filter(F.col("score") > tolerance).isEmpty():
+        turn += 1
+        passed = edges.join(gain, edges.src == gain.host).select(
             F.col("dst").alias("host"), (damping * F.col("score") * F.col("share")).alias("score")
         )
-        summed = passed.unionByName(given).groupBy("host").agg(F.sum("score").alias("score"))
-        scores = work.save(summed, f"{name}-{turn}")
-        if turn > 1:
-            work.drop(f"{name}-{turn - 2}")
-    return scores
+        gain = work.save(passed.groupBy("host").agg(F.sum("score").alias("score")), f"{name}-{turn}")
+        added = total.unionByName(gain).groupBy("host").agg(F.sum("score").alias("score"))
+        total = work.save(added, f"{name}-total-{turn}")
+        work.drop(f"{name}-total-{turn - 1}")
+        work.drop(f"{name}-{turn - 2}")
+    return total
 
 
 def filter_urls(
@@ -124,14 +127,14 @@ def filter_urls(
     url: str = "url",
     html: str = "html",
     damping: float = DAMPING,
-    iterations: int = ITERATIONS,
+    tolerance: float = TOLERANCE,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """``page_id``, ``host``, ``path``, ``rule``, ``verdict``, ``trust``, ``distrust``; a row per page.
 
     A null url, or one without ``://``, has an empty host and path: no rule fits it and it is
     no part of the graph, so it is allowed. A null page has no links. A host that both kinds of
-    rule name is a seed of both, weighted by its pages. Repeated rows are judged alike.
+    rule name is a seed of both, by the shares of its pages. Repeated rows are judged alike.
     """
     spark = pages.sparkSession
     work = Workspace(spark, "url-filter")
@@ -146,19 +149,36 @@ def filter_urls(
     bare = work.save(placed.drop("html"), "pages")
     rule = work.save(match_rules(bare, table), "rules")
 
-    def shared(src: str, dst: str, name: str) -> DataFrame:
-        """Edges in this direction with the share of their source that each carries."""
-        sums = work.save(linked.groupBy(src).agg(F.sum("links").alias("all")), f"{name}-sums")
-        share = (F.col("links") / F.col("all")).alias("share")
-        ways = linked.join(sums, src).select(F.col(src).alias("src"), F.col(dst).alias("dst"), share)
-        return work.save(ways, f"{name}-edges")
+    # Each host's share of allowed and of blocked pages. Hosts that are only linked to count as one
+    # page at their root.
+    on_pages = bare.filter("host <> ''").groupBy("host", "path").agg(F.count("*").alias("n"))
+    on_pages = work.save(on_pages, "places")
+    linked_to = linked.select(F.col("dst").alias("host")).distinct()
+    alone = linked_to.join(on_pages.select("host"), "host", "left_anti").select("host", F.lit("/").alias("path"))
+    alone_rule = match_rules(alone, table)
+    seen = on_pages.join(rule, ["host", "path"], "left").select("host", "n", "rule_verdict")
+    seen = seen.unionByName(
+        alone_rule.select("host", F.lit(1).cast("bigint").alias("n"), "rule_verdict")
+    )
+    part = lambda v: (F.sum(F.when(F.col("rule_verdict") == v, F.col("n")).otherwise(0)) / F.sum("n")).alias(v)
+    seeds = work.save(seen.groupBy("host").agg(part("allow"), part("block")), "seeds")
+
+    out = work.save(linked.groupBy("src").agg(F.sum("links").alias("all")), "out")
+    ways = linked.join(out, "src").select("src", "dst", (F.col("links") / F.col("all")).alias("share"))
+    ways = work.save(ways, "ways")
+    # Backwards, a link gives its source a share of its target's distrust, for the part of the source
+    # that is not blocked itself.
+    open_part = F.col("share") * (1 - F.coalesce("block", F.lit(0.0)))
+    back = ways.join(seeds.select(F.col("host").alias("src"), "block"), "src", "left").select(
+        F.col("dst").alias("src"), F.col("src").alias("dst"), open_part.alias("share")
+    )
+    back = work.save(back, "back")
 
-    def seeds(verdict: str) -> DataFrame:
-        named = rule.filter(F.col("rule_verdict") == verdict).filter("host <> ''")
-        return named.groupBy("host").agg(F.count("*").cast("double").alias("weight"))
+    def seeded(verdict: str) -> DataFrame:
+        return seeds.filter(F.col(verdict) > 0).select("host", F.col(verdict).alias("weight"))
 
-    trust = spread(work, "trust", shared("src", "dst", "trust"), seeds("allow"), damping, iterations)
-    distrust = spread(work, "distrust", shared("dst", "src", "distrust"), seeds("block"), damping, iterations)
+    trust = spread(work, "trust", ways, seeded("allow"), damping, tolerance)
+    distrust = spread(work, "distrust", back, seeded("block"), damping, tolerance)
     scores = work.save(
         trust.withColumnRenamed("score", "trust")
         .join(distrust.withColumnRenamed("score", "distrust"), "host", "full")
