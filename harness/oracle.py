@@ -468,9 +468,30 @@ ORACLE: dict[str, str] = {
     "adhoc_revenue": """
         SELECT count(*) AS sales_rows, CAST(sum(line_amount) AS DECIMAL(38,2)) AS revenue
         FROM fact_sales""",
-    "adhoc_current_even_customers": """
+    "adhoc_current_of_returning": """
         SELECT customer_key, customer_id, country FROM dim_customer
-        WHERE is_current AND customer_id % 2 = 0""",
+        WHERE is_current AND customer_id IN (
+            SELECT d.customer_id FROM fact_sales f JOIN dim_customer d ON d.customer_key = f.customer_key
+            GROUP BY d.customer_id HAVING count(DISTINCT f.customer_key) > 1)""",
+    "adhoc_ordered_read": """
+        SELECT *, row_number() OVER (ORDER BY date_key, item_key) AS place FROM fact_sales""",
+    "mart_product_ranked": """
+        SELECT *, row_number() OVER (ORDER BY revenue DESC NULLS LAST, category NULLS FIRST,
+                                     product_name NULLS FIRST) AS rank
+        FROM mart_product_sales""",
+    "mart_customer_ranked": """
+        SELECT *, row_number() OVER (ORDER BY total_spent DESC NULLS LAST, customer_key) AS rank
+        FROM mart_customer_sales""",
+    "dim_date_without_facts": PARTS["dim_date"].replace(
+        "FROM days", "FROM (SELECT CAST(unnest(generate_series(DATE '2000-01-01', DATE '2000-12-31', INTERVAL 1 DAY)) AS DATE) AS date_key)"
+    ),
+    "check_outcomes": """
+        SELECT 'holds' AS name, count(*) > 0 AS passed FROM supplier UNION ALL
+        SELECT 'fails', count(*) > 0 FROM supplier WHERE false UNION ALL
+        SELECT 'cannot run', false UNION ALL SELECT 'skipped', true""",
+    "lake_retention": """
+        SELECT CAST(y - 1995 AS INTEGER) AS version, count(*) AS row_count
+        FROM range(1998, 2001) years(y) JOIN orders ON year(o_orderdate) <= y GROUP BY y""",
     "adhoc_distinct_days": "SELECT DISTINCT date_key FROM fact_sales",
     "cdc_tie_across_batches": "SELECT * FROM users_now WHERE user_id % 2 <> 0",
     "cdc_tie_across_polls": "SELECT * FROM users_now WHERE user_id % 2 <> 0",

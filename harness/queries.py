@@ -13,12 +13,13 @@ from harness.retail import RUNS, Retail
 from tillhouse.functions import line_amount
 from tillhouse.operators import changes, history
 from tillhouse.operators.asof import as_of_version
+from tillhouse.operators.calendar import full_calendar
 from tillhouse.operators.dedupe import survivors
 from tillhouse.operators.lookup import translate
 from tillhouse.plans import checks, silver
 from tillhouse.plans.pipeline import TABLES, build, load_snapshot
 from tillhouse.plans.run import lake_run
-from tillhouse.plans.serving import SERVED_LAYER, serve, serve_table
+from tillhouse.plans.serving import SERVED_LAYER, rank_table, serve, serve_table
 from tillhouse.schemas import SOURCES
 from tillhouse.session import shared_dir
 from tillhouse.sources.lake import Lake
@@ -413,7 +414,33 @@ def _orphans(r: Retail, fact: str, check: str) -> DataFrame:
 of_retail(
     "check_table_rows", lambda r: checks.table_rows(r.stored, "bronze", "transaction_items")
 )
-of_retail("check_row_counts", lambda r: checks.row_counts(r.stored, "bronze"))
+
+
+@query
+def check_row_counts(spark, directory):
+    """Of published source tables, from what was counted while they were written."""
+    lake, retail = new_lake(spark), Retail(spark, directory)
+    load_snapshot(lake, {t: retail.read("ingestion", t) for t in SOURCES}, LOADED_AT)
+    return checks.row_counts(lake.read, "bronze", counts=checks.published_counts(lake))
+
+
+@query
+def check_outcomes(spark, directory):
+    """A check that holds, one that does not, one that cannot run and one that is skipped."""
+    read = Retail(spark, directory).read
+    empty = read("ingestion", "stores").filter(F.lit(False))
+    outcomes = checks.evaluate(
+        {
+            "holds": lambda: checks.table_rows(read, "ingestion", "stores"),
+            "fails": lambda: checks.table_rows(lambda *_: empty, "ingestion", "stores"),
+            "cannot run": lambda: checks.table_rows(new_lake(spark).read, "ingestion", "stores"),
+            "skipped": lambda: checks.ingestion(read, "cdc"),
+        }
+    )
+    rows = [(name, outcome["passed"]) for name, outcome in outcomes.items()]
+    return spark.createDataFrame(rows, "name STRING, passed BOOLEAN")
+
+
 of_retail("check_gold", lambda r: checks.gold(r.stored))
 of_retail("check_fact_orphans", lambda r: _orphans(r, "fact_sales", "orphan_keys"))
 of_retail("check_refund_orphans", lambda r: _orphans(r, "fact_refunds", "refund_orphan_keys"))
@@ -445,34 +472,79 @@ def published(spark: SparkSession, directory: str) -> Lake:
 
 @query
 def lake_table_counts(spark, directory):
-    """Rows of every derived table after a whole published run."""
+    """Rows of every derived table after a whole published run, as counted while it was written."""
     lake = published(spark, directory)
-    frames = [
-        lake.read(t.layer, t.name)
-        .agg(F.count("*").alias("row_count"))
-        .select(F.lit(f"{t.layer}.{t.name}").alias("table_name"), "row_count")
-        for t in TABLES
-    ]
-    result = frames[0]
-    for frame in frames[1:]:
-        result = result.unionByName(frame)
-    return result
+    rows = [(f"{t.layer}.{t.name}", lake.version(*t.place).row_count) for t in TABLES]
+    return spark.createDataFrame(rows, "table_name STRING, row_count BIGINT")
 
 
 @query
 def check_served(spark, directory):
     lake = published(spark, directory)
     serve(lake)
-    return checks.served_counts(lake_run(lake, RUNS[2]).read)
+    return checks.served_counts(lake_run(lake, RUNS[2]).read, counts=checks.published_counts(lake))
+
+
+@query
+def lake_retention(spark, directory):
+    """Versions left of a table that was published five times, and their rows."""
+    lake, rows = Lake(spark, shared_dir(spark, "lake"), 3), Retail(spark, directory).read("bronze", "transactions")
+    for year in range(1996, 2001):
+        lake.publish(rows.filter(F.year("transaction_date") <= year), "bronze", "transactions")
+    kept = [(n, lake.version("bronze", "transactions", n).row_count) for n in lake.versions("bronze", "transactions")]
+    return spark.createDataFrame(kept, "version INT, row_count BIGINT")
+
+
+@query
+def dim_date_without_facts(spark, directory):
+    """The calendar when nothing was sold or refunded: the year of the run."""
+    nothing = Retail(spark, directory).read("bronze", "refunds").filter(F.lit(False)).select("refund_date")
+    return full_calendar([nothing, nothing], RUNS[2])
+
+
+def _ranked(spark, directory, table: str) -> DataFrame:
+    retail = Retail(spark, directory)
+    retail.stored("mart", table)
+    return rank_table(retail.lake, table)
+
+
+@query
+def mart_product_ranked(spark, directory):
+    return _ranked(spark, directory, "product_sales_mart")
+
+
+@query
+def mart_customer_ranked(spark, directory):
+    return _ranked(spark, directory, "customer_sales_mart")
 
 
 # --- Ad-hoc SQL over gold ---------------------------------------------------------------
-of_retail(
-    "adhoc_current_even_customers",
-    lambda r: r.read("gold", "dim_customer")
-    .filter("is_current AND customer_id % 2 = 0")
-    .select("customer_key", "customer_id", "country"),
-)
+
+
+@query
+def adhoc_current_of_returning(spark, directory):
+    """Current versions of the customers whose sales are booked on several versions."""
+    retail = Retail(spark, directory)
+    return spark.sql(
+        """
+        SELECT customer_key, customer_id, country FROM {dim_customer}
+        WHERE is_current AND customer_id IN (
+            SELECT d.customer_id FROM {fact_sales} f JOIN {dim_customer} d USING (customer_key)
+            GROUP BY d.customer_id HAVING count(DISTINCT customer_key) > 1)""",
+        fact_sales=retail.read("gold", "fact_sales"),
+        dim_customer=retail.stored("gold", "dim_customer"),
+    )
+
+
+@query
+def adhoc_ordered_read(spark, directory):
+    """The whole served fact in its order, every row with its place."""
+    retail = Retail(spark, directory)
+    retail.stored("gold", "fact_sales")
+    serve_table(retail.lake, "fact_sales", file_bytes=64 << 10)
+    return retail.lake.numbered(SERVED_LAYER, "fact_sales", "place")
+
+
 of_retail("adhoc_distinct_days", lambda r: r.read("gold", "fact_sales").select("date_key").distinct())
 
 

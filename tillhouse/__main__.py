@@ -70,12 +70,13 @@ def _run(spark: SparkSession, args) -> None:
 
 
 def _check(spark: SparkSession, args) -> bool:
-    read = lake_run(Lake(spark, args.lake), datetime.now(UTC)).read
+    lake = Lake(spark, args.lake)
+    read, counts = lake_run(lake, datetime.now(UTC)).read, checks.published_counts(lake)
     frame = {
-        "ingestion": lambda: checks.ingestion(read, args.mode),
-        "bronze": lambda: checks.row_counts(read, "bronze"),
+        "ingestion": lambda: checks.ingestion(read, args.mode, counts),
+        "bronze": lambda: checks.row_counts(read, "bronze", counts=counts),
         "gold": lambda: checks.gold(read),
-        "marts": lambda: checks.served_counts(read),
+        "marts": lambda: checks.served_counts(read, counts=counts),
     }[args.layer]
     result = checks.evaluate({args.layer: frame})[args.layer]
     print(json.dumps(result, default=str))

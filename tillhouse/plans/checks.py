@@ -9,13 +9,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillhouse.plans.serving import SERVED, SERVED_LAYER
 from tillhouse.schemas import OPTIONAL_TABLES, SOURCES, TOTAL
+from tillhouse.sources.lake import Lake
 
 Read = Callable[[str, str], DataFrame]
+Counts = Callable[[str, str], int]
 
 # Foreign keys of both facts and the dimension that holds each.
 FOREIGN_KEYS = {
@@ -54,17 +56,34 @@ def _stack(frames: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def table_rows(read: Read, layer: str, table: str, optional: bool = False) -> DataFrame:
+def published_counts(lake: Lake) -> Counts:
+    """Row counts as they were observed while the newest versions were written."""
+    return lambda layer, table: lake.version(layer, table).row_count
+
+
+def _counted(read: Read, layer: str, table: str, counts: Counts | None) -> DataFrame:
+    """The number of rows of a table, ``_n``: known from its publication, or from a scan."""
+    if counts is None:
+        return read(layer, table).agg(F.count("*").alias("_n"))
+    known = counts(layer, table)
+    return SparkSession.active().range(1).select(F.lit(known).cast("bigint").alias("_n"))
+
+
+def table_rows(
+    read: Read, layer: str, table: str, optional: bool = False, counts: Counts | None = None
+) -> DataFrame:
     """One table must have rows."""
-    count = read(layer, table).agg(F.count("*").alias("_n"))
+    count = _counted(read, layer, table, counts)
     return _row(count, "table_rows", table, "_n", F.lit(optional) | (F.col("_n") > 0))
 
 
-def row_counts(read: Read, layer: str, tables: Iterable[str] = SOURCES) -> DataFrame:
+def row_counts(
+    read: Read, layer: str, tables: Iterable[str] = SOURCES, counts: Counts | None = None
+) -> DataFrame:
     """Every source table must have rows, except those that may be empty."""
-    return _stack(table_rows(read, layer, t, t in OPTIONAL_TABLES) for t in tables).withColumn(
-        "check", F.lit("row_counts")
-    )
+    return _stack(
+        table_rows(read, layer, t, t in OPTIONAL_TABLES, counts) for t in tables
+    ).withColumn("check", F.lit("row_counts"))
 
 
 def grain(fact: DataFrame, key: str = "item_key") -> DataFrame:
@@ -171,27 +190,20 @@ def gold(read: Read) -> DataFrame:
 
 
 def served_counts(
-    read: Read, served: Read | None = None, tables: Iterable[str] = SERVED
+    read: Read,
+    served: Read | None = None,
+    tables: Iterable[str] = SERVED,
+    counts: Counts | None = None,
+    served_rows: Counts | None = None,
 ) -> DataFrame:
     """A served table has as many rows as its lake table."""
     served = served or read
 
     def compared(table: str) -> DataFrame:
         layer, _ = SERVED[table]
-        both = (
-            read(layer, table)
-            .agg(F.count("*").alias("_n"))
-            .withColumn("_in_lake", F.lit(True))
-            .unionByName(
-                served(SERVED_LAYER, table)
-                .agg(F.count("*").alias("_n"))
-                .withColumn("_in_lake", F.lit(False))
-            )
-            .agg(
-                F.max(F.when(F.col("_in_lake"), F.col("_n"))).alias("_lake"),
-                F.max(F.when(~F.col("_in_lake"), F.col("_n"))).alias("_served"),
-            )
-        )
+        in_lake = _counted(read, layer, table, counts).withColumnRenamed("_n", "_lake")
+        copy = _counted(served, SERVED_LAYER, table, served_rows or counts).withColumnRenamed("_n", "_served")
+        both = in_lake.withColumn("_one", F.lit(1)).join(copy.withColumn("_one", F.lit(1)), "_one")
         equal = F.col("_lake") == F.col("_served")
         return _rows(
             both,
@@ -202,10 +214,12 @@ def served_counts(
     return _stack(compared(t) for t in tables)
 
 
-def ingestion(read: Read, mode: str = "snapshot") -> DataFrame | None:
+def ingestion(
+    read: Read, mode: str = "snapshot", counts: Counts | None = None
+) -> DataFrame | None:
     """Landed tables have rows. In change mode nothing is landed, so there is nothing to
     check and the result is None."""
-    return None if mode == "cdc" else row_counts(read, "ingestion")
+    return None if mode == "cdc" else row_counts(read, "ingestion", counts=counts)
 
 
 def evaluate(checks: Mapping[str, Callable[[], DataFrame | None]]) -> dict[str, dict]:

@@ -1,14 +1,24 @@
-"""Published copies of gold and mart tables, sorted for the queries they serve."""
+"""Published copies of gold and mart tables, sorted for the queries they serve.
+
+A served table has a file per ``FILE_BYTES`` of its lake table, each a range of the sort key, and bloom
+filters on the columns that single rows are looked up by: a point read skips all row groups but
+those that may hold its rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 from functools import partial
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from tillhouse.plans.run import together
 from tillhouse.sources.lake import Lake
 
 SERVED_LAYER = "marts"
+RANKED_LAYER = "ranked"
+FILE_BYTES = 128 << 20
 
 # --- Fixed values: served table -> layer it comes from and its sort key ---------------
 SERVED = {
@@ -22,14 +32,37 @@ SERVED = {
     "product_sales_mart": ("mart", ("category", "product_name")),
     "customer_sales_mart": ("mart", ("customer_key",)),
 }
+# Marts with an order by a measure, highest first: measure and what decides between equals.
+RANKED = {
+    "product_sales_mart": ("revenue", ("category", "product_name")),
+    "customer_sales_mart": ("total_spent", ("customer_key",)),
+}
+# Columns that rows of a served table are looked up by, beside the sort key.
+LOOKED_UP = {"dim_customer": ("customer_id",), "fact_sales": ("item_key", "customer_key"), "fact_refunds": ("refund_key",)}
 # --- End of fixed values ---------------------------------------------------------------
 
 
-def serve_table(lake: Lake, table: str, served: Lake | None = None) -> None:
+def serve_table(
+    lake: Lake, table: str, served: Lake | None = None, file_bytes: int = FILE_BYTES
+) -> None:
     """Publish one table for readers. They see the previous copy until the new one is
     whole, and keep it when the build fails or the lake is away."""
     layer, sort_key = SERVED[table]
-    (served or lake).publish(lake.read(layer, table), SERVED_LAYER, table, sort_by=sort_key)
+    rows = lake.read(layer, table)
+    files = max(1, -(-lake.size(layer, table) // file_bytes))
+    target = served or lake
+    target.publish(rows, SERVED_LAYER, table, sort_key, files=files, bloom=LOOKED_UP.get(table, ()))
+
+
+def rank_table(lake: Lake, table: str) -> DataFrame:
+    """A mart in the order of its measure, highest first, with ``rank``: 1, 2, ... without ties.
+
+    The order is published, so a reader takes any range of ranks, or all in order, without sorting.
+    """
+    measure, names = RANKED[table]
+    order = [F.col(measure).desc_nulls_last(), *[F.col(n).asc_nulls_first() for n in names]]
+    lake.publish(lake.read("mart", table), RANKED_LAYER, table, order)
+    return lake.numbered(RANKED_LAYER, table, "rank")
 
 
 def serve(lake: Lake, tables: Iterable[str] = SERVED, served: Lake | None = None) -> None:

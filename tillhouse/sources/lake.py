@@ -16,7 +16,7 @@ import json
 from collections.abc import Collection, Iterable, Sequence
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,25 +101,50 @@ class Lake:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self._table(layer, table)}/{f}" for f in folders])
 
+    def numbered(self, layer: str, table: str, into: str) -> DataFrame:
+        """A table that was published ``sort_by`` its order, with each row's place in it from 1 on.
+
+        Files lie in the order of their names and rows in that of their index, so a row's place is its
+        index and the number of rows in earlier files: nothing is sorted again, and all that any one
+        task sees of the whole is a row per file.
+        """
+        rows = self.read(layer, table)
+        placed = rows.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_index"))
+        earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = placed.groupBy("_file").agg(F.count("*").alias("_rows"))
+        starts = sizes.select("_file", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
+        return placed.join(starts, "_file").select(*rows.columns, (F.col("_start") + F.col("_index") + 1).alias(into))
+
+    def size(self, layer: str, table: str) -> int:
+        """Bytes of the newest version's files."""
+        fs, base = self._fs(), self._table(layer, table)
+        folders = self.version(layer, table).parts.values()
+        return sum(fs.getContentSummary(self._path(f"{base}/{f}")).getLength() for f in folders)
+
     def publish(
         self,
         df: DataFrame,
         layer: str,
         table: str,
-        sort_by: Sequence[str] = (),
+        sort_by: Sequence[str | Column] = (),
         count_if: Column | None = None,
         facts: dict | None = None,
+        files: int | None = None,
+        bloom: Sequence[str] = (),
     ) -> None:
         """Write a new version with the frame's own schema, then drop versions beyond the
         newest ``keep_versions``. ``sort_by`` range-partitions and sorts the rows, so the
-        statistics of files and row groups let readers skip by those columns. Rows are counted as they
-        are written, those that ``count_if`` holds for."""
+        statistics of files and row groups let readers skip by those columns; ``files`` says into how
+        many ranges (by default as many as the session shuffles into), and the columns of ``bloom`` get
+        bloom filters. Rows are counted as they are written, those that ``count_if`` holds for."""
         if sort_by:
-            df = df.repartitionByRange(*sort_by).sortWithinPartitions(*sort_by)
+            ranges = [files] if files else []
+            df = df.repartitionByRange(*ranges, *sort_by).sortWithinPartitions(*sort_by)
         seen = Observation()
         counted = df.observe(seen, _count(count_if).alias(WHOLE))
         number, folder = self._start(layer, table)
-        counted.write.mode("errorifexists").parquet(f"{self._table(layer, table)}/{folder}")
+        blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in bloom}
+        counted.write.mode("errorifexists").options(**blooms).parquet(f"{self._table(layer, table)}/{folder}")
         self._commit(layer, table, number, Version(df.schema.jsonValue(), {WHOLE: folder}, seen.get, facts or {}))
 
     def publish_parts(
