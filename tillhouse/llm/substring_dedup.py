@@ -7,14 +7,16 @@
    first place of its window is a repeat.
 3. Repeats return to their document, where overlapping windows merge into maximal intervals.
 
-The first place is the smallest (id, position); null ids come after all others. Rows that repeat
-an id count as one document: a window is no repeat of itself in the other row, and what is
-removed in one is removed in the other. Windows are told apart by 72 bits of two hashes, so
+The first place is the smallest (id, position). Rows without an id come after all others, each
+distinct text as a document of its own, in the order of a hash of their texts (so ids lie below 2^62).
+Rows that repeat an id, or a text without one, count as one document: a window is no repeat of
+itself in the other row, and what is removed in one is removed in the other. Windows are told apart by 72 bits of two hashes, so
 over n windows about n**2 / 2**73 are taken for repeats by chance: none at a billion documents.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import defaultdict
 from collections.abc import Iterator
@@ -31,7 +33,7 @@ from tillhouse.llm.workspace import Workspace, task_count, text_bytes
 WINDOW = 20
 # Text bytes in a block of documents.
 BLOCK_BYTES = 8 << 20
-NO_ID = np.iinfo(np.int64).max  # null ids sort last
+NO_ID = 1 << 62  # rows without an id are numbered from here on: they sort last
 
 PACKED = "part int, dest int, body binary"
 RESULT = (
@@ -40,6 +42,13 @@ RESULT = (
 )
 
 
+def _key(doc: int | None, text: bytes) -> int:
+    """The number a row is dealt and ordered by: its id, or one made of its text."""
+    if doc is not None:
+        return doc
+    return NO_ID | int.from_bytes(hashlib.blake2b(text, digest_size=8).digest()) >> 2
+
+
 def _planes(a: np.ndarray) -> bytes:
     """Bytes of equal weight side by side: small numbers leave runs of zeros, which compress."""
     return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
@@ -162,7 +171,7 @@ def _hash_windows(k: int, targets: int, bits: int, block: int = BLOCK_BYTES):
         ids, texts, held = [], [], 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids.append(NO_ID if doc is None else doc)
+                ids.append(_key(doc, (text or "").encode()))
                 texts.append(text)
                 held += len(text or "")
                 if held >= block:
@@ -224,8 +233,9 @@ def _squeeze(targets: int):
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            dest = _destination(np.array([NO_ID if i is None else i for i in ids], np.int64), targets)
-            bodies = [pack((t or "").encode()) for t in batch.column(1).to_pylist()]
+            texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
+            dest = _destination(np.array([_key(i, t) for i, t in zip(ids, texts, strict=True)], np.int64), targets)
+            bodies = [pack(t) for t in texts]
             yield _batch(
                 list(zip(dest.tolist(), ids, bodies, [None] * len(ids), strict=True)),
                 ["dest", "doc_id", "body", "repeats"],
@@ -255,8 +265,8 @@ def _remove(k: int):
         open_ = zstandard.ZstdDecompressor().decompress
         rows, size = [], 0
         for doc, body in held:
-            words = open_(body).split()
-            key = NO_ID if doc is None else doc
+            text = open_(body)
+            words, key = text.split(), _key(doc, text)
             a, b = np.searchsorted(docs, key, "left"), np.searchsorted(docs, key, "right")
             spans, gone, kept = [], 0, words
             if b > a:
