@@ -109,7 +109,8 @@ class Retail:
         if place == HISTORY:
             self.history(len(RUNS))
         else:
-            self.lake.publish(self._plan(place), *place)
+            table = _TABLES.get(place)
+            self.lake.publish(self._plan(place), *place, bucket_by=table.bucket_by if table else None)
 
     def snapshot(self, number: int) -> DataFrame:
         """Customers as the source showed them at one of three times.

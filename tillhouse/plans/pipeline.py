@@ -25,13 +25,14 @@ class Table:
     """A derived table and its builder. What it needs is what the builder reads.
 
     The builder of a table that grows ``by_run`` gives one run's new rows and reads, under its own
-    name, what the runs before it left.
+    name, what the runs before it left. A table that several others join by one key is bucketed by it.
     """
 
     layer: str
     name: str
     build: Callable[[Run], DataFrame]
     by_run: bool = False
+    bucket_by: str | None = None
 
     @property
     def place(self) -> tuple[str, str]:
@@ -62,8 +63,9 @@ MARTS = {
     "product_sales_mart": mart.product_sales,
     "customer_sales_mart": mart.customer_sales,
 }
+BUCKETS = {"transactions": "transaction_id", "sales": "item_id", "refunds": "item_id"}
 TABLES = tuple(
-    Table(layer, name, builder, name == "customer_history")
+    Table(layer, name, builder, name == "customer_history", BUCKETS.get(name))
     for layer, builders in (("silver", SILVER), ("gold", GOLD), ("mart", MARTS))
     for name, builder in builders.items()
 )
@@ -123,7 +125,7 @@ def build(
             if table.by_run:
                 history.publish_run(lake, rows, *table.place, run_ts)
             else:
-                lake.publish(rows, *table.place)
+                lake.publish(rows, *table.place, bucket_by=table.bucket_by)
         except BaseException as failure:
             published[table.place].set_exception(failure)
             raise

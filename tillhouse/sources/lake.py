@@ -12,6 +12,7 @@ from its own current version. One writer per table is assumed; a second one fail
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Collection, Iterable, Sequence
 from dataclasses import asdict, dataclass, field
@@ -99,8 +100,20 @@ class Lake:
         schema = T.StructType.fromJson(version.schema)
         if not folders:
             return self.spark.createDataFrame([], schema)
+        if "buckets" in version.facts and len(folders) == 1:
+            return self._bucketed(f"{self._table(layer, table)}/{folders[0]}", schema, *version.facts["buckets"])
         return self.spark.read.schema(schema).parquet(*[f"{self._table(layer, table)}/{f}" for f in folders])
 
+    def _bucketed(self, path: str, schema: T.StructType, column: str, buckets: int) -> DataFrame:
+        """A bucketed part. Spark knows buckets by a catalog entry only: this session's is made anew."""
+        name = _entry(path)
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY (`{column}`) "
+            f"SORTED BY (`{column}`) INTO {buckets} BUCKETS LOCATION '{path}'"
+        )
+        return self.spark.table(name)
+
     def numbered(self, layer: str, table: str, into: str) -> DataFrame:
         """A table that was published ``sort_by`` its order, with each row's place in it from 1 on.
 
@@ -131,21 +144,32 @@ class Lake:
         facts: dict | None = None,
         files: int | None = None,
         bloom: Sequence[str] = (),
+        bucket_by: str | None = None,
     ) -> None:
         """Write a new version with the frame's own schema, then drop versions beyond the
         newest ``keep_versions``. ``sort_by`` range-partitions and sorts the rows, so the
         statistics of files and row groups let readers skip by those columns; ``files`` says into how
         many ranges (by default as many as the session shuffles into), and the columns of ``bloom`` get
-        bloom filters. Rows are counted as they are written, those that ``count_if`` holds for."""
+        bloom filters. ``bucket_by`` writes a file per bucket of that column, as many as the session
+        shuffles into: a later join or grouping by it then shuffles the other side only. Rows are counted as they are written, those that ``count_if`` holds for."""
         if sort_by:
             ranges = [files] if files else []
             df = df.repartitionByRange(*ranges, *sort_by).sortWithinPartitions(*sort_by)
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        if bucket_by:
+            df = df.repartition(buckets, bucket_by)
         seen = Observation()
         counted = df.observe(seen, _count(count_if).alias(WHOLE))
         number, folder = self._start(layer, table)
+        target, facts = f"{self._table(layer, table)}/{folder}", dict(facts or {})
         blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in bloom}
-        counted.write.mode("errorifexists").options(**blooms).parquet(f"{self._table(layer, table)}/{folder}")
-        self._commit(layer, table, number, Version(df.schema.jsonValue(), {WHOLE: folder}, seen.get, facts or {}))
+        writer = counted.write.mode("errorifexists").options(**blooms)
+        if bucket_by:
+            writer.format("parquet").bucketBy(buckets, bucket_by).sortBy(bucket_by).option("path", target).saveAsTable(_entry(target))
+            facts["buckets"] = [bucket_by, buckets]
+        else:
+            writer.parquet(target)
+        self._commit(layer, table, number, Version(df.schema.jsonValue(), {WHOLE: folder}, seen.get, facts))
 
     def publish_parts(
         self,
@@ -208,6 +232,7 @@ class Lake:
                 continue
             own = f"v{number:08d}"
             if not any(folder.startswith(f"{own}/") for folder in used):
+                self.spark.sql(f"DROP TABLE IF EXISTS {_entry(f'{base}/{own}/data')}")
                 fs.delete(self._path(f"{base}/{own}"), True)
                 continue
             fs.delete(self._marker(layer, table, number), False)
@@ -216,5 +241,10 @@ class Lake:
                     fs.delete(self._path(f"{base}/{own}/data/{name}"), True)
 
 
+def _entry(path: str) -> str:
+    """Catalog name of a bucketed part."""
+    return f"lake_{hashlib.md5(path.encode()).hexdigest()}"
+
+
 def _count(condition: Column | None) -> Column:
     return F.count(F.lit(1)) if condition is None else F.count_if(condition)
