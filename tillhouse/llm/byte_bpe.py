@@ -70,10 +70,9 @@ SELECT s.word, s.idx, s.id, s.turn
 FROM steps s JOIN (SELECT word, max(turn) AS turn FROM steps GROUP BY word) t USING (word, turn)
 """
 
-# One thread: the aggregate takes the rows in the order of the subquery.
 DECODE = """
-SELECT doc, string_agg(hex, '') AS body
-FROM (SELECT doc, hex FROM tokens JOIN vocabulary USING (id) ORDER BY pos)
+SELECT doc, string_agg(hex, '' ORDER BY pos) AS body
+FROM tokens JOIN vocabulary USING (id)
 GROUP BY doc
 """
 
