@@ -1,5 +1,6 @@
 """Hot keys: a third of all rows on one key."""
 
+from collections import Counter
 from datetime import date, timedelta
 from decimal import Decimal
 
@@ -8,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tillhouse.operators.asof import as_of_version
 from tillhouse.operators.dedupe import dedupe_by_key, survivor_map
-from tillhouse.operators.lookup import translate
-from tillhouse.operators.skew import hottest, join_lookup
+from tillhouse.operators.lookup import join_lookup, translate
+from tillhouse.operators.skew import hottest
 
 ROWS = 60_000
 
@@ -38,7 +39,7 @@ def final_plan(df):
     return text.split("== Initial Plan ==")[0]
 
 
-def test_hot_customer_of_the_point_in_time_join_is_split(spark, lake, small_partitions):
+def test_hot_customer_of_the_point_in_time_join_is_spread(spark, lake, small_partitions):
     facts = spark.range(0, ROWS, 1, 8).select(
         "id",
         F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 5000 + 2).cast("int").alias("customer_id"),
@@ -64,8 +65,11 @@ def test_hot_customer_of_the_point_in_time_join_is_split(spark, lake, small_part
         lake.read("silver", "sales"), lake.read("gold", "dim_customer"), "customer_id", "day"
     )
     plan = final_plan(joined)
-    assert "SortMergeJoin(skew=true)" in plan
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+    # Cut into its days, the customer that has a third of the rows spreads over the tasks.
+    placed = joined.select("customer_id", F.spark_partition_id().alias("task")).collect()
+    hot = Counter(r.task for r in placed if r.customer_id == 1)
+    assert len(hot) > 4 and max(hot.values()) < ROWS / 12
     change = date(2026, 3, 1)
     got = joined.collect()
     assert len(got) == ROWS
@@ -94,14 +98,23 @@ def test_lookup_of_hot_and_missing_codes(spark, small_partitions, how):
         spark.createDataFrame([("A", "alpha"), ("A", "alpha"), ("C2", "two")], "code STRING, name STRING"),
         "code",
     )
-    spread = sorted(map(str, join_lookup(df, lookup, "code", how, hot_rows=100).collect()))
-    plain = sorted(map(str, df.join(lookup, "code", how).collect()))
-    assert spread == plain
-    named = translate(df, lookup, "code", "name", hot_rows=100)
+    joined = join_lookup(df, lookup, "code", how)
+    assert sorted(map(str, joined.collect())) == sorted(map(str, df.join(lookup, "code", how).collect()))
+    named = translate(df, lookup, "code", "name")
     assert named.count() == 6000
     assert {r.name for r in named.select("name").distinct().collect()} == {"alpha", "two", "Unknown"}
 
 
+def test_a_hot_code_of_a_reduced_lookup_is_split_and_rows_are_read_once(spark, lake, small_partitions):
+    df = spark.range(0, ROWS, 1, 8).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 0 ELSE id % 5000 END AS code", "uuid() AS v")
+    lake.publish(df, "silver", "t")
+    lookup = dedupe_by_key(spark.range(0, 5000).selectExpr("id AS code", "CAST(id AS STRING) AS name"), "code")
+    named = translate(lake.read("silver", "t"), lookup, "code", "name")
+    assert named.filter("name = CAST(code AS STRING)").count() == ROWS
+    plan = final_plan(named)
+    assert "SortMergeJoin(skew=true)" in plan and plan.count("FileScan") == 1
+
+
 def test_hot_copies_of_one_row_collapse_before_the_shuffle(spark):
     df = spark.range(0, 30_000, 1, 4).selectExpr(
         "CASE WHEN id % 3 = 0 THEN 0 ELSE id END AS k", "id % 7 AS a", "CAST(id AS DECIMAL(10,2)) AS b"

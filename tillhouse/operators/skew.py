@@ -47,19 +47,3 @@ def spread_join(
     right = one.join(hot, list(on), "left").withColumn("_slot", copies)
     joined = left.drop("_slots").join(right.drop("_slots"), [*on, "_slot"], how)
     return joined.drop("_slot")
-
-
-def join_lookup(
-    many: DataFrame,
-    lookup: DataFrame,
-    code: str,
-    how: str,
-    counted: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Join with a table that has one row per code, where few codes may hold most rows.
-
-    ``counted`` may be a cheaper frame to count codes in than ``many``.
-    """
-    counts = (counted or many).groupBy(code).agg(F.count("*").alias("_rows"))
-    return spread_join(many, lookup, [code], hottest(counts, [code], "_rows", hot_rows), how)

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from tillhouse.functions import line_amount, strip
 from tillhouse.operators import history
 from tillhouse.operators.dedupe import rejects, survivor_map, survivors
-from tillhouse.operators.lookup import translate
+from tillhouse.operators.lookup import join_lookup, translate
 from tillhouse.operators.running import running_total
-from tillhouse.operators.skew import join_lookup
 from tillhouse.plans.run import Run
 from tillhouse.schemas import COMPLETED, TRACKED_CUSTOMER_COLUMNS
 
@@ -94,13 +93,7 @@ def transactions_completed(run: Run) -> DataFrame:
         .select("status_code", F.lower("status_name").alias("status"))
         .filter(F.col("status") == COMPLETED)
     )
-    return join_lookup(
-        run.source("transactions"),
-        completed,
-        "status_code",
-        "inner",
-        counted=run.read("bronze", "transactions").select("status_code"),
-    ).select(
+    return join_lookup(run.source("transactions"), completed, "status_code", "inner").select(
         "transaction_id",
         "store_id",
         "customer_id",
