@@ -29,6 +29,7 @@ from tillhouse.llm.workspace import Workspace
 COSINE = 0.93
 CELL_ROWS = 1_024  # classes that a cell is meant for, and rows of a block
 MOST_CELLS = 1_024  # of a label
+GROUP_ROWS = 8_192  # vectors that look for their cells together
 SAMPLE = 40  # vectors per cell that k-means is fitted on
 ROUNDS = 12
 
@@ -62,22 +63,24 @@ def _places(cosine: float, probes: int | None):
     """Home cell first, then the cells to be a guest in."""
     reach = math.sqrt(1 - cosine * cosine)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            cells = [None] * len(pdf)
-            for rows in pdf.groupby("label").indices.values():
-                x = np.array(pdf["unit"].iloc[rows].tolist(), float)
-                c = np.array(pdf["centres"].iloc[rows[0]], float).reshape(-1, x.shape[1])
-                near = x @ c.T
-                home = near.argmax(1)
-                gap = near[np.arange(len(x)), home][:, None] - near
-                width = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))[home]
-                reached = gap <= reach * width + 1e-9
-                order = np.argsort(gap, 1, kind="stable")[:, :probes]
-                for i, row in enumerate(rows):
-                    at = order[i][reached[i, order[i]]]
-                    cells[row] = [int(home[i]), *(int(a) for a in at if a != home[i])]
-            yield pd.DataFrame({"class_id": pdf["class_id"], "cells": cells})
+    def run(pdf: pd.DataFrame, fitted: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty:
+            return pd.DataFrame({"class_id": [], "cells": []})
+        x = np.array(pdf["unit"].tolist(), float)
+        # A label that the sample lacks has one cell, around any of its vectors.
+        centres = x[:1] if fitted.empty else np.array(fitted["centres"].iloc[0], float)
+        c = centres.reshape(-1, x.shape[1])
+        near = x @ c.T
+        home = near.argmax(1)
+        gap = near[np.arange(len(x)), home][:, None] - near
+        width = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))[home]
+        reached = gap <= reach * width + 1e-9
+        order = np.argsort(gap, 1, kind="stable")[:, :probes]
+        cells = []
+        for i in range(len(x)):
+            at = order[i][reached[i, order[i]]]
+            cells.append([int(home[i]), *(int(a) for a in at if a != home[i])])
+        return pd.DataFrame({"class_id": pdf["class_id"], "cells": cells})
 
     return run
 
@@ -185,11 +188,14 @@ def embedding_dedup(
     centres = work.save(
         sample.groupBy("label").applyInPandas(_fit_label, "label string, centres array<double>"), "centres"
     )
-    placed = (
-        classes.join(centres, "label", "left")
-        .withColumn("centres", F.coalesce("centres", "unit"))  # a sample without the label: one cell
-        .select("class_id", "label", "unit", "centres")
-        .mapInPandas(_places(cosine, probes), "class_id bigint, cells array<int>")
+    # Vectors of a label are dealt into groups that a task holds; each gets the label's centres once.
+    dealt = plan.select("label", F.ceil(F.col("n") / GROUP_ROWS).cast("int").alias("groups"))
+    slot = F.pmod(F.xxhash64("class_id", F.lit(4)), F.col("groups")).cast("int").alias("slot")
+    grouped = classes.join(dealt, "label").select("label", slot, "class_id", "unit")
+    copies = F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("slot")
+    given = centres.join(dealt, "label").select("label", copies, "centres")
+    placed = grouped.groupBy("label", "slot").cogroup(given.groupBy("label", "slot")).applyInPandas(
+        _places(cosine, probes), "class_id bigint, cells array<int>"
     )
     placed = work.save(classes.join(work.save(placed, "places"), "class_id"), "placed")
 
