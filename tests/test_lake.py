@@ -1,8 +1,11 @@
 import pytest
 from conftest import SOLD
 
+from pyspark.sql import functions as F
+
 from tillhouse.plans.serving import SERVED, SERVED_LAYER, serve, serve_table
 from tillhouse.schemas import SOURCES, source_schema
+from tillhouse.session import size_shuffles
 from tillhouse.sources.lake import Lake
 from tillhouse.sources.landing import LANDING, bronze_copy, ingest
 
@@ -124,3 +127,29 @@ def test_every_source_table_has_a_schema_with_its_key(spark):
     assert len(SOURCES) == 9
     for table, (key, _) in SOURCES.items():
         assert key in source_schema(table).names
+
+
+def test_shuffles_grow_with_the_input(spark, tmp_path):
+    spark.range(20_000).write.parquet(str(tmp_path / "t"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        assert size_shuffles(spark, str(tmp_path)) == int(before)
+        assert size_shuffles(spark, str(tmp_path), 4096) == int(spark.conf.get("spark.sql.shuffle.partitions")) > 10
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_point_read_of_a_served_table_skips_the_other_files(spark, lake):
+    """Customers by id and flag: of many files one holds the row, and only its rows are read."""
+    people = spark.range(20_000).selectExpr(
+        "id * 1000000 + 1 AS customer_key", "id AS customer_id", "id % 2 = 0 AS is_current"
+    )
+    lake.publish(people.repartition(8), "gold", "dim_customer")
+    serve_table(lake, "dim_customer", file_bytes=20_000)
+    read = lake.read(SERVED_LAYER, "dim_customer")
+    files = read.select(F.col("_metadata.file_name")).distinct().count()
+    assert files > 5
+    found = read.filter("customer_id = 7778 AND is_current")
+    assert [r.customer_key for r in found.collect()] == [7778 * 1000000 + 1]
+    scan = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.metrics().get("numOutputRows").get().value() <= 20_000 / files * 2

@@ -73,6 +73,31 @@ def test_snapshot_runs_end_to_end(spark, tmp_path):
     assert facts(lake) == (7, Decimal("1756.50"))
 
 
+BIG = 5_000_000_000
+
+
+def widened(rows, schema):
+    """Rows with every id beyond 32 bits."""
+    ids = [n for n, f in enumerate(schema) if f.name.endswith("_id")]
+    return [tuple(v + BIG if n in ids and v is not None else v for n, v in enumerate(row)) for row in rows]
+
+
+@pytest.mark.parametrize("route", ["snapshot", "changes"])
+def test_ids_beyond_32_bits_on_both_routes(spark, tmp_path, route, monkeypatch):
+    lake, root = Lake(spark, str(tmp_path / "lake")), str(tmp_path / "events")
+    wide = {t: widened(rows, source_schema(t)) for t, rows in SEED.items()}
+    monkeypatch.setattr("conftest.source_schema", lambda t: source_schema(t, True))
+    monkeypatch.setattr("test_runs.source_schema", lambda t: source_schema(t, True))
+    if route == "snapshot":
+        run_snapshot(lake, frames(spark, wide), datetime(2024, 5, 1), wide_keys=True)
+    else:
+        land_rows(spark, root, 1, **{t: rows for t, rows in wide.items() if rows})
+        run_changes(lake, root, datetime(2024, 5, 1), wide_keys=True)
+    assert facts(lake) == (6, Decimal("1656.50"))
+    keys = [r.item_key for r in served(lake, "fact_sales").collect()]
+    assert sorted(keys) == [BIG + i for i, *_ in SEED["transaction_items"]]
+
+
 def land_rows(spark, root, ts, op="r", **rows):
     """Write events of source rows; each keeps its place in time."""
     for table, data in rows.items():

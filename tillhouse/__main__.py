@@ -19,7 +19,7 @@ from tillhouse.plans import checks
 from tillhouse.plans.pipeline import TABLES, build, load_changes, load_snapshot
 from tillhouse.plans.run import lake_run
 from tillhouse.plans.serving import serve
-from tillhouse.session import configure
+from tillhouse.session import configure, size_shuffles
 from tillhouse.sources.lake import Lake
 from tillhouse.sources.landing import jdbc_sources, parquet_sources
 
@@ -34,6 +34,7 @@ def _parser() -> argparse.ArgumentParser:
     source.add_argument("--jdbc", help="database URL; the driver must be on the class path")
     source.add_argument("--events", help="folder that holds cdc/<topic>/<partition>/*.parquet")
     run.add_argument("--schema", default="pos", help="database schema of the source tables")
+    run.add_argument("--wide-keys", action="store_true", help="64-bit ids")
     run.add_argument("--no-serve", action="store_true", help="stop after the lake layers")
     run.add_argument("--only", nargs="*", metavar="LAYER.TABLE", help="build only these tables")
     check = commands.add_parser("check")
@@ -54,15 +55,17 @@ def _run(spark: SparkSession, args) -> None:
     known = {f"{t.layer}.{t.name}" for t in TABLES}
     if unknown := sorted(set(args.only or ()) - known):
         raise SystemExit(f"no such table: {', '.join(unknown)}")
+    if folder := args.events or args.parquet:
+        size_shuffles(spark, folder)
     if args.events:
-        _step("bronze", lambda: load_changes(lake, args.events, now))
+        _step("bronze", lambda: load_changes(lake, args.events, now, wide_keys=args.wide_keys))
     else:
         extracts = (
             parquet_sources(spark, args.parquet)
             if args.parquet
             else jdbc_sources(spark, args.jdbc, args.schema)
         )
-        _step("ingestion and bronze", lambda: load_snapshot(lake, extracts, now))
+        _step("ingestion and bronze", lambda: load_snapshot(lake, extracts, now, args.wide_keys))
     only = [tuple(name.split(".", 1)) for name in args.only] if args.only else None
     _step("silver, gold and mart", lambda: build(lake, now, only))
     if not args.no_serve:

@@ -14,7 +14,7 @@ from tillhouse.operators import history
 from tillhouse.plans import gold, mart, silver
 from tillhouse.plans.run import Run, lake_run, together
 from tillhouse.plans.serving import serve
-from tillhouse.schemas import SOURCES
+from tillhouse.schemas import SOURCES, source_schema
 from tillhouse.sources.lake import Lake
 from tillhouse.sources.landing import LANDING, bronze_copy, ingest
 from tillhouse.streaming.change_feed import ChangeFeed, landing_glob
@@ -85,12 +85,21 @@ def load_snapshot(
 
 
 def load_changes(
-    lake: Lake, events_root: str, run_ts: datetime | None = None, tables: Iterable[str] = SOURCES
+    lake: Lake,
+    events_root: str,
+    run_ts: datetime | None = None,
+    tables: Iterable[str] = SOURCES,
+    wide_keys: bool = False,
 ) -> dict[str, str]:
     """Merge landed change events into bronze; says per table what happened."""
     names = list(tables)
     outcomes = together(
-        partial(ChangeFeed(lake, t).poll, landing_glob(events_root, t), run_ts) for t in names
+        partial(
+            ChangeFeed(lake, t, source_schema(t, wide_keys)).poll,
+            landing_glob(events_root, t),
+            run_ts,
+        )
+        for t in names
     )
     return dict(zip(names, outcomes, strict=True))
 
@@ -140,19 +149,24 @@ def run_snapshot(
     extracts: Mapping[str, DataFrame],
     run_ts: datetime | str,
     publish: bool = True,
+    wide_keys: bool = False,
 ) -> None:
     """One full run: land, bronze, silver, gold, mart, and the served copies."""
-    load_snapshot(lake, extracts, run_ts)
+    load_snapshot(lake, extracts, run_ts, wide_keys)
     build(lake, run_ts)
     if publish:
         serve(lake)
 
 
 def run_changes(
-    lake: Lake, events_root: str, run_ts: datetime, publish: bool = True
+    lake: Lake,
+    events_root: str,
+    run_ts: datetime,
+    publish: bool = True,
+    wide_keys: bool = False,
 ) -> dict[str, str]:
     """One incremental run: merge change events, then rebuild what depends on them."""
-    outcome = load_changes(lake, events_root, run_ts)
+    outcome = load_changes(lake, events_root, run_ts, wide_keys=wide_keys)
     build(lake, run_ts)
     if publish:
         serve(lake)

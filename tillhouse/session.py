@@ -20,6 +20,10 @@ SETTINGS = {
 }
 
 
+# Compressed input for each shuffle partition.
+PARTITION_BYTES = 64 << 20
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings above to a session the cluster already made."""
     for key, value in SETTINGS.items():
@@ -27,6 +31,16 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def size_shuffles(spark: SparkSession, folder: str, partition_bytes: int = PARTITION_BYTES) -> int:
+    """Shuffle into as many partitions as the files below a folder fill, never fewer than the session
+    was set to. Adaptive execution merges those that turn out small; it does not add any."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // partition_bytes))
+    spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+    return wanted
+
+
 def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     builder = (
