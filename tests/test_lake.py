@@ -79,11 +79,7 @@ def test_served_copies_are_sorted_by_their_key(spark, lake):
         "date_add(DATE '2026-01-01', CAST(id % 5 AS INT)) AS date_key",
     )
     lake.publish(fact.repartition(4), "gold", "fact_sales")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        serve_table(lake, "fact_sales")
-    finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    serve_table(lake, "fact_sales", file_bytes=2000)
     rows = (
         lake.read(SERVED_LAYER, "fact_sales")
         .selectExpr("_metadata.file_name AS f", "_metadata.row_index AS n", "date_key", "item_key")

@@ -3,6 +3,7 @@
 from dataclasses import replace
 from datetime import datetime
 from decimal import Decimal
+from functools import partial
 from itertools import count
 
 import pytest
@@ -86,8 +87,9 @@ def widened(rows, schema):
 def test_ids_beyond_32_bits_on_both_routes(spark, tmp_path, route, monkeypatch):
     lake, root = Lake(spark, str(tmp_path / "lake")), str(tmp_path / "events")
     wide = {t: widened(rows, source_schema(t)) for t, rows in SEED.items()}
-    monkeypatch.setattr("conftest.source_schema", lambda t: source_schema(t, True))
-    monkeypatch.setattr("test_runs.source_schema", lambda t: source_schema(t, True))
+    wide_schema = partial(source_schema, wide_keys=True)
+    monkeypatch.setattr("conftest.source_schema", wide_schema)
+    monkeypatch.setattr("test_runs.source_schema", wide_schema)
     if route == "snapshot":
         run_snapshot(lake, frames(spark, wide), datetime(2024, 5, 1), wide_keys=True)
     else:
