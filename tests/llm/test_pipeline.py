@@ -14,7 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 
 def test_every_operator_and_the_pipeline_are_registered():
     names = contract.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert names["pipeline"] is corpus_pipeline.run
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "jaccard_join", "mixing", "byte_bpe"]
 
