@@ -149,3 +149,15 @@ def test_a_point_read_of_a_served_table_skips_the_other_files(spark, lake):
     assert [r.customer_key for r in found.collect()] == [7778 * 1000000 + 1]
     scan = found._jdf.queryExecution().executedPlan().collectLeaves().head()
     assert scan.metrics().get("numOutputRows").get().value() <= 20_000 / files * 2
+
+
+def test_a_served_file_holds_a_bounded_number_of_rows(spark, lake):
+    """Rows that compress to next to nothing still fill the memory of the task that sorts them."""
+    days = spark.range(9000).selectExpr(
+        "date_add(DATE '2024-01-01', CAST(id % 900 AS INT)) AS date_key", "concat('s', id) AS store_name", "0 AS revenue"
+    )
+    lake.publish(days, "mart", "daily_sales_mart")
+    serve_table(lake, "daily_sales_mart", file_rows=1000)
+    served = lake.read(SERVED_LAYER, "daily_sales_mart")
+    per_file = [r["count"] for r in served.groupBy(F.col("_metadata.file_name")).count().collect()]
+    assert len(per_file) == 9 and sum(per_file) == 9000 and max(per_file) < 2000

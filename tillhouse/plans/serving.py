@@ -1,8 +1,9 @@
 """Published copies of gold and mart tables, sorted for the queries they serve.
 
-A served table has a file per ``FILE_BYTES`` of its lake table, each a range of the sort key, and bloom
-filters on the columns that single rows are looked up by: a point read skips all row groups but
-those that may hold its rows.
+A served table has a file per ``FILE_BYTES`` of its lake table, or per ``FILE_ROWS`` rows if those are more,
+each a range of the sort key, and bloom filters on the columns that single rows are looked up by: a point
+read skips all row groups but those that may hold its rows. One task sorts one file, and the rows of a mart
+take far more memory than their compressed bytes, so bytes alone would not bound it.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from tillhouse.sources.lake import Lake
 SERVED_LAYER = "marts"
 RANKED_LAYER = "ranked"
 FILE_BYTES = 128 << 20
+FILE_ROWS = 1 << 20
 
 # --- Fixed values: served table -> layer it comes from and its sort key ---------------
 SERVED = {
@@ -43,13 +45,18 @@ LOOKED_UP = {"dim_customer": ("customer_id",), "fact_sales": ("item_key", "custo
 
 
 def serve_table(
-    lake: Lake, table: str, served: Lake | None = None, file_bytes: int = FILE_BYTES
+    lake: Lake,
+    table: str,
+    served: Lake | None = None,
+    file_bytes: int = FILE_BYTES,
+    file_rows: int = FILE_ROWS,
 ) -> None:
     """Publish one table for readers. They see the previous copy until the new one is
     whole, and keep it when the build fails or the lake is away."""
     layer, sort_key = SERVED[table]
     rows = lake.read(layer, table)
-    files = max(1, -(-lake.size(layer, table) // file_bytes))
+    by_rows = -(-lake.version(layer, table).row_count // file_rows)
+    files = max(1, by_rows, -(-lake.size(layer, table) // file_bytes))
     target = served or lake
     target.publish(rows, SERVED_LAYER, table, sort_key, files=files, bloom=LOOKED_UP.get(table, ()))
 
