@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillhouse.operators.skew import HOT_ROWS
 from tillhouse.schemas import TOTAL
 
 # Ids per block of a hot group. Ids are unique, so a block has at most this many rows.
 BLOCK_BITS = 16
+# Groups are counted in this many cells of their hash: a cell's rows bound those of each of its groups.
+CELLS = 1 << 16
 
 
 def running_total(
@@ -21,19 +24,42 @@ def running_total(
     value: str,
     into: str,
     block_bits: int = BLOCK_BITS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Sum of ``value`` over the rows of the group up to this one, by day and then id.
 
-    ``row_id`` must be a unique whole number and ``group`` not null. Three levels, each
-    bounded: days of a group, blocks of a day, rows of a block. Every group takes this one way,
-    so its size never decides the answer. As in SQL, the total is null until the first amount.
+    ``row_id`` must be a unique whole number and ``group`` not null. As in SQL, the total is null until
+    the first amount. Groups of up to ``hot_rows`` rows are summed by one window over the group, which
+    shuffles nothing when the rows already lie by group. Larger ones, if any, are summed in bounded parts
+    (see ``_in_blocks``). Both sum exactly, in the same order, so a group's size never decides the answer.
     """
+    cell = F.pmod(F.xxhash64(group), F.lit(CELLS)).alias("_cell")
+    cells = df.groupBy(cell).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot_rows).select("_cell")
+    # At most CELLS rows of one number each, whatever the input.
+    hot = F.broadcast(cells)
+    marked = df.select("*", cell)
+    few = marked.join(hot, "_cell", "left_anti").select(*df.columns)
+    many = marked.join(hot, "_cell", "left_semi").select(*df.columns)
+    so_far = Window.partitionBy(group).orderBy(_day(day), row_id).rowsBetween(Window.unboundedPreceding, 0)
+    plain = few.select("*", F.sum(value).over(so_far).cast(TOTAL).alias(into))
+    return plain.unionByName(_in_blocks(many, group, day, row_id, value, into, block_bits))
+
+
+def _day(day: str) -> Column:
+    """Never null, so that it can be joined on."""
+    return F.coalesce(F.unix_date(day), F.lit(-(2**31)))
+
+
+def _in_blocks(
+    df: DataFrame, group: str, day: str, row_id: str, value: str, into: str, block_bits: int
+) -> DataFrame:
+    """The running total of groups of any size. Three levels, each bounded: days of a group, blocks of a
+    day, rows of a block."""
     columns = df.columns
     earlier = (Window.unboundedPreceding, -1)
-    # Never null, so that they can be joined on.
     keyed = df.withColumns(
         {
-            "_day": F.coalesce(F.unix_date(day), F.lit(-(2**31))),
+            "_day": _day(day),
             "_block": F.coalesce(F.shiftright(row_id, block_bits), F.lit(-(2**31))),
         }
     )
