@@ -1,7 +1,7 @@
 """Published tables that are bucketed by the key others join them by."""
 
 import pytest
-from conftest import SHOP, built_lake
+from conftest import FIRST_RUN, SHOP, built_lake
 
 from tillhouse.plans import silver
 from tillhouse.plans.pipeline import TABLES
@@ -65,3 +65,12 @@ def test_old_versions_leave_the_catalog(spark, lake):
         lake.publish(spark.range(n + 1), "silver", "t", bucket_by="id")
     assert len({t.name for t in spark.catalog.listTables()} - before) == 2
     assert lake.read("silver", "t").count() == 4 and len(SHOP["customers"]) == 4
+
+
+@pytest.mark.parametrize("table", ["transaction_items", "refunds"])
+def test_landed_copies_are_deduplicated_without_a_shuffle(spark, tmp_path, table):
+    """Several builders deduplicate them: a run shuffles them once, when it writes them."""
+    lake = built_lake(spark, tmp_path, only=[])
+    source = lake_run(lake, FIRST_RUN).source(table)
+    source.collect()
+    assert "Exchange" not in source._jdf.queryExecution().executedPlan().toString()

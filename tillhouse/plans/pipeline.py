@@ -63,6 +63,8 @@ MARTS = {
     "product_sales_mart": mart.product_sales,
     "customer_sales_mart": mart.customer_sales,
 }
+# Landed copies that several builders deduplicate: bucketed by their primary key, they are shuffled once.
+BRONZE_BUCKETS = {"transaction_items": "item_id", "refunds": "refund_id"}
 BUCKETS = {"transactions": "transaction_id", "sales": "item_id", "refunds": "item_id"}
 TABLES = tuple(
     Table(layer, name, builder, name == "customer_history", BUCKETS.get(name))
@@ -79,7 +81,7 @@ def load_snapshot(
     def load(table: str) -> None:
         ingest(lake, table, extracts[table])
         bronze = bronze_copy(lake.read(LANDING, table), table, run_ts, wide_keys)
-        lake.publish(bronze, "bronze", table)
+        lake.publish(bronze, "bronze", table, bucket_by=BRONZE_BUCKETS.get(table))
 
     together(partial(load, table) for table in extracts)
 
