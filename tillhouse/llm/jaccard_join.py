@@ -14,8 +14,9 @@ their first ``n - ceil(0.8 n) + 1``: their prefixes.
    This is repeated until it links nothing new.
 4. Posting lists that still hold several components pair them up. A parity signature of each set
    bounds the difference of two sets from below, exactly, so a pair that cannot link leaves the
-   join before it is a row. Pairs are counted in that join: those that share too little of
-   their prefixes to reach the threshold, or nothing early enough, are left out, the others verified.
+   join before it is a row, and a pair is a row only where it meets early enough in both prefixes for
+   the rest of them to suffice. Those that share too little of their prefixes to reach the
+   threshold are left out then, the others verified.
 
 So a large family of near copies costs one comparison each instead of one for each pair, and
 every link between two components is found: the components are exact.
@@ -347,12 +348,23 @@ def jaccard_join(
     like = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
     apart = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(SIGNATURE)), F.lit(0))
     early = (F.col("n") - F.col("i") >= need) & (F.col("m") - F.col("j") >= need)
-    near = x.join(y, lists).filter("ca < cb").filter(like & (F.col("n") + F.col("m") - apart >= 2 * need))
-    met = near.groupBy("a", "b", "n", "m").agg(
-        F.max("whole").alias("same"), F.count("*").alias("c"), F.max(early).alias("early")
-    )
-    likely = met.filter(F.col("same") | (F.col("early") & (F.col("c") + _rest("n", "m", percent) >= need)))
-    second = work.save(likely.select("a", "b").join(tested, ["a", "b"], "left_anti"), "second")
+    # The first shingle that a linked pair shares lies early in both, so the pair meets there; where it
+    # meets later as well, no row is made.
+    near = x.join(y, lists).filter("ca < cb").filter(like & early & (F.col("n") + F.col("m") - apart >= 2 * need))
+    near = work.save(near.select("a", "n", "b", "m").distinct().join(tested, ["a", "b"], "left_anti"), "near")
+    # Only these pairs are counted over the whole of their prefixes.
+    ends = near.select(F.col("a").alias("rep")).union(near.select("b")).distinct()
+    ends = work.save(ends, "ends")
+    prefixes = known.select(F.col("doc_id").alias("rep"), "n", "prefix").join(ends, "rep", "left_semi")
+    prefixes = work.save(prefixes, "prefixes")
+    right = prefixes.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("prefix").alias("_right"))
+    left = prefixes.select(F.col("rep").alias("a"), "n", F.col("prefix").alias("_left"))
+    both = near.join(right, ["b", "m"]).join(left, ["a", "n"])
+    c = F.size(F.array_intersect("_left", "_right"))
+    likely = both.filter(c + _rest("n", "m", percent) >= need)
+    second = work.save(likely.select("a", "b").distinct(), "second")
+    for name in ("near", "ends", "prefixes"):
+        work.drop(name)
     work.drop("signed")
     work.drop("listed")
     links = work.save(links.union(verified(second, "second-links")), "links")
