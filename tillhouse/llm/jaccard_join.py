@@ -11,7 +11,8 @@ their first ``n - ceil(0.8 n) + 1``: their prefixes.
 3. In each posting list every group meets the list's first group of like size, of another component
    than its own. Of these each group tries the one that it meets in the most lists, if that can
    suffice: members are expanded and verified on whole texts, and what links becomes a component.
-   This is repeated until it links nothing new.
+   This is repeated until it links nothing new. Who leads a list stays the same, so the lists are gone
+   through once for all rounds.
 4. Posting lists that still hold several components pair them up. A parity signature of each set
    bounds the difference of two sets from below, exactly, so a pair that cannot link leaves the
    join before it is a row, and a pair is a row only where it meets early enough in both prefixes for
@@ -30,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillhouse.llm.components import components
@@ -246,25 +247,32 @@ def jaccard_join(
     lead = known.join(groups, ["n", "p1", "p2"]).filter("doc_id = gid").select("gid", "prefix")
     # Rows that repeat an id with its text give an entry twice; that changes no later step.
     entries = lead.select("gid", F.posexplode("prefix").alias("pos", "shingle"))
-    shared = entries.groupBy("shingle").agg(F.min("gid").alias("_a"), F.max("gid").alias("_b"))
-    shared = shared.filter("_a < _b").select("shingle")
-    posted = work.save(entries.join(shared, "shingle"), "posted")
-    sizes = work.save(groups.select("gid", "n"), "sizes")
-    posting = work.save(posted.join(sizes, "gid"), "postings")
-    for name in ("posted", "sizes", "groups"):
-        work.drop(name)
+    # One shuffle of all entries tells which of them several groups have.
+    holders = Window.partitionBy("shingle")
+    entries = entries.withColumns({"_a": F.min("gid").over(holders), "_b": F.max("gid").over(holders)})
+    posted = work.save(entries.filter("_a < _b").select("gid", "pos", "shingle").distinct(), "posted")
+    work.drop("groups")
 
     # Texts of all classes that may take part in a pair.
-    several = classes.groupBy("gid").agg(F.count("*").alias("m")).filter("m > 1").select("gid")
-    active = work.save(posting.select("gid").union(several).distinct(), "active")
-    needed = classes.join(active, "gid", "left_semi").select(F.col("rep").alias("id"))
+    # Groups of several classes share all their lists, also those that no other group has: one more list.
+    several = classes.groupBy("gid").agg(F.count("*").alias("m")).filter("m > 1")
+    several = several.select("gid", F.lit(1).alias("c"), F.lit(True).alias("several"))
+    held = posted.groupBy("gid").agg(F.count("*").alias("c")).withColumn("several", F.lit(False))
+    active = held.unionByName(several).groupBy("gid").agg(F.sum("c").alias("lists"), F.max("several").alias("several"))
+    active = work.save(active, "active")
+    # A copy's own changes are rare shingles that nobody shares; what it was copied from has all
+    # of its prefix in common with others. So the class with the largest shared part of its
+    # prefix leads a list: most of a family link with their original at once.
+    lead = (F.col("lists") / _prefix("n", percent)).alias("lead")
+    ranked = work.save(classes.join(active, "gid").select("gid", "rep", "n", lead, "several").distinct(), "ranked")
     bodies = rows.filter("doc_id IS NOT NULL").mapInArrow(_squeeze, "id bigint, body binary")
-    needed = work.save(needed.distinct(), "needed")
+    needed = work.save(ranked.select(F.col("rep").alias("id")).distinct(), "needed")
     bodies = bodies.join(needed.hint("merge"), "id", "left_semi")
-    bodies = work.save(bodies, "bodies")
+    # Every round of verification joins these twice: only the pairs are shuffled then.
+    bodies = work.save_buckets(bodies, "bodies", "id")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (``a``, ``b``) that link. Both joins are between plain tables."""
+        """The pairs (``a``, ``b``) that link. Both joins are with the buckets of the texts."""
         # Sort-merge at every size: a small set of pairs would be broadcast on small inputs only.
         pairs = pairs.hint("merge")
         right = pairs.join(bodies.select(F.col("id").alias("b"), F.col("body").alias("_right")), "b")
@@ -276,57 +284,43 @@ def jaccard_join(
         return work.save(tried.filter("linked").select("a", "b").distinct(), name)
 
     # Groups that share all of their prefix, and the classes of one group, in lists with a flag.
-    columns = ["whole", "shingle", "pos", "rep", "n"]
-    reps = classes.select("rep", "gid")
-    shared_by = posting.join(reps, "gid").withColumn("whole", F.lit(False)).select(*columns)
-    # Groups of several classes share all their lists, also those that no other group has.
-    alone = classes.join(several, "gid", "left_semi").select("rep", F.col("gid").alias("shingle"), "n")
+    columns = ["whole", "shingle", "pos", "rep", "n", "lead"]
+    shared_by = posted.join(ranked, "gid").withColumn("whole", F.lit(False)).select(*columns)
+    alone = ranked.filter("several").select("rep", F.col("gid").alias("shingle"), "n", "lead")
     alone = alone.withColumns({"whole": F.lit(True), "pos": F.lit(0)}).select(*columns)
-    listed = work.save(shared_by.unionByName(alone).distinct(), "listed")
-    work.drop("postings")
-    work.drop("active")
-    work.drop("needed")
+    listed = work.save(shared_by.unionByName(alone), "listed")
+    for name in ("posted", "active", "ranked", "needed"):
+        work.drop(name)
     lists = ["whole", "shingle"]
-    # A copy's own changes are rare shingles that nobody shares; what it was copied from has all
-    # of its prefix in common with others. So the class with the largest shared part of its
-    # prefix leads a list: most of a family link with their original at once.
-    lead = F.count("*") / F.first(_prefix("n", percent))
-    leads = work.save(listed.groupBy("rep").agg(lead.alias("lead")), "leads")
     # Sizes fall into bands twice, the second time shifted by half, so that classes on either
     # side of a boundary meet as well.
     log = F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))
     bands = F.explode(F.array(F.floor(log) * 2, F.floor(log + 0.5) * 2 + 1))
 
+    # Who leads a list's band does not depend on the components, so it is found once for all rounds. A
+    # list and its bands lie in one task: the window's rows spill, they are not held at once.
+    banded = listed.repartition(*lists).withColumn("band", bands)
+    first = F.max(F.struct("lead", (-F.col("rep")).alias("_rep"), "n")).over(Window.partitionBy(*lists, "band"))
+    met = banded.withColumn("best", first).select("whole", "band", "rep", "n", (-F.col("best._rep")).alias("hub"), F.col("best.n").alias("m"))
+    # A pair meets once a list in either kind of band.
+    kinds = [F.count_if(F.pmod("band", F.lit(2)) == kind) for kind in (0, 1)]
+    met = met.filter("rep <> hub").groupBy("rep", "hub", "n", "m").agg(F.greatest(*kinds).alias("c"), F.max("whole").alias("same"))
+    met = met.filter(F.col("same") | (F.col("c") + _rest("n", "m", percent) >= _need("n", "m", percent)))
+    met = work.save(met.select(F.col("rep").alias("a"), F.col("hub").alias("b"), "c"), "met")
+
     links, joined, tested, turn = None, None, None, 0
     while True:
         turn += 1
-        members = listed if joined is None else listed.join(joined, F.col("rep") == F.col("id"), "left").drop("id")
-        own = F.col("rep") if joined is None else F.coalesce("component", "rep")
-        members = members.select(*columns, own.alias("component"))
-        # Lists of one component are done.
-        open_lists = members.groupBy(*lists).agg(F.min("component").alias("_a"), F.max("component").alias("_b"))
-        open_lists = work.save(open_lists.filter("_a < _b").select(*lists), f"open-{turn}")
-        members = work.save(members.join(open_lists, lists), f"members-{turn}")
-        work.drop(f"open-{turn}")
-
-        banded = members.join(leads, "rep").withColumn("band", bands)
-        best_hub = F.max(F.struct("lead", (-F.col("rep")).alias("_rep"), "component", "n")).alias("best")
-        hubs = banded.groupBy(*lists, "band").agg(best_hub)
-        hubs = work.save(
-            hubs.select(*lists, "band", (-F.col("best._rep")).alias("hub"), F.col("best.component").alias("of"), F.col("best.n").alias("m")),
-            f"hubs-{turn}",
-        )
-        # A pair meets once a list in either kind of band.
-        met = banded.join(hubs, [*lists, "band"]).filter("component <> of").groupBy("rep", "hub", "n", "m")
-        kinds = [F.count_if(F.pmod("band", F.lit(2)) == kind) for kind in (0, 1)]
-        met = met.agg(F.greatest(*kinds).alias("c"), F.max("whole").alias("same"))
-        met = met.filter(F.col("same") | (F.col("c") + _rest("n", "m", percent) >= _need("n", "m", percent)))
-        pairs = met.select(F.col("rep").alias("a"), F.col("hub").alias("b"), "c")
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = met
+        if joined is not None:
+            for end in ("a", "b"):
+                of = joined.select(F.col("id").alias(end), F.col("component").alias(f"_of_{end}"))
+                pairs = pairs.join(of, end, "left").withColumn(f"_of_{end}", F.coalesce(f"_of_{end}", end))
+            pairs = pairs.filter("_of_a <> _of_b").join(tested, ["a", "b"], "left_anti")
         best = pairs.groupBy("a").agg(F.max(F.struct("c", (-F.col("b")).alias("_b"))).alias("best"))
         stars = work.save(best.select("a", (-F.col("best._b")).alias("b")), f"stars-{turn}")
-        work.drop(f"hubs-{turn}")
+        if turn > 1 and stars.isEmpty():
+            break
         new = verified(stars, f"links-{turn}")
         both_ways = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         tested = both_ways if tested is None else tested.union(both_ways)
@@ -334,12 +328,18 @@ def jaccard_join(
             break
         links = new if links is None else links.union(new)
         joined = components(work, links, f"families-{turn}")
-        work.drop(f"members-{turn}")
+    work.drop("met")
 
     # What a list still holds in different components: pairs, counted as they meet.
+    members = listed.join(joined, F.col("rep") == F.col("id"), "left")
+    members = members.select(*lists, "pos", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    inside = Window.partitionBy(*lists)
+    members = members.withColumns({"_a": F.min("component").over(inside), "_b": F.max("component").over(inside)})
+    members = work.save(members.filter("_a < _b").drop("_a", "_b"), "members")
+    work.drop("listed")
     signs = classes.select("rep", *[f"s{i}" for i in range(SIGNATURE)])
     signed = work.save(members.join(signs.hint("merge"), "rep"), "signed")
-    work.drop(f"members-{turn}")
+    work.drop("members")
     x = signed.select(*lists, F.col("pos").alias("i"), F.col("rep").alias("a"), "n", F.col("component").alias("ca"),
                       *[F.col(f"s{i}").alias(f"x{i}") for i in range(SIGNATURE)])
     y = signed.select(*lists, F.col("pos").alias("j"), F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("cb"),
@@ -366,7 +366,6 @@ def jaccard_join(
     for name in ("near", "ends", "prefixes"):
         work.drop(name)
     work.drop("signed")
-    work.drop("listed")
     links = work.save(links.union(verified(second, "second-links")), "links")
     work.drop("bodies")
     joined = components(work, links, "components")
@@ -375,7 +374,7 @@ def jaccard_join(
         "n", "d1", "d2", F.coalesce("component", "rep").alias("component_id")
     )
     final = work.save(final, "final")
-    for name in ("classes", "links", "leads"):
+    for name in ("classes", "links"):
         work.drop(name)
     return (
         facts.select("doc_id", "n", "d1", "d2")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import os
 from collections.abc import Sequence
@@ -27,17 +28,35 @@ class Workspace:
         importable(spark)
         self.spark = spark
         self.root = shared_dir(spark, purpose)
+        self._entries: set[str] = set()
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def save_buckets(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """A saved table in buckets of a key, as many as the session shuffles into: joins by the key
+        shuffle only their other side."""
+        path, count = f"{self.root}/{name}", int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        writer = df.repartition(count, key).write.mode("overwrite").format("parquet").bucketBy(count, key)
+        writer.option("compression", "zstd").option("path", path).saveAsTable(_entry(path))
+        self._entries.add(name)
+        return self.spark.table(_entry(path))
+
     def drop(self, name: str) -> None:
+        if name in self._entries:
+            self.spark.sql(f"DROP TABLE IF EXISTS {_entry(f'{self.root}/{name}')}")
+            self._entries.remove(name)
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _entry(path: str) -> str:
+    """Catalog name of a table in buckets."""
+    return f"work_{hashlib.md5(path.encode()).hexdigest()}"
+
+
 def boxed(df: DataFrame, **helpers: Column) -> DataFrame:
     """The rows of a table as one struct, ``_row``, beside helper columns: whatever names its columns
     have, none clashes. ``_row.*`` gives them back."""
