@@ -272,16 +272,19 @@ def jaccard_join(
     bodies = work.save_buckets(bodies, "bodies", "id")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (``a``, ``b``) that link. Both joins are with the buckets of the texts."""
+        """The pairs (``a``, ``b``) that link. Each ``a`` finds its text in the buckets. Very many may
+        have the same ``b``: those texts are a plain table, so adaptive execution can split a hot one."""
         # Sort-merge at every size: a small set of pairs would be broadcast on small inputs only.
-        pairs = pairs.hint("merge")
-        right = pairs.join(bodies.select(F.col("id").alias("b"), F.col("body").alias("_right")), "b")
-        left = bodies.select(F.col("id").alias("a"), F.col("body").alias("_left"))
-        both = right.hint("merge").join(left, "a")
+        ends = pairs.select(F.col("b").alias("id")).distinct().hint("merge")
+        ends = work.save(bodies.join(ends, "id", "left_semi"), f"{name}-ends")
+        left = pairs.hint("merge").join(bodies.select(F.col("id").alias("a"), F.col("body").alias("_left")), "a")
+        both = left.hint("merge").join(ends.select(F.col("id").alias("b"), F.col("body").alias("_right")), "b")
         tried = both.select("a", "b", "_left", "_right").mapInArrow(
             _verify(shingle, percent), "a bigint, b bigint, linked boolean"
         )
-        return work.save(tried.filter("linked").select("a", "b").distinct(), name)
+        linked = work.save(tried.filter("linked").select("a", "b").distinct(), name)
+        work.drop(f"{name}-ends")
+        return linked
 
     # Groups that share all of their prefix, and the classes of one group, in lists with a flag.
     columns = ["whole", "shingle", "pos", "rep", "n", "lead"]
