@@ -3,8 +3,8 @@
 Encoding: a text is split by the tokenizer's pattern. Each distinct piece that is no token as
 a whole becomes rows (word, position, token), first one row per byte. A recursive query joins
 neighbours with the merge table and contracts each word's leftmost pair of least rank, until no
-pair of any word is left. Decoding: token rows join the vocabulary, and an ordered aggregate
-puts each document's bytes together.
+pair of any word is left. Decoding: token rows join the vocabulary and are ordered by place; the
+answer's column of bytes is the text, and each document takes its share of it.
 
 The recursive query keeps every turn's rows and takes a turn per contraction of a word, so
 pieces above ``LONG`` bytes go another way: a queue of their pairs by rank and place, contracted
@@ -70,11 +70,7 @@ SELECT s.word, s.idx, s.id, s.turn
 FROM steps s JOIN (SELECT word, max(turn) AS turn FROM steps GROUP BY word) t USING (word, turn)
 """
 
-DECODE = """
-SELECT doc, string_agg(hex, '' ORDER BY pos) AS body
-FROM tokens JOIN vocabulary USING (id)
-GROUP BY doc
-"""
+DECODE = "SELECT body FROM tokens JOIN vocabulary USING (id) ORDER BY pos"
 
 
 def read_ranks(path: str) -> bytes:
@@ -97,8 +93,8 @@ class Coder:
             config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""}
         )
         self.has_merges = False
-        self._table("v", id=list(self.ranks.values()), hex=[t.hex() for t in self.ranks])
-        self.db.execute("CREATE TABLE vocabulary AS SELECT id::INTEGER AS id, hex FROM v")
+        self._table("v", id=list(self.ranks.values()), body=list(self.ranks))
+        self.db.execute("CREATE TABLE vocabulary AS SELECT id::INTEGER AS id, body FROM v")
 
     def _merge_table(self) -> None:
         """All pairs of tokens that make a token: encoding needs them, decoding does not."""
@@ -228,15 +224,26 @@ class Coder:
         ]
 
     def decode(self, docs: list[bytes]) -> list[bytes]:
+        """Bytes of each document. A query's answer lies in the order of the tokens, so its column of
+        bytes is their text; where each document's tokens begin and end tells its share."""
         ids = np.frombuffer(b"".join(docs), "<u4").astype(np.int32)
-        count = np.fromiter((len(d) // 4 for d in docs), np.int64, len(docs))
-        doc = np.repeat(np.arange(len(docs), dtype=np.int32), count)
+        ends = np.cumsum(np.fromiter((len(d) // 4 for d in docs), np.int64, len(docs)))
         out = [[] for _ in docs]
         for start in range(0, len(ids), DECODE_ROWS):
-            part = slice(start, start + DECODE_ROWS)
-            self._table("tokens", doc=doc[part], pos=np.arange(len(ids[part])), id=ids[part])
-            for i, body in self.db.execute(DECODE).fetchall():
-                out[i].append(bytes.fromhex(body))
+            part = ids[start : start + DECODE_ROWS]
+            self._table("tokens", pos=np.arange(len(part), dtype=np.int32), id=part)
+            found = self.db.sql(DECODE).to_arrow_table().column("body").combine_chunks()
+            if len(found) != len(part):
+                raise ValueError("an id is not in the vocabulary")
+            body = found.buffers()[2].to_pybytes() if found.buffers()[2] else b""
+            spots = np.frombuffer(found.buffers()[1], np.int32)[found.offset :][: len(part) + 1]
+            # Documents with tokens in this part, and where each ends in it.
+            first, last = np.searchsorted(ends, [start, start + len(part) - 1], "right")
+            begin = int(spots[0])
+            for i in range(first, last + 1):
+                end = int(spots[min(int(ends[i]) - start, len(part))])
+                out[i].append(body[begin:end])
+                begin = end
         return list(map(b"".join, out))
 
 
