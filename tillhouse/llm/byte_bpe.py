@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillhouse.llm.workspace import importable
+from tillhouse.llm.workspace import importable, tidy
 
 # Rows of one query, contractions of a word in one query, pieces remembered by a task.
 QUERY_ROWS = 150_000
@@ -89,26 +89,42 @@ class Coder:
         self.ranks = {base64.b64decode(a): int(b) for a, b in lines}
         self.bytes = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.seen: dict[str, bytes] = {}
-        self.db = duckdb.connect(
-            config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""}
-        )
+        self._db: duckdb.DuckDBPyConnection | None = None
+        self._merges: pa.Table | None = None
         self.has_merges = False
-        self._table("v", id=list(self.ranks.values()), body=list(self.ranks))
-        self.db.execute("CREATE TABLE vocabulary AS SELECT id::INTEGER AS id, body FROM v")
+
+    @property
+    def db(self) -> duckdb.DuckDBPyConnection:
+        if self._db is None:
+            config = {"threads": 1, "memory_limit": "200MB", "temp_directory": ""}
+            self._db = duckdb.connect(config=config)
+            self._table("v", id=list(self.ranks.values()), body=list(self.ranks))
+            self._db.execute("CREATE TABLE vocabulary AS SELECT id::INTEGER AS id, body FROM v")
+            self._db.unregister("v")
+        return self._db
+
+    def close(self) -> None:
+        """End the database. The worker goes on to other operators' tasks; a later one of this operator
+        makes the tables again, which takes it a moment, and finds the remembered pieces."""
+        if self._db is not None:
+            self._db.close()
+        self._db, self.has_merges = None, False
 
     def _merge_table(self) -> None:
         """All pairs of tokens that make a token: encoding needs them, decoding does not."""
         if self.has_merges:
             return
-        get = self.ranks.get
-        pairs, merged = [], []
-        for token, rank in self.ranks.items():
-            for i in range(1, len(token)):
-                left, right = get(token[:i]), get(token[i:])
-                if left is not None and right is not None:
-                    pairs.append((left << 32) | right)
-                    merged.append(rank)
-        self._table("m", pair=np.array(pairs, np.int64), merged=np.array(merged, np.int32))
+        if self._merges is None:
+            get = self.ranks.get
+            pairs, merged = [], []
+            for token, rank in self.ranks.items():
+                for i in range(1, len(token)):
+                    left, right = get(token[:i]), get(token[i:])
+                    if left is not None and right is not None:
+                        pairs.append((left << 32) | right)
+                        merged.append(rank)
+            self._merges = pa.table({"pair": np.array(pairs, np.int64), "merged": np.array(merged, np.int32)})
+        self.db.register("m", self._merges)
         self.db.execute("CREATE TABLE merges AS FROM m")
         self.db.unregister("m")
         self.has_merges = True
@@ -294,6 +310,16 @@ def _decoder(ranks: bytes):
     return run
 
 
+def _task(ranks: bytes, run):
+    """``run`` over a task, which ends the worker's database at its end."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        Coder.of(ranks).close()
+
+    return tidy(task)
+
+
 def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     importable(docs.sparkSession)
     return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
@@ -308,14 +334,14 @@ def encode(
     document of its own, whatever ids repeat; other columns are ignored.
     """
     rows = _texts(docs, doc_id, text)
-    return rows.mapInArrow(_encoder(ranks, pattern), "doc_id bigint, n_tokens bigint, ids binary")
+    return rows.mapInArrow(_task(ranks, _encoder(ranks, pattern)), "doc_id bigint, n_tokens bigint, ids binary")
 
 
 def decode(encoded: DataFrame, ranks: bytes) -> DataFrame:
     """Rows of ``encode`` with ``decoded``, the bytes that the ids stand for."""
     importable(encoded.sparkSession)
     shape = "doc_id bigint, n_tokens bigint, ids binary, decoded binary"
-    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(_decoder(ranks), shape)
+    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(_task(ranks, _decoder(ranks)), shape)
 
 
 def round_trip(
@@ -324,4 +350,5 @@ def round_trip(
     """``decode(encode(docs))`` in one worker, which then holds one vocabulary."""
     encoder, decoder = _encoder(ranks, pattern), _decoder(ranks)
     shape = "doc_id bigint, n_tokens bigint, ids binary, decoded binary"
-    return _texts(docs, doc_id, text).mapInArrow(lambda batches: decoder(encoder(batches)), shape)
+    both = _task(ranks, lambda batches: decoder(encoder(batches)))
+    return _texts(docs, doc_id, text).mapInArrow(both, shape)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tillhouse.llm.components import components
 from tillhouse.llm.rolling import BASES, chunks, mixed, run_hashes, word_hashes
-from tillhouse.llm.workspace import Workspace, boxed
+from tillhouse.llm.workspace import Workspace, boxed, tidy
 
 SHINGLE = 5
 PERCENT = 80
@@ -136,10 +136,10 @@ def shingle_levels(texts: DataFrame, k: int = SHINGLE) -> np.ndarray:
     all, however many documents there are."""
     shape = "part int, task int, counts binary"
     tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = texts.mapInArrow(_count(k), shape)
+    counted = texts.mapInArrow(tidy(_count(k)), shape)
     # In two steps, so that no task adds up what all tasks counted.
-    some = counted.repartition(tasks, "part", F.col("task") % tasks).mapInArrow(_add, shape)
-    parts = some.repartition(SKETCH_ROWS, "part").mapInArrow(_add, shape).collect()
+    some = counted.repartition(tasks, "part", F.col("task") % tasks).mapInArrow(tidy(_add), shape)
+    parts = some.repartition(SKETCH_ROWS, "part").mapInArrow(tidy(_add), shape).collect()
     total = np.zeros((SKETCH_ROWS, (1 << SKETCH_BITS) // SKETCH_ROWS), np.int64)
     for row in parts:
         total[row.part] += np.frombuffer(row.counts, np.int64)
@@ -231,7 +231,7 @@ def jaccard_join(
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     levels = shingle_levels(rows.select("text"), shingle)
     shape = "doc_id bigint, n bigint, d1 bigint, d2 bigint, prefix array<bigint>, signature array<bigint>"
-    facts = rows.mapInArrow(_describe(shingle, percent, levels), shape)
+    facts = rows.mapInArrow(tidy(_describe(shingle, percent, levels)), shape)
     facts = facts.withColumns({"p1": F.xxhash64("prefix"), "p2": F.hash("prefix")})
     facts = work.save(facts, "facts")
     known = facts.filter("n > 0 AND doc_id IS NOT NULL")
@@ -265,7 +265,7 @@ def jaccard_join(
     # prefix leads a list: most of a family link with their original at once.
     lead = (F.col("lists") / _prefix("n", percent)).alias("lead")
     ranked = work.save(classes.join(active, "gid").select("gid", "rep", "n", lead, "several").distinct(), "ranked")
-    bodies = rows.filter("doc_id IS NOT NULL").mapInArrow(_squeeze, "id bigint, body binary")
+    bodies = rows.filter("doc_id IS NOT NULL").mapInArrow(tidy(_squeeze), "id bigint, body binary")
     needed = work.save(ranked.select(F.col("rep").alias("id")).distinct(), "needed")
     bodies = bodies.join(needed.hint("merge"), "id", "left_semi")
     # Every round of verification joins these twice: only the pairs are shuffled then.
@@ -280,7 +280,7 @@ def jaccard_join(
         left = pairs.hint("merge").join(bodies.select(F.col("id").alias("a"), F.col("body").alias("_left")), "a")
         both = left.hint("merge").join(ends.select(F.col("id").alias("b"), F.col("body").alias("_right")), "b")
         tried = both.select("a", "b", "_left", "_right").mapInArrow(
-            _verify(shingle, percent), "a bigint, b bigint, linked boolean"
+            tidy(_verify(shingle, percent)), "a bigint, b bigint, linked boolean"
         )
         linked = work.save(tried.filter("linked").select("a", "b").distinct(), name)
         work.drop(f"{name}-ends")

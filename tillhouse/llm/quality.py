@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillhouse.llm.workspace import Workspace, importable
+from tillhouse.llm.workspace import Workspace, importable, tidy
 
 # Bounds of the sample that the model is fitted on: documents of each kind.
 POSITIVES = 6_000
@@ -219,8 +219,12 @@ def keep_good(
         return docs
 
     @F.pandas_udf("double")
-    def quality(texts: pd.Series) -> pd.Series:
-        x = np.array([features(t) for t in texts], float).reshape(-1, len(FEATURES))
-        return pd.Series(model.score(x))
+    def quality(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for texts in batches:
+                x = np.array([features(t) for t in texts], float).reshape(-1, len(FEATURES))
+                yield pd.Series(model.score(x))
+
+        return tidy(scores)(batches)
 
     return docs.filter(quality(F.col(text)) >= THRESHOLD)

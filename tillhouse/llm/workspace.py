@@ -5,9 +5,10 @@ from __future__ import annotations
 import hashlib
 import math
 import os
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +16,9 @@ from tillhouse.session import shared_dir
 
 # Text bytes that one task handles when an operator deals documents out anew.
 TASK_BYTES = 24 << 20
+# Bytes of the rows that a Python worker is sent at a time. Executor and worker each hold several such
+# batches outside the heap; by Spark's own bound of 64 MB a batch is 10,000 documents or pairs of texts.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
 class Workspace:
@@ -65,11 +69,12 @@ def boxed(df: DataFrame, **helpers: Column) -> DataFrame:
 
 
 def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it.
+    """Let Python workers import this package from where the driver has it, and send them small batches.
 
     On a cluster the package is installed or shipped with ``--py-files``; this serves sessions
-    whose driver runs from a checkout.
+    whose driver runs from a checkout. A bound that the session was given stays.
     """
+    spark.conf.set(BATCH_SETTING, spark.conf.get(BATCH_SETTING, BATCH_BYTES))
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", "").split(os.pathsep)
@@ -77,6 +82,17 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over the batches of a task. A worker goes on to other operators' tasks, so what the batches
+    of this one took goes back to the system at its end."""
+
+    def task(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return task
+
+
 def task_count(spark: SparkSession, size: int, per_task: int = TASK_BYTES) -> int:
     """Tasks for ``size`` bytes: at least the session's shuffle partitions."""
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
