@@ -161,3 +161,27 @@ def test_a_served_file_holds_a_bounded_number_of_rows(spark, lake):
     served = lake.read(SERVED_LAYER, "daily_sales_mart")
     per_file = [r["count"] for r in served.groupBy(F.col("_metadata.file_name")).count().collect()]
     assert len(per_file) == 9 and sum(per_file) == 9000 and max(per_file) < 2000
+
+
+def test_bloom_filters_of_small_files_are_as_small_as_their_rows(spark, lake):
+    """A filter for a million values in each file made a table of many small files hundreds of times its size."""
+    rows = spark.range(4000).select(
+        F.col("id").alias("item_key"), F.expr("DATE'2024-01-01' + CAST(id % 9 AS INT)").alias("date_key"), F.col("id").alias("customer_key")
+    )
+    lake.publish(rows, "gold", "fact_sales")
+    serve_table(lake, "fact_sales", file_rows=500)
+    assert lake.size(SERVED_LAYER, "fact_sales") < 10 * lake.size("gold", "fact_sales")
+    assert lake.read(SERVED_LAYER, "fact_sales").exceptAll(rows).isEmpty()
+
+
+def test_small_files_do_not_grow_in_number_with_the_table(spark, lake):
+    """Each file is a task and a block of every map task."""
+    rows = spark.range(20_000).select(
+        F.col("id").alias("item_key"), F.expr("DATE'2024-01-01' + CAST(id % 9 AS INT)").alias("date_key"), F.col("id").alias("customer_key")
+    )
+    lake.publish(rows, "gold", "fact_sales")
+    assert lake.size("gold", "fact_sales") > 200 * 256
+    serve_table(lake, "fact_sales", file_bytes=256)
+    served = lake.read(SERVED_LAYER, "fact_sales")
+    assert 64 < served.select(F.col("_metadata.file_name")).distinct().count() <= 128
+    assert served.exceptAll(rows).isEmpty() and served.count() == 20_000

@@ -21,6 +21,9 @@ SERVED_LAYER = "marts"
 RANKED_LAYER = "ranked"
 FILE_BYTES = 128 << 20
 FILE_ROWS = 1 << 20
+# Files that a caller's smaller ``file_bytes`` may ask for. Each is a task and a block of every map task, so
+# without a bound small files cost time with the square of the table.
+MOST_SMALL_FILES = 128
 
 # --- Fixed values: served table -> layer it comes from and its sort key ---------------
 SERVED = {
@@ -52,13 +55,18 @@ def serve_table(
     file_rows: int = FILE_ROWS,
 ) -> None:
     """Publish one table for readers. They see the previous copy until the new one is
-    whole, and keep it when the build fails or the lake is away."""
+    whole, and keep it when the build fails or the lake is away. ``file_bytes`` below ``FILE_BYTES`` is
+    kept to up to ``MOST_SMALL_FILES`` files; a larger table has larger files, ``FILE_BYTES`` at most."""
     layer, sort_key = SERVED[table]
     rows = lake.read(layer, table)
-    by_rows = -(-lake.version(layer, table).row_count // file_rows)
-    files = max(1, by_rows, -(-lake.size(layer, table) // file_bytes))
-    target = served or lake
-    target.publish(rows, SERVED_LAYER, table, sort_key, files=files, bloom=LOOKED_UP.get(table, ()))
+    count = lake.version(layer, table).row_count
+    size = lake.size(layer, table)
+    small = min(MOST_SMALL_FILES, -(-size // file_bytes))
+    files = max(1, -(-count // file_rows), -(-size // max(file_bytes, FILE_BYTES)), small)
+    target, bloom = served or lake, LOOKED_UP.get(table, ())
+    target.publish(
+        rows, SERVED_LAYER, table, sort_key, files=files, bloom=bloom, file_rows=max(1, -(-count // files))
+    )
 
 
 def rank_table(lake: Lake, table: str) -> DataFrame:

@@ -144,13 +144,15 @@ class Lake:
         facts: dict | None = None,
         files: int | None = None,
         bloom: Sequence[str] = (),
+        file_rows: int | None = None,
         bucket_by: str | None = None,
     ) -> None:
         """Write a new version with the frame's own schema, then drop versions beyond the
         newest ``keep_versions``. ``sort_by`` range-partitions and sorts the rows, so the
         statistics of files and row groups let readers skip by those columns; ``files`` says into how
         many ranges (by default as many as the session shuffles into), and the columns of ``bloom`` get
-        bloom filters. ``bucket_by`` writes a file per bucket of that column, as many as the session
+        bloom filters for ``file_rows`` values each (by default of parquet's largest size, a megabyte, however
+        few rows a file has). ``bucket_by`` writes a file per bucket of that column, as many as the session
         shuffles into: a later join or grouping by it then shuffles the other side only. Rows are counted as they are written, those that ``count_if`` holds for."""
         if sort_by:
             ranges = [files] if files else []
@@ -163,6 +165,8 @@ class Lake:
         number, folder = self._start(layer, table)
         target, facts = f"{self._table(layer, table)}/{folder}", dict(facts or {})
         blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in bloom}
+        if file_rows:
+            blooms |= {f"parquet.bloom.filter.expected.ndv#{c}": str(file_rows) for c in bloom}
         writer = counted.write.mode("errorifexists").options(**blooms)
         if bucket_by:
             writer.format("parquet").bucketBy(buckets, bucket_by).sortBy(bucket_by).option("path", target).saveAsTable(_entry(target))
