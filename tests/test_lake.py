@@ -185,3 +185,12 @@ def test_small_files_do_not_grow_in_number_with_the_table(spark, lake):
     served = lake.read(SERVED_LAYER, "fact_sales")
     assert 64 < served.select(F.col("_metadata.file_name")).distinct().count() <= 128
     assert served.exceptAll(rows).isEmpty() and served.count() == 20_000
+
+
+def test_tables_are_compressed_with_zstd(spark, lake):
+    lake.publish(spark.range(9), "gold", "t")
+    lake.publish(spark.range(9), "gold", "b", bucket_by="id")
+    lake.publish_parts(spark.range(9).withColumn("_part", F.lit("p")), "gold", "p", ["p"])
+    for table in "tbp":
+        files = lake.read("gold", table).select(F.col("_metadata.file_name").alias("f")).distinct().collect()
+        assert files and all(r.f.endswith(".zstd.parquet") for r in files)

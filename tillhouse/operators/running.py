@@ -25,6 +25,7 @@ def running_total(
     into: str,
     block_bits: int = BLOCK_BITS,
     hot_rows: int = HOT_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Sum of ``value`` over the rows of the group up to this one, by day and then id.
 
@@ -32,9 +33,12 @@ def running_total(
     the first amount. Groups of up to ``hot_rows`` rows are summed by one window over the group, which
     shuffles nothing when the rows already lie by group. Larger ones, if any, are summed in bounded parts
     (see ``_in_blocks``). Both sum exactly, in the same order, so a group's size never decides the answer.
+    Rows are counted in ``counted``, any frame that holds each group at least as often as ``df`` does: if
+    ``df`` is dear to compute, what it is made from saves computing it twice.
     """
     cell = F.pmod(F.xxhash64(group), F.lit(CELLS)).alias("_cell")
-    cells = df.groupBy(cell).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot_rows).select("_cell")
+    counted = df if counted is None else counted
+    cells = counted.groupBy(cell).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot_rows).select("_cell")
     # At most CELLS rows of one number each, whatever the input.
     hot = F.broadcast(cells)
     marked = df.select("*", cell)

@@ -185,7 +185,8 @@ def rejected_sales(run: Run) -> DataFrame:
 def checked_refunds(run: Run) -> DataFrame:
     """Refunds of known sales with the total refunded on the item so far.
 
-    The total counts every refund of the item, valid or not.
+    The total counts every refund of the item, valid or not. Copies of a refund count towards the size of
+    its item, so that refunds are deduplicated once.
     """
     refunds = run.source("refunds").select(*REFUND_COLUMNS).filter(F.col("item_id").isNotNull())
     totals = running_total(
@@ -195,6 +196,7 @@ def checked_refunds(run: Run) -> DataFrame:
         "refund_id",
         "amount",
         "refunded_so_far",
+        counted=run.read("bronze", "refunds").select("item_id"),
     )
     sold = run.read("silver", "sales").select(
         "item_id", "transaction_id", "store_id", "customer_id", "product_id", "line_amount"

@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 MARKER = "_SUCCESS"
 WHOLE = "whole"
 PART = "_part"
+# Columns of numbers, as most of the lake's are, take up about a quarter less than with Spark's default.
+CODEC = {"compression": "zstd"}
 
 
 @dataclass(frozen=True)
@@ -167,7 +169,7 @@ class Lake:
         blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in bloom}
         if file_rows:
             blooms |= {f"parquet.bloom.filter.expected.ndv#{c}": str(file_rows) for c in bloom}
-        writer = counted.write.mode("errorifexists").options(**blooms)
+        writer = counted.write.mode("errorifexists").options(**CODEC, **blooms)
         if bucket_by:
             writer.format("parquet").bucketBy(buckets, bucket_by).sortBy(bucket_by).option("path", target).saveAsTable(_entry(target))
             facts["buckets"] = [bucket_by, buckets]
@@ -204,7 +206,7 @@ class Lake:
             per_part = [_count(F.col(PART).eqNullSafe(n) & (F.lit(True) if count_if is None else count_if)).alias(n) for n in names]
             counted = df.withColumn(PART, F.col(PART).cast("string")).observe(seen, *per_part)
             target = f"{self._table(layer, table)}/{folder}"
-            counted.hint("rebalance", PART).write.mode("errorifexists").partitionBy(PART).parquet(target)
+            counted.hint("rebalance", PART).write.mode("errorifexists").options(**CODEC).partitionBy(PART).parquet(target)
             found = {n.split("=", 1)[1]: f"{folder}/{n}" for n in self._names(target) if n.startswith(f"{PART}=")}
             if unknown := set(found) - set(names):
                 raise ValueError(f"rows of parts that were not named: {sorted(unknown)}")
