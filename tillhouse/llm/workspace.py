@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import math
 import os
@@ -19,24 +20,33 @@ TASK_BYTES = 24 << 20
 # Bytes of the rows that a Python worker is sent at a time. Executor and worker each hold several such
 # batches outside the heap; by Spark's own bound of 64 MB a batch is 10,000 documents or pairs of texts.
 BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+# Whether an execution's shuffle files go when it ends, not when the driver collects its garbage.
+SHUFFLE_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Workspace:
     """Tables of one run in the cluster's shared folder (``spark.checkpoint.dir``).
 
     A saved table replaces the plan that made it, so a lost executor costs the step that was
-    running and nothing before it. Tables stay until ``drop`` or until the folder is cleared.
+    running and nothing before it. Tables stay until ``drop`` or until the folder is cleared. Without
+    ``keep_shuffles``, the shuffle files that made a table go when it is saved.
     """
 
-    def __init__(self, spark: SparkSession, purpose: str):
+    def __init__(self, spark: SparkSession, purpose: str, keep_shuffles: bool = True):
         importable(spark)
         self.spark = spark
+        self.keep_shuffles = keep_shuffles
         self.root = shared_dir(spark, purpose)
         self._entries: set[str] = set()
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, by: str | None = None, file_rows: int | None = None) -> DataFrame:
+        """by: a column to make folders of. file_rows: the most rows of a file, if set."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        writer = df.write.mode("overwrite").option("compression", "zstd")
+        if file_rows:
+            writer = writer.option("maxRecordsPerFile", file_rows)
+        with contextlib.nullcontext() if self.keep_shuffles else _brief_shuffles(self.spark):
+            (writer.partitionBy(by) if by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def save_buckets(self, df: DataFrame, name: str, key: str) -> DataFrame:
@@ -56,6 +66,19 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def _brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(SHUFFLE_SETTING, None)
+    spark.conf.set(SHUFFLE_SETTING, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_SETTING)
+        else:
+            spark.conf.set(SHUFFLE_SETTING, before)
+
+
 def _entry(path: str) -> str:
     """Catalog name of a table in buckets."""
     return f"work_{hashlib.md5(path.encode()).hexdigest()}"
